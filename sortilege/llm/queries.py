@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exactdup, langid, license, mixing, quality
+from . import bpe, exactdup, langid, license, mixing, neardup, quality, tokenfiles
 
 
 def _docs(spark, d):
@@ -13,10 +13,20 @@ def _labels(spark, d):
     return spark.read.parquet(f"{d}/labels.parquet")
 
 
+def vocabulary() -> str:
+    """The vocabulary that the queries encode with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 QUERIES = {
     "op1_license": lambda s, d: license.scan(_docs(s, d)).drop("spans"),
     "op2_exact_dedup": lambda s, d: exactdup.find_copies(_docs(s, d)).drop("keep_locator"),
+    "op3_bpe": lambda s, d: bpe.encode(_docs(s, d), vocabulary()).drop("ids", "decoded"),
+    "op4_token_files": lambda s, d: tokenfiles.round_trip(_docs(s, d), vocabulary()),
     "op5_quality": lambda s, d: quality.score(_docs(s, d), _labels(s, d)),
+    "op6_near_dedup": lambda s, d: neardup.classes(_docs(s, d), size=2, percent=80),
     "op9_mixing": lambda s, d: mixing.mix(_docs(s, d)).drop("source"),
     "op10_langid": lambda s, d: langid.identify(_docs(s, d)),
 }

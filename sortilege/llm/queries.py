@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exactdup, langid, license, mixing, neardup, quality, tokenfiles
+from . import bpe, exactdup, langid, license, mixing, neardup, quality, tokenfiles, toxicity, vectors
 
 
 def _docs(spark, d):
@@ -27,6 +27,8 @@ QUERIES = {
     "op4_token_files": lambda s, d: tokenfiles.round_trip(_docs(s, d), vocabulary()),
     "op5_quality": lambda s, d: quality.score(_docs(s, d), _labels(s, d)),
     "op6_near_dedup": lambda s, d: neardup.classes(_docs(s, d), size=2, percent=80),
+    "op7_vectors": lambda s, d: vectors.neighbours(s.read.parquet(f"{d}/embeddings.parquet")),
+    "op8_toxicity": lambda s, d: toxicity.score(_docs(s, d), _labels(s, d)).drop("spans"),
     "op9_mixing": lambda s, d: mixing.mix(_docs(s, d)).drop("source"),
     "op10_langid": lambda s, d: langid.identify(_docs(s, d)),
 }

@@ -134,6 +134,7 @@ def _search(own: DataFrame, books: tuple, cut: int, cosine: float, scratch: Scra
         return pd.DataFrame({"a": np.concatenate([qi[hit], si[linked]]), "b": np.concatenate([low_q[hit], low_s[linked]]), "links": np.concatenate([links[hit], np.zeros(int(linked.sum()), np.int64)])})
 
     keys = ["label", "cell", "s", "a"]
+    stored = scratch.save(stored, f"stored-{size}")  # a table of its own, so that the sides' columns differ
     got = asking.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(verify, "a long, b long, links long")
     got = scratch.save(got, f"found-{size}")
     return got.select("a", "b"), got.filter("links > 0").select(F.col("a").alias("rep"), "links")

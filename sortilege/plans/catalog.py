@@ -1,4 +1,128 @@
 """All queries of the engine by name, with the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import parse, tails
+from ..operators import core as op
+from ..sources import views as v
+
+D1 = """d1 AS (SELECT event_type AS game, event_id AS draw_number, CAST(ts AS DATE) AS draw_date, CAST(isodow(ts) - 1 AS INT) AS dow, CAST(hour(ts) AS INT) AS hour,
+  CAST(json_extract_string(props, '$.k') AS INT) AS number, CAST(round_even(value * 100, 0) AS BIGINT) AS jackpot_cents, CAST(user_id % 10 = 0 AS INT) AS wins FROM events)"""
+DK = """dk AS (SELECT o_orderpriority AS game, o_orderkey AS draw_number, CAST(o_orderdate AS DATE) AS draw_date, numbers, CAST(round_even(o_totalprice * 100, 0) AS BIGINT) AS jackpot_cents
+  FROM (SELECT l_orderkey, list_sort(list(DISTINCT l_linenumber)) AS numbers FROM lineitem GROUP BY 1) JOIN orders ON l_orderkey = o_orderkey WHERE len(numbers) = 3)"""
+D2 = D1 + """, d2 AS (SELECT * EXCLUDE (jackpot_cents), CASE WHEN draw_number % 5 <> 0 THEN jackpot_cents END AS jackpot_cents, 'a' AS source FROM d1
+  UNION ALL BY NAME SELECT game, draw_number, draw_date, dow, hour, CASE WHEN draw_number % 7 = 0 THEN (number + 1) % 100 ELSE number END AS number,
+    CASE WHEN draw_number % 11 = 0 THEN CAST(round_even(jackpot_cents * 1.5, 0) AS BIGINT) ELSE jackpot_cents END AS jackpot_cents, wins, 'b' AS source FROM d1 WHERE draw_number % 3 = 0),
+  two AS (SELECT a.game, a.draw_number, a.number AS number_a, b.number AS number_b, a.jackpot_cents AS jackpot_a, b.jackpot_cents AS jackpot_b, a.draw_date AS date_a, b.draw_date AS date_b
+    FROM d2 a JOIN d2 b ON a.game = b.game AND a.draw_number = b.draw_number WHERE a.source = 'a' AND b.source = 'b')"""
+DE = D1 + """, de AS (SELECT game, draw_number, draw_date, nth, CASE WHEN nth * 3 > n AND nth * 3 <= n * 2 THEN number % 25 + 1 ELSE number % 20 + 1 END AS number
+  FROM (SELECT *, row_number() OVER (PARTITION BY game ORDER BY draw_date, draw_number) AS nth, count(*) OVER (PARTITION BY game) AS n FROM d1))"""
+FREQ = """fr AS (SELECT game, number, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (PARTITION BY game) / 100 AS expected
+  FROM (SELECT game, number FROM (SELECT DISTINCT game FROM d1), (SELECT CAST(range AS INT) AS number FROM range(100))) LEFT JOIN (SELECT game, number, count(*) AS n FROM d1 GROUP BY ALL) USING (game, number))"""
+FLOOR = """cut AS (SELECT game, quantile_cont(jackpot_cents, 0.4) AS p40, count(*) AS n FROM d1 WHERE jackpot_cents > 0 GROUP BY game HAVING count(*) >= 20),
+  tail AS (SELECT game, jackpot_cents, count(*) AS c FROM d1 JOIN cut USING (game) WHERE jackpot_cents > 0 AND jackpot_cents <= p40 GROUP BY ALL),
+  fl AS (SELECT game, CASE WHEN max(c) >= 0.15 * sum(c) THEN arg_min(jackpot_cents, (-c, jackpot_cents)) ELSE min(jackpot_cents) END AS floor_cents FROM tail GROUP BY game)"""
+INF = FLOOR + """, nx AS (SELECT *, lead(jackpot_cents) OVER (PARTITION BY game ORDER BY draw_date, draw_number) AS next_cents FROM d1 WHERE jackpot_cents > 0),
+  inf AS (SELECT game, draw_number, jackpot_cents, next_cents, wins,
+    CASE WHEN jackpot_cents <= floor_cents * 1.02 THEN 'undetermined' WHEN next_cents / jackpot_cents < 0.9 THEN 'jackpot_drop' ELSE 'jackpot_drop_small' END AS method,
+    CAST(CASE WHEN jackpot_cents <= floor_cents * 1.02 THEN 0.0 WHEN next_cents / jackpot_cents < 0.7 THEN 0.95 WHEN next_cents / jackpot_cents < 0.9 THEN 0.7 ELSE 0.35 END AS DOUBLE) AS confidence
+    FROM nx JOIN fl USING (game) WHERE next_cents IS NOT NULL AND next_cents / jackpot_cents < 1)"""
+
+
+def _rounded(df, *cols):
+    return df.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in cols})
+
+
+def _contingency_sql(source: str, key: str, value: str) -> str:
+    return f"""WITH {source}, c AS (SELECT game, {key} AS r, {value} AS c, count(*) AS n FROM __T__ GROUP BY ALL),
+      r AS (SELECT game, r, sum(n) AS nr FROM c GROUP BY ALL), k AS (SELECT game, c, sum(n) AS nc FROM c GROUP BY ALL),
+      t AS (SELECT game, sum(nr) AS t, count(*) AS kr FROM r GROUP BY ALL), u AS (SELECT game, count(*) AS kc FROM k GROUP BY ALL),
+      g AS (SELECT *, nr * nc / t AS e, abs(coalesce(n, 0) - nr * nc / t) AS o FROM r JOIN k USING (game) JOIN t USING (game) JOIN u USING (game) LEFT JOIN c USING (game, r, c)),
+      y AS (SELECT *, CASE WHEN kr = 2 AND kc = 2 THEN o - least(o, 0.5) ELSE o END AS z FROM g)
+      SELECT game, round(sum(z * z / e), 6) AS chi2, CAST(max(t) AS BIGINT) AS n, max((kr - 1) * (kc - 1)) AS dof, round(sqrt(sum(z * z / e) / (max(t) * max(least(kr, kc) - 1))), 6) AS cramers_v FROM y GROUP BY game"""
+
+
+def _parsed(s, d):
+    o = s.read.parquet(f"{d}/orders.parquet").filter("o_orderkey IS NOT NULL")
+    t = o.select("o_orderkey", F.date_format("o_orderdate", "dd-MMM-yy").alias("a"), F.date_format("o_orderdate", "M/d/yyyy").alias("u"), F.to_date("o_orderdate").alias("day"), F.format_string("$%s", F.format_number(F.rint(F.col("o_totalprice") * 100) / 100, 2)).alias("m"))
+    return t.select("o_orderkey", parse.archive_date(F.col("a")).alias("archive"), parse.either_date(F.col("u"), F.col("day")).alias("near"), parse.cents(F.col("m")).alias("cents"), parse.fingerprint(F.col("o_orderkey"), F.lit(None), F.col("day")).alias("print"))
+
+
+def _upsert(s, d):
+    e = v.single_draws(s, d).select("game", "draw_number", "jackpot_cents", "wins", F.lit(1).alias("version"))
+    return op.upsert(e, e.filter("draw_number % 4 = 0").select("game", "draw_number", F.when(F.col("draw_number") % 8 == 0, F.col("jackpot_cents") + 1).alias("jackpot_cents"), (F.col("wins") + 1).alias("wins"), F.lit(2).alias("version")), ["game", "draw_number"], "version")
+
+
+def _cards(s, d):
+    return v.single_draws(s, d).filter("draw_number % 50 = 0").select(F.col("draw_number").alias("card_id"), "game", "number", F.when(F.col("draw_number") % 100 == 0, F.col("draw_date")).otherwise(F.date_add("draw_date", 400)).alias("card_date"))
+
+
+def _findings(s, d):
+    """Chi-square, repeat-set and adjacency tests of all games, with false-discovery control."""
+    one, sets = v.single_draws(s, d), v.set_draws(s, d)
+    row = lambda test, stat, p, n: [F.col("game"), F.lit(test).alias("test"), stat.cast("double").alias("statistic"), p.alias("p_value"), n.cast("long").alias("n")]
+    a = op.chi2_uniform(op.dense_frequency(one, 0, 99)).select(*row("number_frequency", F.col("chi2"), tails.chi2_p("chi2", F.col("dof").cast("double")), F.col("n")))
+    b = op.contingency(one, F.col("dow")).select(*row("number_by_dow", F.col("chi2"), tails.chi2_p("chi2", F.col("dof").cast("double")), F.col("n")))
+    c = op.consecutive(sets).select(*row("consecutive_numbers", F.col("hits"), tails.binom_p("hits", "n", F.lit(1 - 10 / 35)), F.col("n")))
+    r = op.repeat_sets(sets).select(*row("repeat_sets", F.col("repeats"), tails.poisson_p("repeats", F.col("draws") * (F.col("draws") - 1) / 2 / 35), F.col("draws")))
+    return op.benjamini_hochberg(a.unionByName(b).unionByName(c).unionByName(r).select("game", "test", "statistic", F.round("p_value", 12).alias("p_value"), "n"))
+
+
+def _bh(s, d):
+    p = s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 7 != 0, (F.col("s_suppkey") * 37 % 101) / 101.0).alias("p_value"))
+    return _rounded(op.benjamini_hochberg(p), "p_value", "q_value")
+
+
+def _places(s, d):
+    x = s.read.parquet(f"{d}/supplier.parquet").join(s.read.parquet(f"{d}/nation.parquet"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return x.groupBy(F.col("n_name").alias("place")).agg(F.count(F.lit(1)).alias("winners"), F.sum(F.rint(F.col("s_acctbal") * 100).cast("long")).alias("amount_cents"), F.countDistinct("s_name").alias("outlets"))
+
+
+one = lambda f: lambda s, d: f(v.single_draws(s, d))
+sets = lambda f: lambda s, d: f(v.set_draws(s, d))
+two = lambda f: lambda s, d: f(v.two_sources(s, d))
+_mean = "SELECT game, {} FROM {} GROUP BY game"
+_COVER = "count(DISTINCT draw_number) AS draws, min(draw_date) AS first_date, max(draw_date) AS last_date, count(jackpot_cents) AS with_jackpot, count(wins) AS with_wins"
+
+_ALL: dict = {
+    "coverage": (one(op.coverage), f"WITH {D1} SELECT game, {_COVER} FROM d1 GROUP BY game"),
+    "per_source_coverage": (two(lambda x: op.coverage(x, "game", "source")), f"WITH {D2} SELECT game, source, {_COVER} FROM d2 GROUP BY ALL"),
+    "latest_draws": (one(lambda x: op.latest(x).select("game", "draw_number", "draw_date", "number")), f"WITH {D1} SELECT game, draw_number, draw_date, number FROM d1 ORDER BY draw_date DESC, draw_number DESC LIMIT 12"),
+    "search_page": (one(lambda x: op.search(x, "17", 2).select("game", "draw_number", "draw_date", "number")), f"WITH {D1} SELECT game, draw_number, draw_date, number FROM d1 WHERE CAST(draw_number AS TEXT) ILIKE '%17%' OR CAST(draw_date AS TEXT) ILIKE '%17%' OR CAST(number AS TEXT) ILIKE '%17%' ORDER BY draw_date DESC, draw_number DESC LIMIT 50 OFFSET 50"),
+    "frequency_dense": (one(lambda x: _rounded(op.dense_frequency(x, 0, 99), "expected", "z")), f"WITH {D1}, {FREQ} SELECT game, number, n, round(expected, 6) AS expected, round((n - expected) / sqrt(expected * 0.99), 6) AS z FROM fr"),
+    "chi2_stat": (one(lambda x: _rounded(op.chi2_uniform(op.dense_frequency(x, 0, 99)), "chi2", "effect")), f"WITH {D1}, {FREQ} SELECT game, CAST(sum(n) AS BIGINT) AS n, round(sum((n - expected) ** 2 / expected), 6) AS chi2, count(*) - 1 AS dof, round(max(abs(n - expected) / sqrt(expected * 0.99)), 6) AS effect FROM fr GROUP BY game"),
+    "supported_range": (one(op.supported_range), f"WITH {D1}, c AS (SELECT game, number, count(*) AS n FROM d1 GROUP BY ALL) SELECT game, coalesce(min(number) FILTER (n >= 3), min(number)) AS low, coalesce(max(number) FILTER (n >= 3), max(number)) AS high FROM c GROUP BY game"),
+    "pctl_median": (one(lambda x: _rounded(x.groupBy("game").agg(F.percentile("jackpot_cents", 0.5).alias("median"), F.percentile("jackpot_cents", 0.4).alias("p40")), "median", "p40")), f"WITH {D1} " + _mean.format("round(quantile_cont(jackpot_cents, 0.5), 6) AS median, round(quantile_cont(jackpot_cents, 0.4), 6) AS p40", "d1")),
+    "merge_sources": (two(lambda x: op.merge_sources(x, {"a": 0, "b": 1})), f"WITH {D2} SELECT game, draw_number, arg_min(draw_date, source) AS draw_date, arg_min(number, source) AS number, arg_min(jackpot_cents, source) FILTER (jackpot_cents IS NOT NULL) AS jackpot_cents, arg_min(wins, source) AS wins, string_agg(DISTINCT source, '+' ORDER BY source) AS sources FROM d2 GROUP BY game, draw_number"),
+    "conflicts": (two(lambda x: op.paired(x).filter("number_a <> number_b").select("game", "draw_number", "number_a", "number_b").orderBy("game", "draw_number").limit(300)), f"WITH {D2} SELECT game, draw_number, number_a, number_b FROM two WHERE number_a <> number_b ORDER BY game, draw_number LIMIT 300"),
+    "source_agreement": (two(op.agreement), f"WITH {D2} SELECT game, count(*) AS shared, count(*) FILTER (number_a <> number_b) AS number_differs, count(*) FILTER (date_a <> date_b) AS date_differs FROM two GROUP BY game"),
+    "money_ratio": (two(lambda x: _rounded(op.money_scale(x), "median_ratio", "share_near")), f"WITH {D2} SELECT game, count(*) AS pairs, round(quantile_cont(jackpot_b / jackpot_a, 0.5), 6) AS median_ratio, round(avg(CAST(abs(jackpot_b / jackpot_a - 1) <= 0.02 AS INT)), 6) AS share_near FROM two WHERE jackpot_a > 0 AND jackpot_b > 0 GROUP BY game"),
+    "pair_counts": (sets(op.pair_counts), f"WITH {DK}, x AS (SELECT game, draw_number, unnest(numbers) AS n FROM dk) SELECT p.game, p.n AS a, q.n AS b, count(*) AS n FROM x p JOIN x q ON p.draw_number = q.draw_number AND p.n < q.n GROUP BY ALL"),
+    "repeat_sets": (sets(op.repeat_sets), f"WITH {DK}, c AS (SELECT game, numbers, count(*) AS n FROM dk GROUP BY ALL) SELECT game, CAST(sum(n) AS BIGINT) AS draws, count(*) AS kinds, CAST(sum(n - 1) AS BIGINT) AS repeats, max(n) AS most FROM c GROUP BY game"),
+    "contingency_dow": (one(lambda x: _rounded(op.contingency(x, F.col("dow")), "chi2", "cramers_v")), _contingency_sql(D1, "dow", "number").replace("__T__", "d1")),
+    "contingency_period": (one(lambda x: _rounded(op.contingency(x, F.col("hour") < 12), "chi2", "cramers_v")), _contingency_sql(D1, "hour < 12", "number").replace("__T__", "d1")),
+    "won_low_number": (one(lambda x: _rounded(op.contingency(x.withColumn("low", F.col("number") <= 31), F.col("wins") > 0, "low"), "chi2", "cramers_v")), _contingency_sql(D1, "wins > 0", "number <= 31").replace("__T__", "d1")),
+    "lag_overlap": (sets(op.lag_overlap), f"WITH {DK}" + "".join(f", l{k} AS (SELECT game, {k} AS lag, len(list_intersect(numbers, lag(numbers, {k}) OVER w)) AS o FROM dk WINDOW w AS (PARTITION BY game ORDER BY draw_date, draw_number))" for k in (1, 2, 3)) + " SELECT game, lag, CAST(sum(o) AS BIGINT) AS overlap, count(*) AS draws FROM (FROM l1 UNION ALL FROM l2 UNION ALL FROM l3) GROUP BY ALL"),
+    "consecutive": (sets(op.consecutive), f"WITH {DK} SELECT game, count(*) AS n, count(*) FILTER (numbers[2] - numbers[1] = 1 OR numbers[3] - numbers[2] = 1) AS hits FROM dk GROUP BY game"),
+    "positional": (sets(lambda x: x.select("game", F.posexplode("numbers").alias("pos", "number")).groupBy("game", "pos", "number").agg(F.count(F.lit(1)).alias("n"))), f"WITH {DK} SELECT game, CAST(i - 1 AS INT) AS pos, numbers[i] AS number, count(*) AS n FROM dk, (SELECT range AS i FROM range(1, 4)) GROUP BY ALL"),
+    "jackpot_floor": (one(op.jackpot_floor), f"WITH {D1}, {FLOOR} SELECT * FROM fl"),
+    "inferred_wins": (one(op.inferred_wins), f"WITH {D1}, {INF} SELECT * FROM inf"),
+    "confusion": (one(op.confusion), f"WITH {D1}, {INF}, j AS (SELECT d1.game, coalesce(confidence >= 0.6, false) AS said, d1.wins > 0 AS won FROM d1 LEFT JOIN inf ON inf.game = d1.game AND inf.draw_number = d1.draw_number WHERE d1.jackpot_cents > 0 AND coalesce(method, '') <> 'undetermined') SELECT game, count(*) FILTER (said AND won) AS tp, count(*) FILTER (said AND NOT won) AS fp, count(*) FILTER (won AND NOT said) AS fn, count(*) FILTER (NOT said AND NOT won) AS tn FROM j GROUP BY game"),
+    "rollover_runs": (one(op.rollover_runs), f"WITH {D1}, r AS (SELECT game, wins, coalesce(sum(wins) OVER (PARTITION BY game ORDER BY draw_date, draw_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM d1), c AS (SELECT game, run, count(*) AS length, max(wins) AS won FROM r GROUP BY ALL) SELECT game, length, count(*) AS runs FROM c WHERE won > 0 GROUP BY ALL"),
+    "cusum": (one(lambda x: _rounded(op.cusum(x), "magnitude")), f"WITH {D1}, m AS (SELECT *, avg(number) OVER (PARTITION BY game) AS mu, row_number() OVER w AS nth, sum(number) OVER w AS s, count(*) OVER (PARTITION BY game) AS n FROM d1 WINDOW w AS (PARTITION BY game ORDER BY draw_date, draw_number)) SELECT game, max(n) AS n, round(max(abs(s - mu * nth)) / sqrt(max(n)), 6) AS magnitude FROM m GROUP BY game"),
+    "era_segments": (lambda s, d: op.era_segments(v.era_draws(s, d), 80), f"WITH {DE}, t AS (SELECT *, max(number) OVER (PARTITION BY game ORDER BY nth ROWS BETWEEN 80 PRECEDING AND 80 FOLLOWING) AS top FROM de), c AS (SELECT *, CAST(top <> coalesce(lag(top) OVER (PARTITION BY game ORDER BY nth), -1) AS INT) AS fresh FROM t), g AS (SELECT *, sum(fresh) OVER (PARTITION BY game ORDER BY nth) AS segment FROM c) SELECT game, CAST(segment AS BIGINT) AS segment, max(top) AS top, CAST(min(nth) AS INT) AS first, CAST(max(nth) AS INT) AS last FROM g GROUP BY ALL"),
+    "autocorr_stat": (one(lambda x: _rounded(op.autocorrelation(x), "r")), f"WITH {D1}, l AS (SELECT game, number, lag(number) OVER (PARTITION BY game ORDER BY draw_date, draw_number) AS y FROM d1) SELECT game, count(*) AS pairs, round(corr(number, y), 6) AS r FROM l WHERE y IS NOT NULL GROUP BY game"),
+    "out_of_pool": (one(lambda x: x.filter(~F.col("number").between(1, 90)).groupBy("game", "number").agg(F.count(F.lit(1)).alias("n"))), f"WITH {D1} SELECT game, number, count(*) AS n FROM d1 WHERE number NOT BETWEEN 1 AND 90 GROUP BY ALL"),
+    "bh_qvalues": (_bh, "WITH p AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 7 <> 0 THEN (s_suppkey * 37 % 101) / 101.0::DOUBLE END AS p_value FROM supplier), r AS (SELECT *, row_number() OVER (ORDER BY p_value) AS k, count(*) OVER () AS m FROM p WHERE p_value IS NOT NULL), q AS (SELECT id, least(1.0, min(p_value * m / k) OVER (ORDER BY k DESC)) AS q_value FROM r) SELECT p.id, round(p.p_value, 6) AS p_value, round(q.q_value, 6) AS q_value FROM p LEFT JOIN q ON p.id = q.id"),
+    "place_rollup": (_places, "SELECT n_name AS place, count(*) AS winners, CAST(sum(CAST(round_even(s_acctbal * 100, 0) AS BIGINT)) AS BIGINT) AS amount_cents, count(DISTINCT s_name) AS outlets FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name"),
+    "upsert_merge": (_upsert, f"WITH {D1} SELECT game, draw_number, CASE WHEN draw_number % 8 = 0 THEN coalesce(jackpot_cents + 1, jackpot_cents) ELSE jackpot_cents END AS jackpot_cents, CASE WHEN draw_number % 4 = 0 THEN wins + 1 ELSE wins END AS wins, CAST(CASE WHEN draw_number % 4 = 0 THEN 2 ELSE 1 END AS INT) AS version FROM d1"),
+    "parsers": (_parsed, "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS archive, CAST(o_orderdate AS DATE) AS near, CAST(round_even(o_totalprice * 100, 0) AS BIGINT) AS cents, sha1(concat(o_orderkey, '||', CAST(o_orderdate AS DATE))) AS print FROM orders"),
+    "best_match_link": (lambda s, d: op.best_match(_cards(s, d), v.single_draws(s, d)), f"WITH {D1}, k AS (SELECT draw_number AS card_id, game, number, CASE WHEN draw_number % 100 = 0 THEN draw_date ELSE draw_date + 400 END AS card_date FROM d1 WHERE draw_number % 50 = 0), j AS (SELECT card_id, d1.draw_number, card_date <> d1.draw_date AS other, row_number() OVER (PARTITION BY card_id ORDER BY card_date <> d1.draw_date, d1.draw_date, d1.draw_number) AS rn FROM k JOIN d1 USING (game, number)) SELECT card_id, draw_number, CASE WHEN other THEN 'numbers' ELSE 'numbers+date' END AS method FROM j WHERE rn = 1"),
+    "anti_done": (lambda s, d: v.single_draws(s, d).select("game", "draw_date").distinct().join(v.single_draws(s, d).filter("wins > 0").select("game", "draw_date").distinct(), ["game", "draw_date"], "left_anti"), f"WITH {D1} SELECT DISTINCT game, draw_date FROM d1 EXCEPT SELECT game, draw_date FROM d1 WHERE wins > 0"),
+    "findings": (_findings, None),
+}
+QUERIES: dict = {k: f for k, (f, _) in _ALL.items()}
+ORACLE_SQL: dict = {k: q for k, (_, q) in _ALL.items() if q}

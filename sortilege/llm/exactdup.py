@@ -18,6 +18,8 @@ ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
+#: Digests that one partition of the state is to hold. A store has a fixed cost of disk and time, so their number follows the data.
+STATE_ROWS, STATE_PARTITIONS = 50_000, "spark.sql.streaming.internal.stateStore.partitions"
 #: Repeated digests are sent to every executor up to so many rows of about 100 bytes; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -45,8 +47,9 @@ def keyed_state(digests: DataFrame, scratch: Scratch, files_per_batch: int | Non
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "locator")).alias("first")
     state = reader.parquet(scratch.path("digests")).groupBy("digest").agg(first, F.count(F.lit(1)).alias("group_size"))
-    old = {k: spark.conf.get(k, None) for k in ROCKSDB}
-    for k, v in ROCKSDB.items():
+    conf = ROCKSDB | {STATE_PARTITIONS: str(max(4, -(-digests.count() // STATE_ROWS)))}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
         spark.conf.set(k, v)
     try:
         out = scratch.path("changes")

@@ -26,8 +26,8 @@ M = BANDS * ROWS
 BASE, RATE, LIMIT = 1.001, 20.0, 65_535
 #: A pair is read in full if its estimate lies less than so many standard errors under the threshold.
 SLACK = 4.5
-#: Buckets of up to so many documents compare the pairs that are not yet connected at once; larger ones go on pivot by pivot.
-SMALL = 24
+#: Members of a bucket in one block; a task holds two blocks.
+BLOCK = 256
 #: Ids sent to every executor up to this number (8 bytes each).
 BROADCAST_ROWS = 1_000_000
 
@@ -166,6 +166,33 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, per
     return scratch.save(both.mapInArrow(full, "a long, b long"), f"links-{name}")
 
 
+def between_classes(members: DataFrame, reps: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Candidate pairs (a, b) of members (key, parts, rep, component) of a bucket in different classes.
+
+    Each bucket is dealt into blocks, and each pair of blocks is one bounded
+    task; only pairs whose registers agree often enough leave it.
+    """
+    t = percent / 100
+    least = (t - (SLACK + 1) * (t * (1 - t) / M) ** 0.5) * M
+    m = members.join(reps.select("rep", "n_shingles", "regs"), "rep").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    m = m.withColumn("o", other).withColumn("i", F.least("part", "o")).withColumn("j", F.greatest("part", "o"))
+
+    def near(g: pd.DataFrame) -> pd.DataFrame:
+        r = np.frombuffer(b"".join(g.regs), np.uint16).reshape(-1, M)
+        rep, comp, n = g.rep.to_numpy(), g.component.to_numpy(), g.n_shingles.to_numpy()
+        a, b = [], []
+        for k in range(len(r) - 1):
+            other = k + 1 + np.flatnonzero((comp[k + 1 :] != comp[k]) & (np.minimum(n[k + 1 :], n[k]) * 100 >= np.maximum(n[k + 1 :], n[k]) * percent))
+            hit = other[(r[other] == r[k]).sum(1) >= least]
+            a += np.minimum(rep[hit], rep[k]).tolist()
+            b += np.maximum(rep[hit], rep[k]).tolist()
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    found = m.select("key", "i", "j", "rep", "component", "n_shingles", "regs").groupBy("key", "i", "j").applyInPandas(near, "a long, b long")
+    return scratch.save(found.distinct(), "rest")
+
+
 def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -184,29 +211,19 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     found = scratch.save(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
     members = scratch.save(rows.join(found, "key").select("key", "n", "rep"), "members-0")
 
-    links, k = None, 0
-    while True:  # star round: each bucket's members against its smallest
-        pivots = members.groupBy("key").agg(F.min("rep").alias("pivot"))
-        pairs = members.join(pivots, "key").filter("rep <> pivot")
-        if links is not None:
-            pairs = pairs.join(comp.select(F.col("node").alias("rep"), F.col("component").alias("cr")), "rep", "left").join(comp.select(F.col("node").alias("pivot"), F.col("component").alias("cp")), "pivot", "left").filter(F.coalesce("cr", "rep") != F.coalesce("cp", "pivot"))  # noqa: F821
-        pairs = pairs.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-        new = confirmed(pairs, reps, docs, size, percent, scratch, f"star-{k}")
-        links = new if links is None else links.unionByName(new)
-        comp = scratch.save(components(links, scratch, f"cc-{k}"), f"comp-{k}")
-        left = members.join(pivots, "key").filter("rep <> pivot").drop("pivot")
-        left = left.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        split = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-        k += 1
-        members = scratch.save(left.join(split, "key").select("key", "n", "rep", "component"), f"members-{k}")
-        small = members.filter(F.col("n") - F.lit(k) <= SMALL)
-        x, y = small.select("key", F.col("rep").alias("a"), F.col("component").alias("ca")), small.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-        pairs = x.join(y, "key").filter("a < b AND ca <> cb").select("a", "b").distinct()
-        links = links.unionByName(confirmed(pairs, reps, docs, size, percent, scratch, f"small-{k}"))
-        members = members.filter(F.col("n") - F.lit(k) > SMALL).select("key", "n", "rep")
-        comp = scratch.save(components(links, scratch, f"cd-{k}"), f"comp-small-{k}")
-        if members.isEmpty():
-            break
+    # Star: each bucket's members against its smallest.
+    pivots = members.groupBy("key").agg(F.min("rep").alias("pivot"))
+    stars = members.join(pivots, "key").filter("rep <> pivot")
+    pairs = stars.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    links = confirmed(pairs, reps, docs, size, percent, scratch, "star")
+    comp = scratch.save(components(links, scratch, "cc-star"), "comp-star")
+    # Buckets whose other members are not yet one class: the pairs between classes, in blocks.
+    left = stars.select("key", "rep").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    split = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).filter("lo <> hi").select("key", "parts")
+    members = scratch.save(left.join(split, "key"), "members-split")
+    rest = between_classes(members, reps, percent, scratch)
+    links = links.unionByName(confirmed(rest, reps, docs, size, percent, scratch, "rest"))
+    comp = scratch.save(components(links, scratch, "cc-all"), "comp-all")
 
     of_set = sets.join(comp, sets["rep"] == comp["node"], "left").select("set_hash", F.coalesce("component", "rep").alias("c"))
     out = all_.join(of_set, "set_hash", "left").withColumn("component_id", F.coalesce("c", "doc_id"))

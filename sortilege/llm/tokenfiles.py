@@ -28,11 +28,12 @@ FILE_BYTES, MEMORY, END = 12_000_000, 300_000, 1
 
 
 class WordCache:
-    """Ids of words as uint32 bytes; forgets all when MEMORY words are held."""
+    """Ids of words as bytes of self.kind: 16 bits where every id fits, else 32; forgets all when MEMORY words are held."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, end: int = END) -> None:
         self.tok, self.known = _tokenizer(path), {}
         self.tok.no_truncation(), self.tok.no_padding()
+        self.kind = id_type(self.tok, end)
 
     def learn(self, words: set) -> None:
         new = [w for w in words if w not in self.known]
@@ -41,7 +42,11 @@ class WordCache:
         for i in range(0, len(new), 2000):
             part = new[i : i + 2000]
             for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+                self.known[w] = np.array(e.ids, self.kind).tobytes()
+
+
+def id_type(tok, end: int) -> str:
+    return "<u2" if max(end, *tok.get_vocab(with_added_tokens=True).values()) < 65_536 else "<u4"
 
 
 def open_fs(uri: str):
@@ -63,7 +68,8 @@ def write_files(docs: DataFrame, path: str, folder: str | None = None, end: int
         fs, at = open_fs(folder)
         fs.create_dir(at, recursive=True)
         part, name = TaskContext.get().partitionId(), ""
-        cache, last, tokens, offs, ids = WordCache(path), np.array([end], "<u4").tobytes(), 0, [0], []
+        cache, tokens, offs, ids = WordCache(path, end), 0, [0], []
+        wide, last = int(cache.kind[-1]), np.array([end], cache.kind).tobytes()
         out = None
         for b in blocks(batches):
             if out is None:
@@ -74,7 +80,7 @@ def write_files(docs: DataFrame, path: str, folder: str | None = None, end: int
                 cache.learn(set(words))
                 data = b"".join([cache.known[w] for w in words]) + last
                 out.write(data)
-                tokens += len(data) // 4
+                tokens += len(data) // wide
                 offs.append(tokens)
                 ids.append(-(2**63) if i is None else i)
         if out is not None:
@@ -96,9 +102,10 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
             for name, docs, base in zip(*(b.column(k).to_pylist() for k in range(3))):
                 local = isinstance(fs, pyarrow.fs.LocalFileSystem)
                 get = (lambda e: np.memmap(f"{at}/{name}.{e}", np.uint8, "r")) if local else (lambda e: np.frombuffer(fs.open_input_stream(f"{at}/{name}.{e}").read(), np.uint8))  # noqa: B023
-                index, data = get("idx"), get("bin").view("<u4")
+                index, data = get("idx"), get("bin")
                 offs, ids = index[: 8 * (docs + 1)].view("<u8").astype(np.int64), index[8 * (docs + 1) :].view("<i8")
-                crc = [zlib.crc32(data[a:z]) for a, z in zip(offs, offs[1:])]
+                data = data.view(f"<u{len(data) // offs[-1]}")  # bytes over tokens: 2 or 4
+                crc = [zlib.crc32(data[a:z].astype("<u4").tobytes()) for a, z in zip(offs, offs[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == -(2**63)), pa.array(offs[:-1] + base), pa.array(np.diff(offs)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spread = manifest.select("file", "docs", "base", "part")

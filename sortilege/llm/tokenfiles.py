@@ -8,9 +8,9 @@ A partition's base is the sum of the tokens before it.
 
 from __future__ import annotations
 
-import os
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,26 +23,43 @@ from .bpe import _tokenizer, split_words
 from .scratch import Scratch
 from .textblocks import blocks
 
-#: Mean bytes of text behind a file; encoded words that a task remembers; id that ends a document.
-FILE_BYTES, MEMORY, END = 12_000_000, 300_000, 1
+#: Mean bytes of text behind a file; encoded words that a worker remembers; id that ends a document.
+FILE_BYTES, MEMORY, END = 12_000_000, 700_000, 1
+TAILS = ".,!?|"
 
 
 class WordCache:
     """Ids of words as bytes of self.kind: 16 bits where every id fits, else 32; forgets all when MEMORY words are held."""
 
     def __init__(self, path: str, end: int = END) -> None:
-        self.tok, self.known = _tokenizer(path), {}
+        self.tok, self.known, self.cores = _tokenizer(path), {}, {}
         self.tok.no_truncation(), self.tok.no_padding()
         self.kind = id_type(self.tok, end)
 
     def learn(self, words: set) -> None:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > MEMORY:
-            self.known, new = {}, list(words)
-        for i in range(0, len(new), 2000):
-            part = new[i : i + 2000]
+            self.known, self.cores, new = {}, {}, list(words)
+        parts = []
+        for w in new:
+            core = w.rstrip(TAILS)
+            if core.isalpha():  # letters and the signs after them are always tokens of their own
+                parts.append((w, core.lower() if core.isascii() else core, w[len(core) :]))
+            else:
+                parts.append((w, w, ""))
+        need = list({p for _, core, tail in parts for p in (core, tail) if p and p not in self.cores})
+        for i in range(0, len(need), 2000):
+            part = need[i : i + 2000]
             for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, self.kind).tobytes()
+                self.cores[w] = np.array(e.ids, self.kind).tobytes()
+        for w, core, tail in parts:
+            self.known[w] = self.cores[core] + self.cores[tail] if tail else self.cores[core]
+
+
+@lru_cache(1)
+def word_cache(path: str, end: int) -> WordCache:
+    """One for each Python worker, which tasks use one after another."""
+    return WordCache(path, end)
 
 
 def id_type(tok, end: int) -> str:
@@ -68,7 +85,7 @@ def write_files(docs: DataFrame, path: str, folder: str | None = None, end: int
         fs, at = open_fs(folder)
         fs.create_dir(at, recursive=True)
         part, name = TaskContext.get().partitionId(), ""
-        cache, tokens, offs, ids = WordCache(path, end), 0, [0], []
+        cache, tokens, offs, ids = word_cache(path, end), 0, [0], []
         wide, last = int(cache.kind[-1]), np.array([end], cache.kind).tobytes()
         out = None
         for b in blocks(batches):

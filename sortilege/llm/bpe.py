@@ -1,27 +1,34 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Texts are dealt into blocks of bounded size. Each block's distinct words are
-gathered, each distinct word of the corpus is encoded once, its ids are joined to
-their pieces, and the word's ids and pieces go back to the blocks that hold it,
-where they are put at the word's positions.
+Each scan task deals its texts, in their order, into blocks of bounded size and
+names each block's distinct words. The words of all blocks meet in one table dealt
+and sorted by word, where each distinct word is encoded once; its ids go back to a
+side file for each block that holds it. A second scan deals the same blocks, joins
+ids to pieces through the vocabulary, and puts both at the words' positions. So
+words move between tasks, and texts never do.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 import re
-from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 from .textblocks import blocks
 
-#: Mean bytes of text in a block.
-BLOCK_BYTES = 6_000_000
+#: Characters of text after which a block ends; rows of an Arrow batch of words.
+BLOCK_CHARS, ROWS = 24_000_000, 50_000
+#: Signs that may end a word; behind letters they are always tokens of their own.
+TAILS = ".,!?|"
 _CONTROL = re.compile("[\x1c-\x1f]")
 #: White space as the vocabulary's own split sees it, for texts where str.split would differ.
 _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
@@ -34,13 +41,42 @@ def split_words(text: str) -> list[str]:
     return text.split()
 
 
+def parts_of(word: str) -> tuple[str, ...]:
+    """Parts of a word that the vocabulary's split never joins, so that fewer distinct ones are left."""
+    core = word.rstrip(TAILS)
+    if not core.isalpha():
+        return (word,)
+    low = core.lower() if core.isascii() else core
+    return (low, word[len(core) :]) if len(core) < len(word) else (low,)
+
+
+@lru_cache(1)
 def _tokenizer(path: str):
+    """One for each Python worker; padding and truncation unused."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation(), tok.no_padding()
+    return tok
+
+
+def id_type(tok, end: int = 0) -> str:
+    """16 bits where every id fits, else 32."""
+    return "<u2" if max(end, *tok.get_vocab(with_added_tokens=True).values()) < 65_536 else "<u4"
+
+
+def encode_words(tok, words: list[str], kind: str) -> list[bytes]:
+    out = []
+    for i in range(0, len(words), 2000):
+        out += [np.array(e.ids, kind).tobytes() for e in tok.encode_batch_fast(words[i : i + 2000], add_special_tokens=False)]
+    return out
+
+
+def open_fs(uri: str):
+    return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
 def pieces_table(spark, path: str) -> DataFrame:
@@ -49,6 +85,20 @@ def pieces_table(spark, path: str) -> DataFrame:
     return spark.createDataFrame([(i, p) for p, i in vocab.items()], "id int, piece string").coalesce(1)
 
 
+class Blocks:
+    """Numbers the blocks of one task: a block ends with the text that fills it."""
+
+    def __init__(self) -> None:
+        self.id, self.size = TaskContext.get().partitionId() << 24, 0
+
+    def ends(self, text: str) -> bool:
+        self.size += len(text)
+        if self.size < BLOCK_CHARS:
+            return False
+        self.id, self.size = self.id + 1, 0
+        return True
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids, ids_sha256, decoded, decoded_sha256, one row per row of docs.
 
@@ -58,67 +108,86 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "bpe")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, round(total / BLOCK_BYTES))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64)), F.lit(n)).cast("int"))
+    if not docs.inputFiles():  # both scans need the same rows in the same tasks
+        rows = scratch.save(rows, "docs")
+    kind = id_type(_tokenizer(path))
 
     def distinct(batches):
-        words: dict[int, set] = {}
-        for b in batches:
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words.setdefault(k, set()).update(split_words(t))
-            if sum(map(len, words.values())) > 400_000:
-                yield from flush(words)
-                words = {}
-        yield from flush(words)
-
-    def flush(words):
-        for k, w in words.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(w), pa.int32()), pa.array(list(w), pa.string())], ["block", "word"])
-
-    used = scratch.save(rows.select("block", "text").mapInArrow(distinct, "block int, word string").distinct(), "used")
-
-    def encode_words(batches):
-        tok = _tokenizer(path)
-        tok.no_truncation(), tok.no_padding()
-        for b in batches:
-            w = b.column(0).to_pylist()
-            ids = []
-            for i in range(0, len(w), 2000):
-                ids += [e.ids for e in tok.encode_batch_fast(w[i : i + 2000], add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
-
-    words = scratch.save(used.select("word").distinct().mapInArrow(encode_words, "word string, ids array<int>"), "words")
+        at, seen = Blocks(), set()
+        for b in blocks(batches):
+            for t in b.column(0).to_pylist():
+                seen.update(split_words(t))
+                block = at.id
+                if at.ends(t):
+                    yield from named(block, seen)
+                    seen = set()
+        yield from named(at.id, seen)
+
+    def named(block, seen):
+        words = list({p for w in seen for p in parts_of(w)})
+        for i in range(0, len(words), ROWS):
+            w = words[i : i + ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(w), pa.int64()), pa.array(w, pa.string())], ["block", "word"])
+
+    def encoded(batches):
+        tok, last = _tokenizer(path), (None, b"")
+        for b in batches:  # sorted by word, so equal words are neighbours
+            if not b.num_rows:
+                continue
+            coded = b.column(1).dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            seen = words[0] == last[0]
+            ids = ([last[1]] if seen else []) + encode_words(tok, words[seen:], kind)
+            last = words[-1], ids[-1]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()).take(coded.indices)], ["block", "word", "ids"])
+
+    words = rows.select("text").mapInArrow(distinct, "block long, word string").repartition("word").sortWithinPartitions("word")
+    back = words.mapInArrow(encoded, "block long, word string, ids binary")
+    back.repartition("block").write.partitionBy("block").option("compression", "zstd").parquet(scratch.path("back"))
+    side = scratch.path("back")
     # The piece join: the vocabulary bounds this side, so it is held as one array that is looked up by id.
     table = pieces_table(spark, path).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "piece"))), lambda s: s["piece"]).alias("table")).first()[0]
     pieces = spark.sparkContext.broadcast(table)
 
-    back = used.join(words, "word").select("block", "word", "ids")
-
-    def assemble(key, left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, text_of, plain = {}, {}, pieces.value
-        for b in right:
-            for w, i in zip(b.column("word").to_pylist(), b.column("ids").to_pylist()):
-                ids[w] = i
-                text_of[w] = " ".join([str(x) for x in i]), " ".join([plain[x] for x in i])
-        for b in left:
-            for c in blocks(iter([b]), "text"):
-                out = []
-                for t in c.column("text").to_pylist():
-                    w = split_words(t)
-                    pair = [text_of[x] for x in w]
-                    flat = [x for y in w for x in ids[y]]
-                    a, d = " ".join([p[0] for p in pair if p[0]]), " ".join([p[1] for p in pair if p[1]])
-                    out.append((len(flat), flat, hashlib.sha256(a.encode()).hexdigest(), d, hashlib.sha256(d.encode()).hexdigest()))
-                n_, f_, h_, d_, s_ = zip(*out)
-                yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(n_, pa.int64()), pa.array(f_, pa.list_(pa.int32())), pa.array(h_), pa.array(d_), pa.array(s_)], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256"])
-
-    def assemble_tables(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        got = list(assemble(key, iter(left.to_batches()), iter(right.to_batches())))
-        return pa.Table.from_batches(got, schema=ARROW)
-
-    return rows.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(assemble_tables, SCHEMA)
+    def words_of_block(block: int) -> dict:
+        fs, at = open_fs(side)
+        at = f"{at}/block={block}"
+        if fs.get_file_info(at).type == pyarrow.fs.FileType.NotFound:  # no text of the block has a word
+            return {}
+        got = {}
+        for f in fs.get_file_info(pyarrow.fs.FileSelector(at)):
+            if f.base_name.endswith(".parquet"):
+                with fs.open_input_file(f.path) as source:
+                    t = pyarrow.parquet.ParquetFile(source).read(["word", "ids"])
+                got.update(zip(t.column("word").to_pylist(), t.column("ids").to_pylist()))
+        return got
+
+    def assemble(batches):
+        at, parts, whole, plain, wide = Blocks(), None, {}, pieces.value, int(kind[-1])
+        for b in blocks(batches):
+            out = []
+            for t in b.column(1).to_pylist():
+                if parts is None:
+                    parts, whole = words_of_block(at.id), {}
+                w = split_words(t)
+                for x in set(w):
+                    if x not in whole:
+                        raw = b"".join([parts[p] for p in parts_of(x)])
+                        ids = np.frombuffer(raw, kind).tolist()
+                        whole[x] = raw, " ".join(map(str, ids)), " ".join([plain[i] for i in ids])
+                found = [whole[x] for x in w]
+                if at.ends(t):
+                    parts = None
+                found = [f for f in found if f[0]]
+                a, d = " ".join([f[1] for f in found]), " ".join([f[2] for f in found])
+                out.append((b"".join([f[0] for f in found]), hashlib.sha256(a.encode()).hexdigest(), d, hashlib.sha256(d.encode()).hexdigest()))
+            flat, hashes, decoded, digests = zip(*out)
+            n = np.array([len(f) // wide for f in flat])
+            values = np.frombuffer(b"".join(flat), kind).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(values))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), ids, pa.array(hashes), pa.array(decoded), pa.array(digests)], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256"])
+
+    return rows.mapInArrow(assemble, SCHEMA)
 
 
 SCHEMA = "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded string, decoded_sha256 string"
-ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_sha256", pa.string()), ("decoded", pa.string()), ("decoded_sha256", pa.string())])

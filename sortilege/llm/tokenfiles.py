@@ -19,41 +19,30 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import _tokenizer, split_words
+from .bpe import _tokenizer, encode_words, id_type, open_fs, parts_of, split_words
 from .scratch import Scratch
 from .textblocks import blocks
 
 #: Mean bytes of text behind a file; encoded words that a worker remembers; id that ends a document.
 FILE_BYTES, MEMORY, END = 12_000_000, 700_000, 1
-TAILS = ".,!?|"
 
 
 class WordCache:
     """Ids of words as bytes of self.kind: 16 bits where every id fits, else 32; forgets all when MEMORY words are held."""
 
     def __init__(self, path: str, end: int = END) -> None:
-        self.tok, self.known, self.cores = _tokenizer(path), {}, {}
-        self.tok.no_truncation(), self.tok.no_padding()
+        self.tok, self.known, self.parts = _tokenizer(path), {}, {}
         self.kind = id_type(self.tok, end)
 
     def learn(self, words: set) -> None:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > MEMORY:
-            self.known, self.cores, new = {}, {}, list(words)
-        parts = []
-        for w in new:
-            core = w.rstrip(TAILS)
-            if core.isalpha():  # letters and the signs after them are always tokens of their own
-                parts.append((w, core.lower() if core.isascii() else core, w[len(core) :]))
-            else:
-                parts.append((w, w, ""))
-        need = list({p for _, core, tail in parts for p in (core, tail) if p and p not in self.cores})
-        for i in range(0, len(need), 2000):
-            part = need[i : i + 2000]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.cores[w] = np.array(e.ids, self.kind).tobytes()
-        for w, core, tail in parts:
-            self.known[w] = self.cores[core] + self.cores[tail] if tail else self.cores[core]
+            self.known, self.parts, new = {}, {}, list(words)
+        cut = [parts_of(w) for w in new]
+        need = list({p for c in cut for p in c if p not in self.parts})
+        self.parts.update(zip(need, encode_words(self.tok, need, self.kind)))
+        for w, c in zip(new, cut):
+            self.known[w] = b"".join([self.parts[p] for p in c])
 
 
 @lru_cache(1)
@@ -62,14 +51,6 @@ def word_cache(path: str, end: int) -> WordCache:
     return WordCache(path, end)
 
 
-def id_type(tok, end: int) -> str:
-    return "<u2" if max(end, *tok.get_vocab(with_added_tokens=True).values()) < 65_536 else "<u4"
-
-
-def open_fs(uri: str):
-    return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 def write_files(docs: DataFrame, path: str, folder: str | None = None, end: int = END) -> tuple[DataFrame, str]:
     """Writes the files and returns the manifest: file, part, docs, tokens, base (tokens before it), and the folder."""
     spark = docs.sparkSession

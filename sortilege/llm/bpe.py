@@ -71,7 +71,10 @@ def id_type(tok, end: int = 0) -> str:
 def encode_words(tok, words: list[str], kind: str) -> list[bytes]:
     out = []
     for i in range(0, len(words), 2000):
-        out += [np.array(e.ids, kind).tobytes() for e in tok.encode_batch_fast(words[i : i + 2000], add_special_tokens=False)]
+        ids = [e.ids for e in tok.encode_batch_fast(words[i : i + 2000], add_special_tokens=False)]
+        ends = (np.cumsum([0, *map(len, ids)]) * int(kind[-1])).tolist()
+        data = np.array([x for w in ids for x in w], kind).tobytes()
+        out += [data[a:z] for a, z in zip(ends, ends[1:])]
     return out
 
 

@@ -73,10 +73,10 @@ def write_files(docs: DataFrame, path: str, folder: str | None = None, end: int
             if out is None:
                 name = f"{part:06d}-{uuid.uuid4().hex}"
                 out = fs.open_output_stream(f"{at}/{name}.bin")
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = split_words(t)
-                cache.learn(set(words))
-                data = b"".join([cache.known[w] for w in words]) + last
+            lists = [split_words(t) for t in b.column(1).to_pylist()]
+            cache.learn(set().union(*lists))
+            for i, words in zip(b.column(0).to_pylist(), lists):
+                data = b"".join(map(cache.known.__getitem__, words)) + last
                 out.write(data)
                 tokens += len(data) // wide
                 offs.append(tokens)

@@ -14,6 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ BASE, RATE, LIMIT = 1.001, 20.0, 65_535
 SLACK = 4.5
 #: Members of a bucket in one block; a task holds two blocks.
 BLOCK = 256
+#: Word hashes that a worker remembers.
+MEMORY = 500_000
 #: Ids sent to every executor up to this number (8 bytes each).
 BROADCAST_ROWS = 1_000_000
 
@@ -49,6 +52,22 @@ def shingles(text: str, size: int) -> set:
     return set(zip(*(w[i:] for i in range(size)))) if len(w) >= size else {tuple(w)}
 
 
+class WordHashes(dict):
+    """64-bit hashes of words; forgets all when MEMORY words are held."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMORY:
+            self.clear()
+        self[word] = out = xxhash.xxh3_64_intdigest(word)
+        return out
+
+
+@lru_cache(1)
+def word_hashes() -> WordHashes:
+    """One for each Python worker, which tasks use one after another."""
+    return WordHashes()
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -67,9 +86,12 @@ def shingle_hashes(word_hash: np.ndarray, size: int) -> np.ndarray:
 def registers(hashes: np.ndarray) -> np.ndarray:
     low = np.full(M, 2**32 - 1, np.uint32)
     h = (hashes >> np.uint64(32)).astype(np.uint32)
+    room = np.empty((512, M), np.uint32)
     for i in range(0, len(h), 512):
-        part = h[i : i + 512]
-        low = np.minimum(low, (part[None, :] * _A[:, None] + _B[:, None]).min(1))
+        part = h[i : i + 512, None]
+        out = np.multiply(part, _A, out=room[: len(part)])
+        out += _B
+        np.minimum(low, out.min(0), out=low)
     x = -np.log1p(-(low.astype(np.float64) + 0.5) / 2**32) / RATE
     return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, LIMIT).astype(np.uint16)
 
@@ -105,8 +127,7 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
             ids, ns, sets, regs, keys = [], [], [], [], []
             lists = [words_of(t) for t in b.column(1).to_pylist()]
             flat = [w for x in lists for w in x]
-            codes, uniques = pd.factorize(np.array(flat, object)) if flat else (np.zeros(0, int), [])
-            hashed = pd.util.hash_array(np.array([u.decode("utf-8", "surrogatepass") for u in uniques], object), categorize=False)[codes] if flat else np.zeros(0, np.uint64)
+            hashed = np.fromiter(map(word_hashes().__getitem__, flat), np.uint64, len(flat))
             at = 0
             for doc, x in zip(b.column(0).to_pylist(), lists):
                 ids.append(doc)

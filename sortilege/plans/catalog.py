@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import parse, tails
+from ..operators import battery as bt
 from ..operators import core as op
 from ..sources import views as v
 
@@ -81,6 +82,34 @@ def _places(s, d):
     return x.groupBy(F.col("n_name").alias("place")).agg(F.count(F.lit(1)).alias("winners"), F.sum(F.rint(F.col("s_acctbal") * 100).cast("long")).alias("amount_cents"), F.countDistinct("s_name").alias("outlets"))
 
 
+PLACES = ["ring", "small", "red widget", "widget", "blue", "bolt", "brand#1", "economy"]
+
+
+def _quads(s, d):
+    o = s.read.parquet(f"{d}/orders.parquet")
+    return o.select(F.col("o_orderpriority").alias("game"), F.transform(F.split(F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0"), ""), lambda x: x.cast("int")).alias("numbers"))
+
+
+def _by_source(s, d):
+    return v.set_draws(s, d).withColumn("source", F.when(F.col("draw_number") % 2 == 0, "a").otherwise("b"))
+
+
+def _outlets(s, d):
+    c, n = s.read.parquet(f"{d}/customer.parquet"), s.read.parquet(f"{d}/nation.parquet")
+    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_mktsegment").alias("game"), F.col("n_name").alias("outlet"))
+
+
+def _eras(s, d):
+    x = v.set_draws(s, d).select("game", "draw_date", F.explode("numbers").alias("number"))
+    y = F.year("draw_date")
+    return _rounded(op.contingency(x, F.concat((y - y % 3).cast("string"), F.lit("s"))), "chi2", "cramers_v")
+
+
+_GRID_SQL = """x AS (SELECT {k}, b, count(*) AS n FROM c GROUP BY ALL), t AS (SELECT {k}, sum(n) AS t, count(*) AS kinds, {size} AS size FROM x GROUP BY {k}),
+  z AS (SELECT *, coalesce(n, 0) - t / size AS o, t / size AS e FROM (SELECT {k}, t, kinds, size, lo + CAST(unnest(range(size)) AS INT) AS b FROM t JOIN (SELECT {k}, {lo} AS lo FROM x GROUP BY {k}) USING ({k})) LEFT JOIN x USING ({k}, b))"""
+_PLACE_SQL = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(upper({c}), '(^|[^A-Z0-9]){p.upper()}([^A-Z0-9]|$)') THEN '{p.upper()}' END" for c in ("p_type", "p_brand", "p_name") for p in sorted(PLACES, key=len, reverse=True)) + ")"
+
+
 one = lambda f: lambda s, d: f(v.single_draws(s, d))
 sets = lambda f: lambda s, d: f(v.set_draws(s, d))
 two = lambda f: lambda s, d: f(v.two_sources(s, d))
@@ -122,6 +151,27 @@ _ALL: dict = {
     "parsers": (_parsed, "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS archive, CAST(o_orderdate AS DATE) AS near, CAST(round_even(o_totalprice * 100, 0) AS BIGINT) AS cents, sha1(concat(o_orderkey, '||', CAST(o_orderdate AS DATE))) AS print FROM orders"),
     "best_match_link": (lambda s, d: op.best_match(_cards(s, d), v.single_draws(s, d)), f"WITH {D1}, k AS (SELECT draw_number AS card_id, game, number, CASE WHEN draw_number % 100 = 0 THEN draw_date ELSE draw_date + 400 END AS card_date FROM d1 WHERE draw_number % 50 = 0), j AS (SELECT card_id, d1.draw_number, card_date <> d1.draw_date AS other, row_number() OVER (PARTITION BY card_id ORDER BY card_date <> d1.draw_date, d1.draw_date, d1.draw_number) AS rn FROM k JOIN d1 USING (game, number)) SELECT card_id, draw_number, CASE WHEN other THEN 'numbers' ELSE 'numbers+date' END AS method FROM j WHERE rn = 1"),
     "anti_done": (lambda s, d: v.single_draws(s, d).select("game", "draw_date").distinct().join(v.single_draws(s, d).filter("wins > 0").select("game", "draw_date").distinct(), ["game", "draw_date"], "left_anti"), f"WITH {D1} SELECT DISTINCT game, draw_date FROM d1 EXCEPT SELECT game, draw_date FROM d1 WHERE wins > 0"),
+    "positional_chi2": (sets(lambda x: _rounded(bt.positional_frequency(x, 1, 7), "chi2", "effect")), f"WITH {DK}, c AS (SELECT game, CAST(i - 1 AS INT) AS pos, numbers[i] AS b FROM (SELECT game, numbers, unnest([1, 2, 3]) AS i FROM dk)), {_GRID_SQL.format(k='game, pos', size='7', lo='1')} SELECT game, pos, CAST(max(t) AS BIGINT) AS n, max(kinds) AS kinds, round(sum(o * o / e), 6) AS chi2, 6 AS dof, round(max(abs(o) / sqrt(e)), 6) AS effect FROM z GROUP BY game, pos"),
+    "bonus_frequency": (one(lambda x: _rounded(bt.bonus_frequency(x, "hour"), "chi2", "effect")), f"WITH {D1}, c AS (SELECT game, hour AS b FROM d1), {_GRID_SQL.format(k='game', size='max(b) - min(b) + 1', lo='min(b)')} SELECT game, 'hour' AS scope, 'bonus_frequency' AS test, CAST(max(t) AS BIGINT) AS n, round(sum(o * o / e), 6) AS chi2, max(size) - 1 AS dof, round(max(abs(o) / sqrt(e)), 6) AS effect FROM z GROUP BY game HAVING max(t) >= 100"),
+    "bonus_flag": (one(lambda x: bt.bonus_frequency(x, "wins")), f"WITH {D1} SELECT game, 'wins' AS scope, 'bonus_field_is_a_flag' AS test, count(*) AS n, CAST(NULL AS DOUBLE) AS chi2, CAST(NULL AS BIGINT) AS dof, CAST(NULL AS DOUBLE) AS effect FROM d1 GROUP BY game HAVING count(*) >= 100"),
+    "autocorr_lags": (one(lambda x: _rounded(bt.autocorrelations(x), "r")), f"WITH {D1}, l AS (SELECT *, row_number() OVER (PARTITION BY game ORDER BY draw_date, draw_number) AS nth FROM d1) SELECT a.game, k.lag, count(*) AS pairs, round(corr(a.number, b.number), 6) AS r FROM (SELECT unnest([1, 2, 3, 4, 5, 7, 10]) AS lag) k, l a JOIN l b ON a.game = b.game WHERE a.nth = b.nth + k.lag GROUP BY ALL"),
+    "digit_tests": (lambda s, d: _rounded(bt.digit_tests(_quads(s, d)), "chi2"), """WITH q AS (SELECT o_orderpriority AS game, o_orderkey % 10000 AS x FROM orders), g AS (SELECT game, x % 10 AS a, x // 10 % 10 AS b, x // 100 % 10 AS c, x // 1000 AS d FROM q),
+      n AS (SELECT game, count(*) AS n, count(*) FILTER (a = b AND b = c AND c = d) AS all_same, count(*) FILTER (a <> b AND a <> c AND a <> d AND b <> c AND b <> d AND c <> d) AS all_distinct FROM g GROUP BY game),
+      r AS (SELECT range AS i FROM range(10)), e AS (SELECT x.i + y.i + z.i + w.i AS s, count(*) / 10000 AS p FROM r x, r y, r z, r w GROUP BY 1), o AS (SELECT game, a + b + c + d AS s, count(*) AS o FROM g GROUP BY ALL)
+      SELECT game, max(n) AS n, max(all_same) AS all_same, max(all_distinct) AS all_distinct, round(sum((coalesce(o, 0) - n * p) ** 2 / (n * p)), 6) AS chi2, count(*) - 1 AS dof FROM (SELECT * FROM n, e) LEFT JOIN o USING (game, s) WHERE n * p >= 5 GROUP BY game"""),
+    "rate_changepoint": (one(lambda x: _rounded(bt.rate_changepoints(x), "magnitude", "before", "after")), f"""WITH {D1}, o AS (SELECT game, number, row_number() OVER (PARTITION BY game ORDER BY draw_date, draw_number) AS nth, count(*) OVER (PARTITION BY game) AS n FROM d1),
+      k AS (SELECT game, number AS ball, count(*) AS k FROM o GROUP BY ALL), s AS (SELECT game, ball, n, k, nth, CAST(sum(CAST(number = ball AS INT)) OVER (PARTITION BY game, ball ORDER BY nth) AS BIGINT) AS c FROM o JOIN k USING (game)),
+      f AS (SELECT *, abs(c * n - k * nth) AS far FROM s), m AS (SELECT *, row_number() OVER (PARTITION BY game, ball ORDER BY far DESC, nth) AS first FROM f), t AS (SELECT *, row_number() OVER (PARTITION BY game ORDER BY far DESC, ball DESC) AS rank FROM m WHERE first = 1)
+      SELECT game, CAST(rank AS INT) AS rank, ball AS number, nth AS at, round(far / n / sqrt(n), 6) AS magnitude, CASE WHEN nth > 1 THEN round(c / nth, 6) END AS before, CASE WHEN nth < n THEN round((k - c) / (n - nth), 6) END AS after FROM t WHERE rank <= 3"""),
+    "repeat_sets_by_source": (lambda s, d: _rounded(bt.repeat_sets_by_source(_by_source(s, d)), "expected"), f"WITH {DK}, c AS (SELECT game, CASE WHEN draw_number % 2 = 0 THEN 'a' ELSE 'b' END AS source, numbers, count(*) AS c FROM dk GROUP BY ALL) SELECT game, source, CAST(sum(c) AS BIGINT) AS draws, CAST(sum(c - 1) AS BIGINT) AS repeats, round(sum(c) * (sum(c) - 1) / 2 / (factorial(max(numbers[3])::INT) / (6 * factorial(max(numbers[3])::INT - 3))), 6) AS expected FROM c GROUP BY ALL HAVING sum(c) >= 200"),
+    "out_of_pool_examples": (one(lambda x: bt.examples_outside(x, 1, 90)), f"WITH {D1} SELECT game, number, count(*) AS n, array_to_string(list(draw_number ORDER BY draw_date, draw_number)[1:4], ',') AS examples FROM d1 WHERE number NOT BETWEEN 1 AND 90 GROUP BY ALL"),
+    "pool_calibration": (one(lambda x: bt.pool_calibration(x, 1, 90)), f"WITH {D1}, c AS (SELECT game, number, count(*) AS n FROM d1 GROUP BY ALL) SELECT game, 1 AS declared_low, 90 AS declared_high, coalesce(min(number) FILTER (n >= 3), min(number)) AS low, coalesce(max(number) FILTER (n >= 3), max(number)) AS high FROM c GROUP BY game HAVING low <> 1 OR high <> 90"),
+    "location_concentration": (lambda s, d: bt.concentration(_outlets(s, d)), "WITH c AS (SELECT c_mktsegment AS game, n_name AS outlet, count(*) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL) SELECT game, CAST(sum(c) AS BIGINT) AS n, max(c) AS most, count(*) AS outlets, array_to_string(list(concat(outlet, ' x', c) ORDER BY c DESC, outlet)[1:3], ', ') AS top FROM c GROUP BY game HAVING sum(c) >= 5"),
+    "match_place": (lambda s, d: bt.match_place(s.read.parquet(f"{d}/part.parquet"), PLACES, "p_type", "p_brand", "p_name").select("p_partkey", "place"), f"SELECT p_partkey, {_PLACE_SQL} AS place FROM part"),
+    "number_by_era": (_eras, _contingency_sql(DK + ", eras AS (SELECT game, concat(year(draw_date) - year(draw_date) % 3, 's') AS era, unnest(numbers) AS number FROM dk)", "era", "number").replace("__T__", "eras")),
+    "downsample": (one(lambda x: bt.downsample(x, 900).select("game", "draw_number", "number")), f"WITH {D1}, i AS (SELECT *, row_number() OVER (PARTITION BY game ORDER BY draw_date, draw_number) - 1 AS i, count(*) OVER (PARTITION BY game) AS n FROM d1) SELECT game, draw_number, number FROM i WHERE i % greatest(1, n // 900) = 0 OR i = n - 1"),
+    "json_draws": (one(lambda x: bt.json_rows(x.select("game", "draw_number", "number"))), f"WITH {D1} SELECT CAST(to_json({{'game': game, 'draw_number': draw_number, 'number': number}}) AS TEXT) AS json FROM d1"),
+    "report_lines": (lambda s, d: bt.report_lines(_findings(s, d)), None),
     "findings": (_findings, None),
 }
 QUERIES: dict = {k: f for k, (f, _) in _ALL.items()}

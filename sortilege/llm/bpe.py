@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +28,7 @@ from .textblocks import blocks
 
 #: Characters of text after which a block ends; rows of an Arrow batch of words.
 BLOCK_CHARS, ROWS = 24_000_000, 50_000
-#: Signs that may end a word; behind letters they are always tokens of their own.
+#: Signs that may end a word; behind letters they are tokens of their own, but not behind a combining mark.
 TAILS = ".,!?|"
 _CONTROL = re.compile("[\x1c-\x1f]")
 #: White space as the vocabulary's own split sees it, for texts where str.split would differ.
@@ -42,10 +43,16 @@ def split_words(text: str) -> list[str]:
 
 
 def parts_of(word: str) -> tuple[str, ...]:
-    """Parts of a word that the vocabulary's split never joins, so that fewer distinct ones are left."""
+    """Parts of a word that the vocabulary's split never joins, so that fewer distinct ones are left.
+
+    A letter that the vocabulary's NFC or lower case turns into letter and mark
+    (U+0130, nukta letters) joins the signs behind it: such words stay whole.
+    """
     core = word.rstrip(TAILS)
     if not core.isalpha():
         return (word,)
+    if len(core) < len(word) and not (core.isascii() or unicodedata.normalize("NFC", core).lower().isalpha()):
+        return (word,)
     low = core.lower() if core.isascii() else core
     return (low, word[len(core) :]) if len(core) < len(word) else (low,)
 

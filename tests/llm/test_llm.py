@@ -80,6 +80,21 @@ def test_bpe_and_files(spark):
     assert bpe.encode(table(spark, []), vocabulary()).count() == tokenfiles.round_trip(table(spark, []), vocabulary()).count() == 0
 
 
+def test_letters_that_become_marks(spark):
+    """Letters that NFC or lower case turn into letter and mark join the signs behind them."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary())
+    t.no_truncation(), t.no_padding()
+    texts = ["AL\u0130. bir", "\u0958. \u0958!", "\ufb2a. x", "\u0130 \u00c9t\u00e9. na\u00efve!", "\u0958\u0915.,"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    df = spark.createDataFrame([(i, x, "tr", "s", 0, "n", "d") for i, x in enumerate(texts)], DOCS)
+    assert {r.doc_id: r.ids for r in bpe.encode(df, vocabulary()).collect()} == dict(enumerate(want))
+    starts = np.cumsum([0] + [len(w) + 1 for w in want])
+    for r in tokenfiles.round_trip(df, vocabulary()).collect():
+        assert (r.start, r.n_tokens, r.ids_crc32) == (starts[r.doc_id], len(want[r.doc_id]) + 1, zlib.crc32(np.array(want[r.doc_id] + [1], "<u4").tobytes()))
+
+
 @pytest.mark.parametrize("size", [2, 5])
 def test_near(spark, size):
     rng = np.random.default_rng(size)

@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from .quality import crc_mod
 from .textblocks import blocks
 
-#: Bounds of the fit: documents of each label, their length in characters, and prefixes and odds looked at.
-SAMPLE_ROWS, SAMPLE_CHARS = 2_500, 40_000
+#: Bounds of the fit for each label: documents, and characters of all of them together (one document is always taken).
+SAMPLE_ROWS, SAMPLE_CHARS = 2_500, 100_000_000
+#: Weights are trained on windows of so many words that together cover each document; cells of a batch; step.
+WINDOW, CELLS, RATE = 400, 2_000_000, 0.0008
 PREFIXES = (4, 5, 6)
 THRESHOLD, STRONG, MEMORY = 0.7, 3.0, 300_000
 _WORD = re.compile(r"\w+")
@@ -33,17 +35,17 @@ def keys_of(word: str) -> list[tuple[int, str]]:
 
 class CRF:
     def __init__(self, texts: list[str], toxic: list[int]) -> None:
-        docs = [[w.lower() for w in _WORD.findall(t)] for t in texts]
         count = {0: Counter(), 1: Counter()}
-        for d, y in zip(docs, toxic):
-            count[y].update({k for w in set(d) for k in keys_of(w)})
+        for t, y in zip(texts, toxic):
+            count[y].update({k for w in {w.lower() for w in _WORD.findall(t)} for k in keys_of(w)})
         n1, n0 = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
         least = max(4, round(0.008 * n1))
         #: Log odds of the words and prefixes that mark toxic documents.
         self.odds = {k: min(8.0, float(np.log((c + 0.1) / n1) - np.log((count[0][k] + 0.1) / n0))) for k, c in count[1].items() if c >= least and np.log((c + 0.1) / n1) - np.log((count[0][k] + 0.1) / n0) > STRONG}
         self.w, self.trans = np.array([-4.0, 1.0]), np.zeros((2, 2))
         self.cut, self.known = 0.0, {}
-        self._train([np.array([self.feature(w) for w in d]) for d in docs if d], [y for d, y in zip(docs, toxic) if d])
+        rows = [np.array([self.feature(w.lower()) for w in _WORD.findall(t)]) for t in texts]
+        self._train([r for r in rows if len(r)], [y for r, y in zip(rows, toxic) if len(r)])
 
     def feature(self, word: str) -> float:
         f = self.known.get(word)
@@ -57,8 +59,11 @@ class CRF:
         """P(token is toxic), by forward-backward over rows of like length together."""
         out: list = [np.zeros(0)] * len(rows)
         order = sorted((i for i in range(len(rows)) if len(rows[i])), key=lambda i: len(rows[i]))
-        for at in range(0, len(order), 512):
+        at = 0
+        while at < len(order):
             part = order[at : at + 512]
+            part = part[: max(1, CELLS // len(rows[part[-1]]))]
+            at += len(part)
             p = self._batch([rows[i] for i in part])[0]
             for k, i in enumerate(part):
                 out[i] = p[: len(rows[i]), k]
@@ -87,32 +92,33 @@ class CRF:
         return p, e, f, b, n
 
     def _train(self, rows: list[np.ndarray], toxic: list[int], steps: int = 60) -> None:
-        rng = np.random.default_rng(1)
-        use = sorted(range(len(rows)), key=lambda i: (len(rows[i]), i))
-        use = [i for i in use if len(rows[i]) <= 400][:: max(1, len(use) // 1500)]
-        if not use or not any(toxic):
+        if not any(toxic):
             self.cut = np.inf
             return
-        gold = [((rows[i] > STRONG) & bool(toxic[i])).astype(float) for i in use]
-        rate = 0.5 / sum(map(len, gold)) ** 0.5
+        use = [(r[a : a + WINDOW], y) for r, y in zip(rows, toxic) for a in range(0, len(r), WINDOW)]
+        use.sort(key=lambda u: len(u[0]))
+        size = CELLS // WINDOW // 10
         for _ in range(steps):
             grad, move = np.zeros(2), np.zeros((2, 2))
-            for at in range(0, len(use), 512):
-                part, ys = [rows[i] for i in use[at : at + 512]], gold[at : at + 512]
+            for at in range(0, len(use), size):
+                part = [r for r, _ in use[at : at + size]]
                 p, e, f, b, n = self._batch(part)
-                t = np.exp(self.trans)
-                for k, (r, y) in enumerate(zip(part, ys)):
-                    d = y - p[: len(r), k]
-                    grad += [d.sum(), d @ r]
-                    if len(r) > 1:
-                        fk, bk, ek = f[: len(r) - 1, k], b[1 : len(r), k], e[1 : len(r), k]
-                        j = np.stack([(1 - fk) * t[0, 0] * (1 - bk), (1 - fk) * t[0, 1] * bk * ek, fk * t[1, 0] * (1 - bk), fk * t[1, 1] * bk * ek])
-                        expected = (j / j.sum(0)).sum(1).reshape(2, 2)
-                        y0, y1 = y[:-1], y[1:]
-                        move += np.array([[((1 - y0) * (1 - y1)).sum(), ((1 - y0) * y1).sum()], [(y0 * (1 - y1)).sum(), (y0 * y1).sum()]]) - expected
-            self.w = self.w + rate * np.sign(grad) * np.minimum(1, np.abs(grad)) * 4
-            self.trans = self.trans + rate * np.sign(move) * np.minimum(1, np.abs(move))
-        rng.shuffle(use)
+                x = np.zeros(p.shape)
+                for k, r in enumerate(part):
+                    x[: len(r), k] = r
+                y = (x > STRONG) * np.array([float(t) for _, t in use[at : at + size]])
+                inside = np.arange(len(p))[:, None] < n
+                d = np.where(inside, y - p, 0.0)
+                grad += [d.sum(), (d * x).sum()]
+                t, pairs = np.exp(self.trans), inside[1:]
+                f0, f1, b0, b1 = 1 - f[:-1], f[:-1], 1 - b[1:], b[1:] * e[1:]
+                j = [[f0 * t[0, 0] * b0, f0 * t[0, 1] * b1], [f1 * t[1, 0] * b0, f1 * t[1, 1] * b1]]
+                whole = j[0][0] + j[0][1] + j[1][0] + j[1][1]
+                for u, left in enumerate((1 - y[:-1], y[:-1])):
+                    for v, right in enumerate((1 - y[1:], y[1:])):
+                        move[u, v] += ((left * right - j[u][v] / whole) * pairs).sum()
+            self.w = self.w + RATE * np.sign(grad) * np.minimum(1, np.abs(grad)) * 4
+            self.trans = self.trans + RATE * np.sign(move) * np.minimum(1, np.abs(move))
         s, y = np.array([self.raw(p) for p in self.marginals(rows)]), np.array(toxic)
         order = np.argsort(s, kind="stable")
         wrong = np.concatenate([[(y == 0).sum()], (y == 0).sum() - np.cumsum(y[order] == 0) + np.cumsum(y[order] == 1)])
@@ -133,12 +139,22 @@ class CRF:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> CRF:
-    """Fits on at most `rows` documents of each label, of up to SAMPLE_CHARS characters, drawn by a hash of their id; not on the held-out fold."""
+    """Fits on at most `rows` documents of each label, drawn by a hash of their id; not on the held-out fold.
+
+    Texts of any length are taken, whole, until SAMPLE_CHARS are reached.
+    """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), 3) != 1))
     known = known.groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("y"))
     drawn = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
     drawn = F.broadcast(drawn[0].unionByName(drawn[1]))
-    got = docs.filter(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text").join(drawn, "doc_id").limit(4 * rows).collect()
+    sizes = docs.filter(F.length("text") > 0).join(drawn, "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.sum(F.length("text")).alias("chars"), F.xxhash64("doc_id").alias("h")).collect()
+    used, ids = [0, 0], []
+    for r in sorted(sizes, key=lambda r: (r.h, r.doc_id)):
+        if not used[r.y] or used[r.y] + r.chars <= SAMPLE_CHARS:
+            used[r.y] += r.chars
+            ids.append((r.doc_id, r.y))
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, y int"))
+    got = docs.select("doc_id", "text").join(chosen, "doc_id").filter(F.length("text") > 0).collect()
     got.sort(key=lambda r: (r.doc_id, r.text))
     return CRF([r.text for r in got], [r.y for r in got])
 

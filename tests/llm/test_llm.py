@@ -188,6 +188,24 @@ def test_toxic_spans():
     assert p[0][1] > 0.5 > p[0][0] and m.score(p[0]) > 0.7 > m.score(p[1])
 
 
+@pytest.mark.parametrize("short_clean", [False, True])
+def test_toxic_long_texts(short_clean):
+    """Labelled texts of over 400 words train the weights too, whether or not there are short clean ones."""
+    fill = lambda i: " ".join(f"w{(i * 7 + k) % 300}" for k in range(500))
+    texts = [f"{fill(i)} {'moron' if i % 2 else 'gamma'} {fill(i + 3)}" for i in range(60)] + (["alpha beta w1"] * 20 if short_clean else [])
+    toxic = [i % 2 for i in range(60)] + [0] * (len(texts) - 60)
+    m = toxicity.CRF(texts, toxic)
+    p = m.marginals([np.array([m.feature(w) for w in t.split()]) for t in texts])
+    assert [int(m.score(x) >= toxicity.THRESHOLD) for x in p] == toxic
+    assert m.w[1] > 1.0  # towards the toxic tokens
+
+
+def test_toxic_very_long_text(spark):
+    rows = [(i, "w1 w2 " * 8000 + ("moron" if i % 2 else "gamma"), "en", "s", 0, "n", "d") for i in range(30)]
+    got = toxicity.score(table(spark, rows), spark.createDataFrame([(i, 0, i % 2) for i in range(30)], "doc_id long, quality int, toxic int"))
+    assert {r.doc_id: r.predicted for r in got.collect()} == {i: i % 2 for i in range(30)}
+
+
 def test_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs, lab = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")

@@ -2,8 +2,9 @@
 
 Each language has byte context trees of orders 2, 1 and 0 with escapes (method C
 estimates: distinct successors over occurrences). Statistics are frozen after the
-fit, so the code length of a byte depends on the two before it only; it is laid
-out as a dense table over a bounded byte alphabet, and texts are scored exactly.
+fit, so the code length of a byte depends on the two before it only. Orders 0 and 1
+are laid out densely over the bytes seen; of order 2 only the contexts seen are
+kept, and any other costs its escape and the lower order. Texts are scored exactly.
 """
 
 from __future__ import annotations
@@ -15,62 +16,107 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import crc_mod
-from .textblocks import blocks, offsets, raw_bytes
+from .textblocks import blocks, raw_bytes
 
-#: Bounds of the fit: documents for each language, and byte classes (rarer bytes share the last).
-SAMPLE_ROWS, CLASSES = 1_000, 96
+#: Bound of the fit: documents for each language, of any length. Their counts are added up in Spark.
+SAMPLE_ROWS = 1_000
 _LETTER = regex.compile(r"\p{L}")
 
 
+def _spaced(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' bytes with two spaces before each row, and the place of each row's first byte less two."""
+    n = len(at) - 1
+    spaced = np.full(len(data) + 2 * n, 32, np.uint8)
+    row = np.repeat(np.arange(n), np.diff(at))
+    spaced[np.arange(len(data)) + 2 * (row + 1)] = data
+    return spaced, at[:-1] + 2 * np.arange(n)
+
+
+def counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Each byte with the two before it, as one number, and how often it occurs; a text starts after two spaces."""
+    raw = b"".join(b"  " + t.encode() for t in texts)
+    ends = np.cumsum([0, *(len(t.encode()) + 2 for t in texts)])
+    c = np.frombuffer(raw, np.uint8).astype(np.int64)
+    own = np.ones(max(0, len(c) - 2), bool)
+    for skip in (2, 1):  # what comes next there is a space before the next text
+        own[ends[1:-1] - skip] = False
+    return np.unique((c[:-2] << 16 | c[1:-1] << 8 | c[2:])[own], return_counts=True)
+
+
 class PPM:
-    def __init__(self, samples: dict[str, bytes]) -> None:
+    """Of {language: (three bytes as one number, occurrences)}."""
+
+    def __init__(self, samples: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
         self.langs = sorted(samples)
-        seen = sum((np.bincount(np.frombuffer(b, np.uint8), minlength=256) for b in samples.values()), np.zeros(256, np.int64))
-        top = [c for c in np.argsort(-seen, kind="stable")[: CLASSES - 1] if seen[c]]
-        self.size = a = len(top) + 1
-        self.klass = np.full(256, a - 1, np.int32)
-        self.klass[np.array(top, int)] = np.arange(len(top))
-        tables = []
+        seen = np.unique(np.concatenate([[32], *(k >> s & 255 for k, _ in samples.values() for s in (16, 8, 0))]).astype(int))
+        self.size = a = len(seen) + 1  # the last stands for all bytes never seen, which no statistic tells apart
+        self.klass = np.full(256, a - 1, np.int64)
+        self.klass[seen] = np.arange(a - 1)
+        self.models = []
         for lang in self.langs:
-            c = self.klass[np.frombuffer(samples[lang], np.uint8)]
-            p = np.full(a, 1 / a)
-            for order in (0, 1, 2):
-                key = np.zeros(max(0, len(c) - order), np.int64)
-                for j in range(order + 1):
-                    key = key * a + c[j : len(c) - order + j]
-                n = np.bincount(key, minlength=a ** (order + 1)).reshape(-1, a)
-                total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
-                escape = np.where(total > 0, kinds / np.maximum(1, total + kinds), 1.0)
-                lower = p if order < 2 else np.tile(p, (a, 1))  # contexts share their last byte
-                lower = np.broadcast_to(lower, (a**order, a)) if order < 2 else lower
-                p = n / np.maximum(1, total + kinds) + escape * lower
-            tables.append(-np.log2(np.maximum(p, 1e-12)).astype(np.float32).reshape(-1))
-        self.bits = np.stack(tables, 1) if tables else np.zeros((a**3, 0), np.float32)
+            key, n = samples[lang]
+            x, y, z = (self.klass[key >> s & 255] for s in (16, 8, 0))
+            p, tree = np.full(a, 1 / 256), []
+            for flat, rows in ((z, 1), (y * a + z, a)):
+                c = np.bincount(flat, n, rows * a).reshape(rows, a)
+                total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
+                p = c / np.maximum(1, total + kinds) + np.where(total > 0, kinds / np.maximum(1, total + kinds), 1.0) * p
+            p = p.reshape(-1)
+            two = x * a + y
+            total, kinds = np.bincount(two, n, a * a), np.bincount(two, minlength=a * a)
+            escape = np.where(total > 0, kinds / np.maximum(1, total + kinds), 1.0)
+            best = n / (total + kinds)[two] + escape[two] * p[y * a + z]
+            key = two * a + z
+            order = np.argsort(key)
+            bits = lambda v: -np.log2(np.maximum(v, 1e-30)).astype(np.float32)
+            self.models.append((key[order].astype(np.int32), bits(best[order]), bits(escape), bits(p)))
 
     def lengths(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Code length in bits of each row in each language; a row starts after two spaces."""
-        n, out = len(at) - 1, np.zeros((len(at) - 1, len(self.langs)))
-        spaced = np.full(len(data) + 2 * n, 32, np.uint8)
-        row = np.repeat(np.arange(n), np.diff(at))
-        spaced[np.arange(len(data)) + 2 * (row + 1)] = data
+        n, a = len(at) - 1, self.size
+        out = np.zeros((n, len(self.langs)))
+        spaced, first = _spaced(data, at)
         c = self.klass[spaced]
-        key = (c[:-2] * self.size + c[1:-1]) * self.size + c[2:]
-        first = at[:-1] + 2 * np.arange(n)
-        for k in range(len(self.langs)):
-            sums = np.concatenate([[0.0], np.cumsum(self.bits[key, k], dtype=np.float64)])
+        key = (c[:-2] * a + c[1:-1]) * a + c[2:]
+        place = np.zeros(a**3, np.int32)
+        place[key] = 1
+        kinds = np.flatnonzero(place)
+        place[kinds] = np.arange(len(kinds))
+        where = place[key]
+        for k, (known, best, escape, lower) in enumerate(self.models):
+            cost = escape[kinds // a] + lower[kinds % (a * a)]
+            i = np.minimum(np.searchsorted(known, kinds.astype(np.int32)), len(known) - 1)
+            cost = np.where(known[i] == kinds, best[i], cost)
+            sums = np.concatenate([[0.0], np.cumsum(cost[where], dtype=np.float64)])
             out[:, k] = sums[first + np.diff(at)] - sums[first]
         return out
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> PPM:
-    """Fits on at most `rows` documents of each language, drawn by a hash of their id, outside the held-out fold."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), 3) != 1))
-    langs = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    part = known.join(F.broadcast(langs.limit(500)), "lang").filter(F.abs(F.xxhash64("doc_id")) % 1_000_000 < F.lit(rows) * 1_000_000 / F.col("n"))
-    texts: dict[str, list] = {}
-    for r in part.filter(F.length("text") <= 20_000).select("lang", "doc_id", "text").toLocalIterator():
-        texts.setdefault(r.lang, []).append((r.doc_id, r.text))
-    return PPM({k: ("  " + "  ".join(t for _, t in sorted(v))).encode() for k, v in texts.items()})
+    """Fits on about `rows` documents of each language, drawn by a hash of their id, outside the held-out fold.
+
+    Texts of any length and all languages that have one are learnt; counts meet in Spark, so no text reaches the driver.
+    """
+    known = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0) & (crc_mod(F.col("doc_id"), 3) != 1)).select("lang", "doc_id", "text")
+    langs = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(F.abs(F.xxhash64("doc_id")) % 1_000_000).alias("least"))
+    hashed = F.abs(F.xxhash64("doc_id")) % 1_000_000
+    part = known.join(F.broadcast(langs), "lang").filter((hashed < F.lit(rows) * 1_000_000 / F.col("n")) | (hashed == F.col("least")))
+
+    def run(batches):
+        for b in blocks(batches):
+            texts: dict[str, list] = {}
+            for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                texts.setdefault(lang, []).append(t)
+            for lang, got in texts.items():
+                key, n = counts(got)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key, pa.int32()), pa.array(n, pa.int64())], ["lang", "key", "n"])
+
+    got = part.select("lang", "text").mapInArrow(run, "lang string, key int, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
+    lang, key, n = got.column("lang").to_numpy(), got.column("key").to_numpy().astype(np.int64), got.column("n").to_numpy()
+    order = np.lexsort((key, lang)) if len(key) else np.zeros(0, int)
+    lang, key, n = lang[order], key[order], n[order]
+    starts = [i for i in range(len(lang)) if not i or lang[i] != lang[i - 1]]
+    return PPM({lang[i]: (key[i:j], n[i:j]) for i, j in zip(starts, [*starts[1:], len(lang)])})
 
 
 def identify(docs: DataFrame) -> DataFrame:

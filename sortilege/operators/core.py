@@ -187,8 +187,13 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataF
 
 
 def best_match(cards: DataFrame, draws: DataFrame) -> DataFrame:
-    """Links each card (card_id, game, number, card_date) to a draw of its numbers, one of its date first."""
-    c = cards.join(draws.select("game", "number", "draw_number", "draw_date"), ["game", "number"])
-    same = F.coalesce(F.col("card_date") == F.col("draw_date"), F.lit(False))
-    first = F.min(F.struct((~same).alias("other"), "draw_date", "draw_number")).alias("f")
-    return c.groupBy("card_id").agg(first).select("card_id", F.col("f.draw_number").alias("draw_number"), F.when(F.col("f.other"), "numbers").otherwise("numbers+date").alias("method"))
+    """Links each card (card_id, game, number, card_date) to a draw of its numbers, one of its date first.
+
+    Cards meet the first draw of their numbers, and of their numbers and date; no pairs of a group are made.
+    """
+    d = draws.select("game", "number", "draw_number", "draw_date")
+    every = d.groupBy("game", "number").agg(F.min(F.struct("draw_date", "draw_number")).alias("any"))
+    dated = d.filter("draw_date IS NOT NULL").groupBy("game", "number", F.col("draw_date").alias("card_date")).agg(F.min(F.struct("draw_date", "draw_number")).alias("same"))
+    c = cards.join(every, ["game", "number"]).join(dated, ["game", "number", "card_date"], "left")
+    first = F.min(F.struct(F.col("same").isNull().alias("other"), F.coalesce("same", "any").alias("draw"))).alias("f")
+    return c.groupBy("card_id").agg(first).select("card_id", F.col("f.draw.draw_number").alias("draw_number"), F.when(F.col("f.other"), "numbers").otherwise("numbers+date").alias("method"))

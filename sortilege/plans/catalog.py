@@ -57,8 +57,8 @@ def _upsert(s, d):
     return op.upsert(e, e.filter("draw_number % 4 = 0").select("game", "draw_number", F.when(F.col("draw_number") % 8 == 0, F.col("jackpot_cents") + 1).alias("jackpot_cents"), (F.col("wins") + 1).alias("wins"), F.lit(2).alias("version")), ["game", "draw_number"], "version")
 
 
-def _cards(s, d):
-    return v.single_draws(s, d).filter("draw_number % 50 = 0").select(F.col("draw_number").alias("card_id"), "game", "number", F.when(F.col("draw_number") % 100 == 0, F.col("draw_date")).otherwise(F.date_add("draw_date", 400)).alias("card_date"))
+def _cards(s, d, part: str = "draw_number % 50 = 0"):
+    return v.single_draws(s, d).filter(part).select(F.col("draw_number").alias("card_id"), "game", "number", F.when(F.col("draw_number") % 100 == 0, F.col("draw_date")).otherwise(F.date_add("draw_date", 400)).alias("card_date"))
 
 
 def _findings(s, d):
@@ -150,6 +150,7 @@ _ALL: dict = {
     "upsert_merge": (_upsert, f"WITH {D1} SELECT game, draw_number, CASE WHEN draw_number % 8 = 0 THEN coalesce(jackpot_cents + 1, jackpot_cents) ELSE jackpot_cents END AS jackpot_cents, CASE WHEN draw_number % 4 = 0 THEN wins + 1 ELSE wins END AS wins, CAST(CASE WHEN draw_number % 4 = 0 THEN 2 ELSE 1 END AS INT) AS version FROM d1"),
     "parsers": (_parsed, "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS archive, CAST(o_orderdate AS DATE) AS near, CAST(round_even(o_totalprice * 100, 0) AS BIGINT) AS cents, sha1(concat(o_orderkey, '||', CAST(o_orderdate AS DATE))) AS print FROM orders"),
     "best_match_link": (lambda s, d: op.best_match(_cards(s, d), v.single_draws(s, d)), f"WITH {D1}, k AS (SELECT draw_number AS card_id, game, number, CASE WHEN draw_number % 100 = 0 THEN draw_date ELSE draw_date + 400 END AS card_date FROM d1 WHERE draw_number % 50 = 0), j AS (SELECT card_id, d1.draw_number, card_date <> d1.draw_date AS other, row_number() OVER (PARTITION BY card_id ORDER BY card_date <> d1.draw_date, d1.draw_date, d1.draw_number) AS rn FROM k JOIN d1 USING (game, number)) SELECT card_id, draw_number, CASE WHEN other THEN 'numbers' ELSE 'numbers+date' END AS method FROM j WHERE rn = 1"),
+    "best_match_all": (lambda s, d: op.best_match(_cards(s, d, "true"), v.single_draws(s, d)), f"WITH {D1}, k AS (SELECT draw_number AS card_id, game, number, CASE WHEN draw_number % 100 = 0 THEN draw_date ELSE draw_date + 400 END AS card_date FROM d1), j AS (SELECT card_id, d1.draw_number, card_date <> d1.draw_date AS other, row_number() OVER (PARTITION BY card_id ORDER BY card_date <> d1.draw_date, d1.draw_date, d1.draw_number) AS rn FROM k JOIN d1 USING (game, number)) SELECT card_id, draw_number, CASE WHEN other THEN 'numbers' ELSE 'numbers+date' END AS method FROM j WHERE rn = 1"),
     "anti_done": (lambda s, d: v.single_draws(s, d).select("game", "draw_date").distinct().join(v.single_draws(s, d).filter("wins > 0").select("game", "draw_date").distinct(), ["game", "draw_date"], "left_anti"), f"WITH {D1} SELECT DISTINCT game, draw_date FROM d1 EXCEPT SELECT game, draw_date FROM d1 WHERE wins > 0"),
     "positional_chi2": (sets(lambda x: _rounded(bt.positional_frequency(x, 1, 7), "chi2", "effect")), f"WITH {DK}, c AS (SELECT game, CAST(i - 1 AS INT) AS pos, numbers[i] AS b FROM (SELECT game, numbers, unnest([1, 2, 3]) AS i FROM dk)), {_GRID_SQL.format(k='game, pos', size='7', lo='1')} SELECT game, pos, CAST(max(t) AS BIGINT) AS n, max(kinds) AS kinds, round(sum(o * o / e), 6) AS chi2, 6 AS dof, round(max(abs(o) / sqrt(e)), 6) AS effect FROM z GROUP BY game, pos"),
     "bonus_frequency": (one(lambda x: _rounded(bt.bonus_frequency(x, "hour"), "chi2", "effect")), f"WITH {D1}, c AS (SELECT game, hour AS b FROM d1), {_GRID_SQL.format(k='game', size='max(b) - min(b) + 1', lo='min(b)')} SELECT game, 'hour' AS scope, 'bonus_frequency' AS test, CAST(max(t) AS BIGINT) AS n, round(sum(o * o / e), 6) AS chi2, max(size) - 1 AS dof, round(max(abs(o) / sqrt(e)), 6) AS effect FROM z GROUP BY game HAVING max(t) >= 100"),

@@ -11,11 +11,19 @@ FALLBACK = "file:///tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; FALLBACK where that is unset."""
+    """The folder in spark.checkpoint.dir; FALLBACK where that is unset on one machine. A cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (found or FALLBACK).rstrip("/")
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows under plain column names c0_, c1_, ... that clash with no column of an operator, and the new name of each."""
+    names = [f"c{i}_" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names))
+
+
 class Scratch:
     """A folder of Parquet tables under the shared folder.
 

@@ -37,3 +37,42 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = column.buffers()[2]
     whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return whole[at[0] : at[-1]], at - at[0]
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole groups of rows with equal first columns, from batches in which these are neighbours."""
+    held, key = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for a, z in zip(cuts, cuts[1:]):
+            if held and keys[a] != key:
+                yield whole(held)
+                held = []
+            held.append(b.slice(a, z - a))
+            key = keys[a]
+    if held:
+        yield whole(held)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in larger batches."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield whole(held)
+            held, n = [], 0
+    if held:
+        yield whole(held)
+
+
+def whole(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One batch of several."""
+    if len(batches) == 1:
+        return batches[0]
+    joined = pa.Table.from_batches(batches).combine_chunks()
+    return pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in joined.columns], joined.schema.names)

@@ -90,7 +90,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, folds: int
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row, empty and null texts too; an empty table gives no rows."""
+    """doc_id, held_out, score, predicted for every row, empty and null texts too.
+
+    Rows that repeat an id are scored each; equal texts have equal scores, and a
+    score of just THRESHOLD counts as good. A null doc_id is held out or not as
+    the empty string is. An empty table gives no rows; other columns are ignored.
+    """
     model = fit(docs, labels)
 
     def run(batches):
@@ -103,11 +108,17 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier accepts, with their own columns."""
-    model = fit(docs, labels)
+    """The documents that the classifier accepts, with their own columns, whatever these are named.
 
-    @F.pandas_udf("boolean")
-    def good(text):
-        return (text.map(lambda t: model.scores(np.array([text_features(t or "")]))[0]) >= THRESHOLD).astype(bool)
+    Null text is judged as an empty one. Rows that repeat an id or a text are
+    judged each by its text, so equal texts go or stay together. An empty table
+    gives no rows; with no usable label all stay.
+    """
+    model, at = fit(docs, labels), docs.columns.index("text")
+
+    def run(batches):
+        for b in blocks(batches, at):
+            s = model.scores(np.array([text_features(t or "") for t in b.column(at).to_pylist()]))
+            yield b.filter(pa.array(s >= THRESHOLD))
 
-    return docs.filter(good(F.coalesce(docs["text"], F.lit(""))))
+    return docs.mapInArrow(run, docs.schema)

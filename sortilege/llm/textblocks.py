@@ -11,13 +11,13 @@ import pyarrow as pa
 BLOCK_BYTES = 2_000_000
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str | int = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts each batch so that working arrays stay small whatever the batch size; no row is lost."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        ends = offsets(batch.column(column))[1:]
-        start, base = 0, int(offsets(batch.column(column))[0])
+        found = offsets(batch.column(column))
+        ends, start, base = found[1:], 0, int(found[0])
         while start < batch.num_rows:
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)

@@ -9,17 +9,19 @@ checked on the full bytes.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, numbered
 
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # a store takes local disk only while its task runs
 }
-#: Digests that one partition of the state is to hold. A store has a fixed cost of disk and time, so their number follows the data.
-STATE_ROWS, STATE_PARTITIONS = 50_000, "spark.sql.streaming.internal.stateStore.partitions"
+#: Digests that one partition of the state is to hold.
+STATE_ROWS = 50_000
 #: Repeated digests are sent to every executor up to so many rows of about 100 bytes; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -42,26 +44,21 @@ def keyed_state(digests: DataFrame, scratch: Scratch, files_per_batch: int | Non
     over the batches are the final ones.
     """
     spark, schema = digests.sparkSession, digests.schema
-    reader = spark.readStream.schema(schema)
+    own = spark.newSession()  # so that the caller's settings stay as they are
+    for k, v in (ROCKSDB | {"spark.sql.shuffle.partitions": str(max(4, -(-digests.count() // STATE_ROWS)))}).items():
+        own.conf.set(k, v)
+    reader = own.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "locator")).alias("first")
     state = reader.parquet(scratch.path("digests")).groupBy("digest").agg(first, F.count(F.lit(1)).alias("group_size"))
-    conf = ROCKSDB | {STATE_PARTITIONS: str(max(4, -(-digests.count() // STATE_ROWS)))}
-    old = {k: spark.conf.get(k, None) for k in conf}
-    for k, v in conf.items():
-        spark.conf.set(k, v)
-    try:
-        out = scratch.path("changes")
-        query = (
-            state.writeStream.outputMode("update")
-            .foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"))
-            .option("checkpointLocation", scratch.path("state")).trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    out = scratch.path("changes")
+    query = (
+        state.writeStream.outputMode("update")
+        .foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+        .option("checkpointLocation", scratch.path("state")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
     scratch.save(state_schema(spark, state), "changes/batch=-1")  # so that the folder is a table even if no batch ran
     changes = spark.read.schema(state.schema).parquet(out)
     last = changes.groupBy("digest").agg(F.min("first").alias("first"), F.max("group_size").alias("group_size"))
@@ -72,6 +69,15 @@ def state_schema(spark, state: DataFrame) -> DataFrame:
     return spark.createDataFrame([], state.schema)
 
 
+def locator(docs: DataFrame) -> Column:
+    """Where a row's content lies: file and row number of a bare file scan, else the file as far as it is known."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return F.input_file_name()
+    return F.concat(F.col("_metadata.file_path"), F.lit("#"), F.col("_metadata.row_index").cast("string"))
+
+
 def find_copies(docs: DataFrame, digest=sha256, files_per_batch: int | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, keep_locator.
 
@@ -84,18 +90,19 @@ def find_copies(docs: DataFrame, digest=sha256, files_per_batch: int | None = No
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exactdup")
-    norm = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
-    digests = docs.select(digest(normalised(F.col("text"))).alias("digest"), "doc_id", F.input_file_name().alias("locator"))
-    digests = scratch.save(digests, "digests")
+    rows = docs.select("doc_id", normalised(F.col("text")).alias("norm"), locator(docs).alias("locator"))
+    norm = rows.withColumn("digest", digest(F.col("norm")))
+    digests = scratch.save(norm.select("digest", "doc_id", "locator"), "digests")
     keepers = scratch.save(keyed_state(digests, scratch, files_per_batch), "keepers")
 
-    repeated = keepers.filter("group_size > 1").select(F.col("digest").alias("r_digest"))
-    if repeated.count() <= BROADCAST_ROWS:
-        repeated = F.broadcast(repeated)
-    hits = norm.withColumn("digest", digest(F.col("norm"))).join(repeated, F.col("digest") == F.col("r_digest"), "left_semi")
-    # Grouping by the text itself compares whole byte strings, after copies have met within their tasks.
-    by_bytes = hits.groupBy("digest", "norm").agg(F.min("doc_id").alias("b_keep"), F.count(F.lit(1)).alias("b_size"))
-    clashes = scratch.save(by_bytes.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest"), "clashes")
+    repeated = keepers.filter("group_size > 1").select(F.col("digest").alias("r_digest"), F.col("keep_locator").alias("r_locator"))
+    small = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
+    hits = norm.join(small, F.col("digest") == F.col("r_digest"))
+    # Grouping by the text itself compares whole byte strings, after copies have met within their tasks. A digest is
+    # clean if it has one text, and if the content that the state's locator names is among that text's rows.
+    by_bytes = hits.groupBy("digest", "norm").agg(F.max((F.col("locator") == F.col("r_locator")).cast("int")).alias("held"))
+    clashes = by_bytes.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.min("held").alias("held")).filter("texts > 1 OR held = 0")
+    clashes = scratch.save(clashes.select("digest"), "clashes")
 
     found = digests.join(keepers, "digest")
     true_hash = F.col("digest")
@@ -105,7 +112,7 @@ def find_copies(docs: DataFrame, digest=sha256, files_per_batch: int | None = No
     if clashes.isEmpty():
         clear = plain.drop("digest")
     else:
-        mixed = norm.withColumn("digest", digest(F.col("norm"))).join(clashes, "digest", "left_semi")
+        mixed = norm.join(clashes, "digest", "left_semi")
         groups = mixed.groupBy(F.col("norm").alias("b_norm")).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         again = mixed.join(groups, F.col("norm") == F.col("b_norm"))
         again = again.select("doc_id", "keep_id", "group_size", sha256(F.col("norm")).alias("text_sha256"), F.lit(None).cast("string").alias("keep_locator"))
@@ -115,13 +122,25 @@ def find_copies(docs: DataFrame, digest=sha256, files_per_batch: int | None = No
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their own columns; of rows that repeat the id that stays, one."""
+    """The documents that stay, with their own columns, whatever these are named.
+
+    Decisions travel by id and digest, so of an id with different texts each text
+    has its own. Of rows that repeat both the id and the text that stay, one
+    stays, as it does of a group without any id. An empty table gives no rows.
+    """
     scratch = Scratch(docs.sparkSession, "exactdup-rows")
-    found = scratch.save(find_copies(docs).filter("kept").select(F.col("doc_id").alias("k_id")), "kept")
-    counts = found.groupBy("k_id").agg(F.count(F.lit(1)).alias("k_rows"))
-    left = docs.join(counts, docs["doc_id"].eqNullSafe(F.col("k_id")))
-    once = left.filter("k_rows = 1").select(*[docs[c] for c in docs.columns])
-    if counts.filter("k_rows > 1").isEmpty():
-        return once
-    again = left.filter("k_rows > 1").select(*[docs[c] for c in docs.columns]).withColumn("k_norm", normalised(docs["text"]))
-    return once.unionByName(again.dropDuplicates(["doc_id", "k_norm"]).drop("k_norm"))
+    found = scratch.save(find_copies(docs).select("doc_id", "kept", "text_sha256"), "found")
+    gone = found.filter("NOT kept").select(F.col("doc_id").alias("g_id"), F.col("text_sha256").alias("g_sha")).distinct()
+    gone = scratch.save(gone, "gone")
+    again = found.filter("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = scratch.save(again.select(F.col("doc_id").alias("g_id"), F.col("text_sha256").alias("g_sha")), "again")
+    own, name = numbered(docs)
+    own = own.withColumn("sha_", sha256(normalised(F.col(name["text"]))))
+    same = F.col(name["doc_id"]).eqNullSafe(F.col("g_id")) & (F.col("sha_") == F.col("g_sha"))
+    small = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
+    left = own.join(small(gone), same, "left_anti")
+    if not again.isEmpty():
+        few = small(again)
+        once = left.join(few, same, "left_semi").dropDuplicates([name["doc_id"], "sha_"])
+        left = left.join(few, same, "left_anti").unionByName(once)
+    return left.drop("sha_").toDF(*docs.columns)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, numbered
 
 #: Hash bits in all, and those that each histogram looks at.
 HASH_BITS, STEP_BITS = 60, 12
@@ -103,16 +103,18 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
 
 def mixed_rows(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """The documents of the mix themselves, each as often as the mix takes it, with their own columns.
+    """The documents of the mix themselves, each as often as the mix takes it, with their own columns, whatever these are named.
 
-    Documents without words weigh nothing and stay once.
+    Documents without words weigh nothing and stay once. Null is a source of its
+    own; rows that repeat an id are taken alike; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    keyed = lambda d: d.select("doc_id", "source", word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("hash"))
-    sized = scratch.save(keyed(docs), "sized")
+    own, name = numbered(docs)
+    id_, source, text = (F.col(name[c]) for c in ("doc_id", "source", "text"))
+    sized = scratch.save(own.select(source.alias("source"), word_count(text).alias("size"), id_hash(id_).alias("hash")), "sized")
     found = thresholds(sized, source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), scratch)
-    found = found.select(F.col("source").alias("t_source"), F.col("copies").alias("t_copies"), F.col("low").alias("t_low"))
-    copies = F.col("t_copies") + (id_hash(docs["doc_id"]) < F.col("t_low")).cast("long")
-    copies = F.when(F.regexp_like(F.coalesce(docs["text"], F.lit("")), F.lit(WORD)), copies).otherwise(F.lit(1))
-    joined = docs.join(found, docs["source"].eqNullSafe(F.col("t_source"))).withColumn("t_times", copies.cast("int"))
-    return joined.filter("t_times > 0").withColumn("t_nth", F.explode(F.sequence(F.lit(1), F.col("t_times")))).select(*[docs[c] for c in docs.columns])
+    found = found.select(F.col("source").alias("t_source"), "copies", "low")
+    copies = F.col("copies") + (id_hash(id_) < F.col("low")).cast("long")
+    copies = F.when(F.regexp_like(F.coalesce(text, F.lit("")), F.lit(WORD)), copies).otherwise(F.lit(1))
+    joined = own.join(found, source.eqNullSafe(F.col("t_source"))).withColumn("times", copies.cast("int")).filter("times > 0")
+    return joined.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*name.values()).toDF(*docs.columns)

@@ -26,7 +26,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, vocabulary()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode(docs, vocabulary(), scanned=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [("quality", good_quality), ("exact_dedup", no_exact_copies), ("near_dedup", no_near_copies), ("mixing", mixed), ("bpe", encoded)]

@@ -11,6 +11,7 @@ words move between tasks, and texts never do.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import unicodedata
 from functools import lru_cache
@@ -35,6 +36,17 @@ _CONTROL = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
 
+# The rules of normalising, splitting and decoding under which words between white space are independent.
+WORD_RULES = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    None,
+]
+
+
 def split_words(text: str) -> list[str]:
     """Words between white space; the tokenizer never joins across it."""
     if _CONTROL.search(text):
@@ -67,6 +79,9 @@ def _tokenizer(path: str):
 
     tok = Tokenizer.from_file(path)
     tok.no_truncation(), tok.no_padding()
+    kind = json.loads(tok.to_str())
+    if [kind["normalizer"], kind["pre_tokenizer"], kind["decoder"]] != WORD_RULES:
+        raise ValueError(f"{path} splits or joins words by rules other than those that split_words and parts_of know")
     return tok
 
 
@@ -76,12 +91,21 @@ def id_type(tok, end: int = 0) -> str:
 
 
 def encode_words(tok, words: list[str], kind: str) -> list[bytes]:
-    out = []
-    for i in range(0, len(words), 2000):
-        ids = [e.ids for e in tok.encode_batch_fast(words[i : i + 2000], add_special_tokens=False)]
-        ends = (np.cumsum([0, *map(len, ids)]) * int(kind[-1])).tolist()
-        data = np.array([x for w in ids for x in w], kind).tobytes()
-        out += [data[a:z] for a, z in zip(ends, ends[1:])]
+    """Ids of each word as bytes of `kind`.
+
+    Words go to the tokenizer in one text, parted by a special token, which splits
+    a text before any other rule; a word that holds part of one goes alone.
+    """
+    special = next((i, t.content) for i, t in tok.get_added_tokens_decoder().items() if t.special and not t.normalized)
+    alone = [i for i, w in enumerate(words) if special[1][:2] in w]
+    rest = words if not alone else [w for w in words if special[1][:2] not in w]
+    out, wide = [], int(kind[-1])
+    for i in range(0, len(rest), 4000):
+        ids = np.array(tok.encode_batch_fast([special[1].join(rest[i : i + 4000])], add_special_tokens=False)[0].ids, kind)
+        cuts, data = np.flatnonzero(ids == special[0]), ids.tobytes()
+        out += [data[a:z] for a, z in zip([0, *((cuts + 1) * wide).tolist()], [*(cuts * wide).tolist(), len(data)])]
+    for i in alone:  # ascending, so that each comes to its place
+        out.insert(i, np.array(tok.encode(words[i], add_special_tokens=False).ids, kind).tobytes())
     return out
 
 
@@ -109,16 +133,20 @@ class Blocks:
         return True
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, scanned: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids, ids_sha256, decoded, decoded_sha256, one row per row of docs.
 
     Null and empty texts have no ids and decode to nothing. Rows that repeat an
     id are encoded each; other columns are ignored; an empty table gives no rows.
+    Rows are written first, so that both passes deal them alike, unless docs is
+    said to be `scanned`, a table as read from its files. If the second pass is
+    dealt otherwise all the same (executors lost or gained between the two), words
+    that its side file lacks are encoded where they stand.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "bpe")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    if not docs.inputFiles():  # both scans need the same rows in the same tasks
+    if not scanned:
         rows = scratch.save(rows, "docs")
     kind = id_type(_tokenizer(path))
 
@@ -180,11 +208,13 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 if parts is None:
                     parts, whole = words_of_block(at.id), {}
                 w = split_words(t)
-                for x in set(w):
-                    if x not in whole:
-                        raw = b"".join([parts[p] for p in parts_of(x)])
-                        ids = np.frombuffer(raw, kind).tolist()
-                        whole[x] = raw, " ".join(map(str, ids)), " ".join([plain[i] for i in ids])
+                new = [x for x in set(w) if x not in whole]
+                if lacking := [p for x in new for p in parts_of(x) if p not in parts]:
+                    parts.update(zip(lacking, encode_words(_tokenizer(path), lacking, kind)))
+                for x in new:
+                    raw = b"".join([parts[p] for p in parts_of(x)])
+                    ids = np.frombuffer(raw, kind).tolist()
+                    whole[x] = raw, " ".join(map(str, ids)), " ".join([plain[i] for i in ids])
                 found = [whole[x] for x in w]
                 if at.ends(t):
                     parts = None

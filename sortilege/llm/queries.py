@@ -23,7 +23,7 @@ def vocabulary() -> str:
 QUERIES = {
     "op1_license": lambda s, d: license.scan(_docs(s, d)).drop("spans"),
     "op2_exact_dedup": lambda s, d: exactdup.find_copies(_docs(s, d)).drop("keep_locator"),
-    "op3_bpe": lambda s, d: bpe.encode(_docs(s, d), vocabulary()).drop("ids", "decoded"),
+    "op3_bpe": lambda s, d: bpe.encode(_docs(s, d), vocabulary(), scanned=True).drop("ids", "decoded"),
     "op4_token_files": lambda s, d: tokenfiles.round_trip(_docs(s, d), vocabulary()),
     "op5_quality": lambda s, d: quality.score(_docs(s, d), _labels(s, d)),
     "op6_near_dedup": lambda s, d: neardup.classes(_docs(s, d), size=2, percent=80),

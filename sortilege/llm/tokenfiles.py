@@ -23,8 +23,10 @@ from .bpe import _tokenizer, encode_words, id_type, open_fs, parts_of, split_wor
 from .scratch import Scratch
 from .textblocks import blocks
 
-#: Mean bytes of text behind a file; encoded words that a worker remembers; id that ends a document.
-FILE_BYTES, MEMORY, END = 12_000_000, 700_000, 1
+#: Mean bytes of text behind a file: LEAST where that gives no more files than four times the cores, else up to FILE_BYTES.
+FILE_BYTES, LEAST = 512_000_000, 12_000_000
+#: Encoded words that a worker remembers; id that ends a document.
+MEMORY, END = 700_000, 1
 
 
 class WordCache:
@@ -52,7 +54,10 @@ def word_cache(path: str, end: int) -> WordCache:
 
 
 def write_files(docs: DataFrame, path: str, folder: str | None = None, end: int = END) -> tuple[DataFrame, str]:
-    """Writes the files and returns the manifest: file, part, docs, tokens, base (tokens before it), and the folder."""
+    """Writes the files and returns the manifest and the folder.
+
+    Manifest: file, part, docs, nulls (documents without an id, which come first), tokens, width (bytes of an id), base (tokens before it).
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
     folder = folder or scratch.path("files")
@@ -60,13 +65,14 @@ def write_files(docs: DataFrame, path: str, folder: str | None = None, end: int
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # Ties of doc_id are dealt by a hash of the text, so that rows that repeat an id have one order.
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    rows = rows.repartitionByRange(max(1, round(total / FILE_BYTES)), "doc_id", "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
+    files = max(1, -(-total // FILE_BYTES), min(total // LEAST, 4 * spark.sparkContext.defaultParallelism))
+    rows = rows.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
 
     def run(batches):
         fs, at = open_fs(folder)
         fs.create_dir(at, recursive=True)
         part, name = TaskContext.get().partitionId(), ""
-        cache, tokens, offs, ids = word_cache(path, end), 0, [0], []
+        cache, tokens, offs, ids, nulls = word_cache(path, end), 0, [0], [], 0
         wide, last = int(cache.kind[-1]), np.array([end], cache.kind).tobytes()
         out = None
         for b in blocks(batches):
@@ -80,14 +86,15 @@ def write_files(docs: DataFrame, path: str, folder: str | None = None, end: int
                 out.write(data)
                 tokens += len(data) // wide
                 offs.append(tokens)
-                ids.append(-(2**63) if i is None else i)
+                ids.append(i or 0)
+                nulls += i is None
         if out is not None:
             out.close()
             with fs.open_output_stream(f"{at}/{name}.idx") as f:
                 f.write(np.array(offs, "<u8").tobytes() + np.array(ids, "<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([tokens], pa.int64())], ["file", "part", "docs", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([nulls], pa.int64()), pa.array([tokens], pa.int64()), pa.array([wide], pa.int32())], ["file", "part", "docs", "nulls", "tokens", "width"])
 
-    made = scratch.save(rows.select("doc_id", "text").mapInArrow(run, "file string, part int, docs long, tokens long"), "made")
+    made = scratch.save(rows.select("doc_id", "text").mapInArrow(run, "file string, part int, docs long, nulls long, tokens long, width int"), "made")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return scratch.save(made.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0))), "manifest"), folder
 
@@ -97,20 +104,25 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
     def run(batches):
         fs, at = open_fs(folder)
         for b in batches:
-            for name, docs, base in zip(*(b.column(k).to_pylist() for k in range(3))):
+            for name, docs, base, nulls, width in zip(*(b.column(k).to_pylist() for k in range(5))):
                 local = isinstance(fs, pyarrow.fs.LocalFileSystem)
                 get = (lambda e: np.memmap(f"{at}/{name}.{e}", np.uint8, "r")) if local else (lambda e: np.frombuffer(fs.open_input_stream(f"{at}/{name}.{e}").read(), np.uint8))  # noqa: B023
                 index, data = get("idx"), get("bin")
                 offs, ids = index[: 8 * (docs + 1)].view("<u8").astype(np.int64), index[8 * (docs + 1) :].view("<i8")
-                data = data.view(f"<u{len(data) // offs[-1]}")  # bytes over tokens: 2 or 4
+                data = data.view(f"<u{width}")
                 crc = [zlib.crc32(data[a:z].astype("<u4").tobytes()) for a, z in zip(offs, offs[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == -(2**63)), pa.array(offs[:-1] + base), pa.array(np.diff(offs)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=np.arange(docs) < nulls), pa.array(offs[:-1] + base), pa.array(np.diff(offs)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = manifest.select("file", "docs", "base", "part")
+    spread = manifest.select("file", "docs", "base", "nulls", "width", "part")
     n = max(1, manifest.count())
-    return spread.repartition(n, "part").select("file", "docs", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.repartition(n, "part").select("file", "docs", "base", "nulls", "width").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """Writes and reads back. Null text is empty (the end id alone); an empty table gives no rows; a null doc_id comes first."""
+    """Writes and reads back: doc_id, start, n_tokens, ids_crc32.
+
+    Null text is empty (the end id alone); a null doc_id comes first; rows that
+    repeat an id stand side by side, in the order of a hash of their text; other
+    columns are ignored; an empty table gives no rows.
+    """
     return read_files(*write_files(docs, path))

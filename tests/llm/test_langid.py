@@ -22,16 +22,24 @@ def test_language_of_long_texts_and_all_bytes(spark):
     m = langid.fit(docs)
     assert m.langs == sorted(scripts) and m.size > 97
     train = [r[1] for r in rows if r[2] == "l0" and zlib.crc32(str(r[0]).encode()) % 3 != 1]
-    tables = [{}, {}, {}]
+    tables = [{} for _ in range(langid.ORDER + 1)]
     for t in train:
-        b = b"  " + t.encode()
-        for i in range(2, len(b)):
-            for o in range(3):
+        b = b" " * langid.ORDER + t.encode()
+        for i in range(langid.ORDER, len(b)):
+            for o in range(langid.ORDER + 1):
                 c = tables[o].setdefault(b[i - o : i], {})
                 c[b[i]] = c.get(b[i], 0) + 1
-    p = lambda ctx, x, o: 1 / 256 if o < 0 else ((c := tables[o].get(ctx[2 - o :], {})).get(x, 0) + len(c) * p(ctx, x, o - 1)) / (sum(c.values()) + len(c)) if ctx[2 - o :] in tables[o] else p(ctx, x, o - 1)
+
+    def p(ctx, x, o):
+        if o < 0:
+            return 1 / 256
+        c = tables[o].get(ctx[langid.ORDER - o :])
+        if c is None or o > 2 and sum(c.values()) < langid.LEAST:
+            return p(ctx, x, o - 1)
+        return (c[x] if x in c else len(c) * p(ctx, x, o - 1)) / (sum(c.values()) + len(c))
+
     for text in (train[0][:50], "xyz \u0d15", rows[20][1][:20]):
-        b = b"  " + text.encode()
-        want = sum(-np.log2(p(b[i - 2 : i], b[i], 2)) for i in range(2, len(b)))
-        got = m.lengths(np.frombuffer(text.encode(), np.uint8), np.array([0, len(b) - 2]))[0, m.langs.index("l0")]
+        b = b" " * langid.ORDER + text.encode()
+        want = sum(-np.log2(p(b[i - langid.ORDER : i], b[i], langid.ORDER)) for i in range(langid.ORDER, len(b)))
+        got = m.lengths(np.frombuffer(text.encode(), np.uint8), np.array([0, len(b) - langid.ORDER]))[0, m.langs.index("l0")]
         assert abs(got - want) < 1e-3 * want

@@ -184,7 +184,7 @@ def test_models_take_odd_rows(spark):
 def test_toxic_spans():
     texts = [f"alpha beta {'moron' if i % 2 else 'gamma'} delta w{i % 9}" for i in range(80)]
     m = toxicity.CRF(texts, [i % 2 for i in range(80)])
-    p = m.marginals([np.array([m.feature(w) for w in ("alpha", "moron", "delta")]), np.zeros(0)])
+    p = m.marginals([["alpha", "moron", "delta"], []])
     assert p[0][1] > 0.5 > p[0][0] and m.score(p[0]) > 0.7 > m.score(p[1])
 
 
@@ -195,9 +195,17 @@ def test_toxic_long_texts(short_clean):
     texts = [f"{fill(i)} {'moron' if i % 2 else 'gamma'} {fill(i + 3)}" for i in range(60)] + (["alpha beta w1"] * 20 if short_clean else [])
     toxic = [i % 2 for i in range(60)] + [0] * (len(texts) - 60)
     m = toxicity.CRF(texts, toxic)
-    p = m.marginals([np.array([m.feature(w) for w in t.split()]) for t in texts])
+    p = m.marginals([t.split() for t in texts])
     assert [int(m.score(x) >= toxicity.THRESHOLD) for x in p] == toxic
-    assert m.w[1] > 1.0  # towards the toxic tokens
+    assert m.weights("moron")[0] > 1.0 > m.weights("gamma")[0]  # towards the toxic tokens
+
+
+def test_toxic_offsets_and_padding(spark):
+    """Offsets are those of the text where lower case changes a length, and one very long text pads no others."""
+    rows = [(i, f"w{i} a {'moron' if i % 2 else 'gamma'} b", "en", "s", 0, "n", "d") for i in range(60)] + [(100, "İİ a moron b", "tr", "s", 0, "n", "d"), (101, "w " * 700_000, "en", "s", 0, "n", "d")]
+    got = {r.doc_id: r for r in toxicity.score(table(spark, rows), spark.createDataFrame([(i, 0, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")).collect()}
+    assert [(s.start, s.end) for s in got[100].spans] == [(5, 10)]
+    assert got[100].predicted == 1 and got[101].predicted == 0
 
 
 def test_toxic_very_long_text(spark):
@@ -211,5 +219,7 @@ def test_held_out(spark):
     docs, lab = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     q = quality.score(docs, lab).filter("held_out").join(lab, "doc_id")
     assert q.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0] > 0.9
+    t = toxicity.score(docs, lab).filter("held_out").join(lab, "doc_id").select("predicted", "toxic").collect()
+    assert sum(r.predicted == r.toxic for r in t) >= 0.95 * len(t) and sum(r.predicted for r in t if r.toxic) >= 0.7 * sum(r.toxic for r in t)
     n = langid.identify(docs).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id")
     assert n.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0] > 0.95

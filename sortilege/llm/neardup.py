@@ -31,8 +31,8 @@ BASE, RATE, LIMIT = 1.001, 20.0, 65_535
 SLACK = 4.5
 #: Members of a bucket in one block, two of which meet at a time; bytes of sets that one slice of pairs holds.
 BLOCK, SET_BYTES = 256, 8_000_000
-#: Word hashes that a worker remembers.
-MEMORY = 500_000
+#: Word hashes that a task remembers.
+MEMORY = 200_000
 #: Ids sent to every executor up to this number (8 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -64,12 +64,6 @@ class WordHashes(dict):
         return out
 
 
-@lru_cache(1)
-def word_hashes() -> WordHashes:
-    """One for each Python worker, which tasks use one after another."""
-    return WordHashes()
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -125,11 +119,12 @@ SKETCH = "doc_id long, n_shingles long, set_hash binary, regs binary, keys array
 
 def sketch(docs: DataFrame, size: int) -> DataFrame:
     def run(batches):
+        known = WordHashes()
         for b in blocks(batches):
             ids, ns, sets, regs, keys = [], [], [], [], []
             lists = [words_of(t) for t in b.column(1).to_pylist()]
             flat = [w for x in lists for w in x]
-            hashed = np.fromiter(map(word_hashes().__getitem__, flat), np.uint64, len(flat))
+            hashed = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
             at = 0
             for doc, x in zip(b.column(0).to_pylist(), lists):
                 ids.append(doc)
@@ -156,12 +151,13 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     texts = texts.join(F.broadcast(wanted) if few else wanted, F.col("node") == F.col("w"), "left_semi")
 
     def run(batches):
+        known = WordHashes()
         for b in blocks(batches):
             ids, sets = [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 x = words_of(text)
                 if x:
-                    hashed = np.fromiter(map(word_hashes().__getitem__, x), np.uint64, len(x))
+                    hashed = np.fromiter(map(known.__getitem__, x), np.uint64, len(x))
                     ids.append(doc)
                     sets.append(np.unique(shingle_hashes(hashed, size)).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["node", "set"])

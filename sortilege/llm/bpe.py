@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.fs
 import pyarrow.parquet
 from pyspark import TaskContext
@@ -29,6 +30,8 @@ from .textblocks import blocks
 
 #: Characters of text after which a block ends; rows of an Arrow batch of words.
 BLOCK_CHARS, ROWS = 24_000_000, 50_000
+#: Words whose ids and pieces a task holds as text at a time.
+HELD_WORDS = 150_000
 #: Signs that may end a word; behind letters they are tokens of their own, but not behind a combining mark.
 TAILS = ".,!?|"
 _CONTROL = re.compile("[\x1c-\x1f]")
@@ -109,6 +112,10 @@ def encode_words(tok, words: list[str], kind: str) -> list[bytes]:
     return out
 
 
+def whole_column(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
 def open_fs(uri: str):
     return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
@@ -187,46 +194,65 @@ def encode(docs: DataFrame, path: str, scanned: bool = False) -> DataFrame:
     table = pieces_table(spark, path).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "piece"))), lambda s: s["piece"]).alias("table")).first()[0]
     pieces = spark.sparkContext.broadcast(table)
 
-    def words_of_block(block: int) -> dict:
+    def words_of_block(block: int) -> tuple[pa.Array, pa.Array]:
+        """The block's words and their ids, as Arrow columns, which are small."""
         fs, at = open_fs(side)
         at = f"{at}/block={block}"
-        if fs.get_file_info(at).type == pyarrow.fs.FileType.NotFound:  # no text of the block has a word
-            return {}
-        got = {}
-        for f in fs.get_file_info(pyarrow.fs.FileSelector(at)):
-            if f.base_name.endswith(".parquet"):
-                with fs.open_input_file(f.path) as source:
-                    t = pyarrow.parquet.ParquetFile(source).read(["word", "ids"])
-                got.update(zip(t.column("word").to_pylist(), t.column("ids").to_pylist()))
-        return got
+        found = [pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.binary())})]
+        if fs.get_file_info(at).type != pyarrow.fs.FileType.NotFound:  # else no text of the block has a word
+            for f in fs.get_file_info(pyarrow.fs.FileSelector(at)):
+                if f.base_name.endswith(".parquet"):
+                    with fs.open_input_file(f.path) as source:
+                        found.append(pyarrow.parquet.ParquetFile(source).read(["word", "ids"]))
+        both = pa.concat_tables(found).combine_chunks()
+        return tuple(whole_column(both.column(c)) for c in ("word", "ids"))
 
     def assemble(batches):
-        at, parts, whole, plain, wide = Blocks(), None, {}, pieces.value, int(kind[-1])
+        at, held = Blocks(), {}  # the ids and pieces of words met in the block so far
         for b in blocks(batches):
-            out = []
+            out, part = [], []
             for t in b.column(1).to_pylist():
-                if parts is None:
-                    parts, whole = words_of_block(at.id), {}
-                w = split_words(t)
-                new = [x for x in set(w) if x not in whole]
-                if lacking := [p for x in new for p in parts_of(x) if p not in parts]:
-                    parts.update(zip(lacking, encode_words(_tokenizer(path), lacking, kind)))
-                for x in new:
-                    raw = b"".join([parts[p] for p in parts_of(x)])
-                    ids = np.frombuffer(raw, kind).tolist()
-                    whole[x] = raw, " ".join(map(str, ids)), " ".join([plain[i] for i in ids])
-                found = [whole[x] for x in w]
+                block = at.id
+                part.append(split_words(t))
                 if at.ends(t):
-                    parts = None
-                found = [f for f in found if f[0]]
-                a, d = " ".join([f[1] for f in found]), " ".join([f[2] for f in found])
-                out.append((b"".join([f[0] for f in found]), hashlib.sha256(a.encode()).hexdigest(), d, hashlib.sha256(d.encode()).hexdigest()))
+                    out += joined(block, part, held)
+                    part = []
+                    held.clear()
+            out += joined(at.id, part, held)
             flat, hashes, decoded, digests = zip(*out)
-            n = np.array([len(f) // wide for f in flat])
+            n = np.array([len(f) // int(kind[-1]) for f in flat])
             values = np.frombuffer(b"".join(flat), kind).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(values))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), ids, pa.array(hashes), pa.array(decoded), pa.array(digests)], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256"])
 
+    def joined(block: int, lists: list[list[str]], held: dict) -> list[tuple]:
+        """Ids and pieces at the places of the words of each text."""
+        if "side" not in held:
+            held["side"], held["known"] = words_of_block(block), {}
+        known = held["known"]
+        new = [x for x in set().union(*lists) if x not in known]
+        if len(known) + len(new) > HELD_WORDS:
+            known.clear()
+            new = list(set().union(*lists))
+        cut = [parts_of(x) for x in new]
+        asked = list({p for c in cut for p in c})
+        words, coded = held["side"]
+        place = pyarrow.compute.index_in(pa.array(asked, pa.string()), value_set=words)
+        got = dict(zip(asked, coded.take(place).to_pylist()))
+        if lacking := [p for p, x in got.items() if x is None]:
+            got.update(zip(lacking, encode_words(_tokenizer(path), lacking, kind)))
+        plain = pieces.value
+        for x, c in zip(new, cut):
+            raw = b"".join([got[p] for p in c])
+            ids = np.frombuffer(raw, kind).tolist()
+            known[x] = raw, " ".join(map(str, ids)), " ".join([plain[i] for i in ids])
+        out = []
+        for w in lists:
+            found = [f for f in [known[x] for x in w] if f[0]]
+            a, d = " ".join([f[1] for f in found]), " ".join([f[2] for f in found])
+            out.append((b"".join([f[0] for f in found]), hashlib.sha256(a.encode()).hexdigest(), d, hashlib.sha256(d.encode()).hexdigest()))
+        return out
+
     return rows.mapInArrow(assemble, SCHEMA)
 
 

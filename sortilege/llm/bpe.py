@@ -18,7 +18,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import pyarrow.fs
 import pyarrow.parquet
 from pyspark import TaskContext
@@ -30,8 +29,8 @@ from .textblocks import blocks
 
 #: Characters of text after which a block ends; rows of an Arrow batch of words.
 BLOCK_CHARS, ROWS = 24_000_000, 50_000
-#: Words whose ids and pieces a task holds as text at a time.
-HELD_WORDS = 150_000
+#: Words whose ids and pieces a task holds as text at a time; bytes of text that it joins at once.
+HELD_WORDS, SLICE_BYTES = 60_000, 1_000_000
 #: Signs that may end a word; behind letters they are tokens of their own, but not behind a combining mark.
 TAILS = ".,!?|"
 _CONTROL = re.compile("[\x1c-\x1f]")
@@ -112,10 +111,6 @@ def encode_words(tok, words: list[str], kind: str) -> list[bytes]:
     return out
 
 
-def whole_column(column: pa.ChunkedArray) -> pa.Array:
-    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
-
-
 def open_fs(uri: str):
     return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
@@ -185,6 +180,8 @@ def encode(docs: DataFrame, path: str, scanned: bool = False) -> DataFrame:
             ids = ([last[1]] if seen else []) + encode_words(tok, words[seen:], kind)
             last = words[-1], ids[-1]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()).take(coded.indices)], ["block", "word", "ids"])
+        del tok
+        _tokenizer.cache_clear()  # workers that wait for their next task hold no vocabulary
 
     words = rows.select("text").mapInArrow(distinct, "block long, word string").repartition("word").sortWithinPartitions("word")
     back = words.mapInArrow(encoded, "block long, word string, ids binary")
@@ -194,22 +191,20 @@ def encode(docs: DataFrame, path: str, scanned: bool = False) -> DataFrame:
     table = pieces_table(spark, path).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "piece"))), lambda s: s["piece"]).alias("table")).first()[0]
     pieces = spark.sparkContext.broadcast(table)
 
-    def words_of_block(block: int) -> tuple[pa.Array, pa.Array]:
-        """The block's words and their ids, as Arrow columns, which are small."""
+    def words_of_block(block: int) -> dict[str, bytes]:
         fs, at = open_fs(side)
-        at = f"{at}/block={block}"
-        found = [pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.binary())})]
+        at, got = f"{at}/block={block}", {}
         if fs.get_file_info(at).type != pyarrow.fs.FileType.NotFound:  # else no text of the block has a word
             for f in fs.get_file_info(pyarrow.fs.FileSelector(at)):
                 if f.base_name.endswith(".parquet"):
                     with fs.open_input_file(f.path) as source:
-                        found.append(pyarrow.parquet.ParquetFile(source).read(["word", "ids"]))
-        both = pa.concat_tables(found).combine_chunks()
-        return tuple(whole_column(both.column(c)) for c in ("word", "ids"))
+                        for t in pyarrow.parquet.ParquetFile(source).iter_batches(ROWS, columns=["word", "ids"]):
+                            got.update(zip(t.column(0).to_pylist(), t.column(1).to_pylist()))
+        return got
 
     def assemble(batches):
         at, held = Blocks(), {}  # the ids and pieces of words met in the block so far
-        for b in blocks(batches):
+        for b in blocks(batches, "text", SLICE_BYTES):
             out, part = [], []
             for t in b.column(1).to_pylist():
                 block = at.id
@@ -230,20 +225,18 @@ def encode(docs: DataFrame, path: str, scanned: bool = False) -> DataFrame:
         if "side" not in held:
             held["side"], held["known"] = words_of_block(block), {}
         known = held["known"]
-        new = [x for x in set().union(*lists) if x not in known]
+        met = set().union(*lists)
+        new = [x for x in met if x not in known]
         if len(known) + len(new) > HELD_WORDS:
             known.clear()
-            new = list(set().union(*lists))
+            new = list(met)
         cut = [parts_of(x) for x in new]
-        asked = list({p for c in cut for p in c})
-        words, coded = held["side"]
-        place = pyarrow.compute.index_in(pa.array(asked, pa.string()), value_set=words)
-        got = dict(zip(asked, coded.take(place).to_pylist()))
-        if lacking := [p for p, x in got.items() if x is None]:
-            got.update(zip(lacking, encode_words(_tokenizer(path), lacking, kind)))
+        parts = held["side"]
+        if lacking := list({p for c in cut for p in c if p not in parts}):
+            parts.update(zip(lacking, encode_words(_tokenizer(path), lacking, kind)))
         plain = pieces.value
         for x, c in zip(new, cut):
-            raw = b"".join([got[p] for p in c])
+            raw = b"".join([parts[p] for p in c])
             ids = np.frombuffer(raw, kind).tolist()
             known[x] = raw, " ".join(map(str, ids)), " ".join([plain[i] for i in ids])
         out = []

@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import by_game, supported_range
+from .core import supported_range
+from .sequence import sequence
 
 
 def chi2_counts(counts: DataFrame, keys: list[str], size: Column) -> DataFrame:
@@ -34,13 +35,6 @@ def bonus_frequency(draws: DataFrame, bonus: str, least: int = 100) -> DataFrame
     return got.select("game", F.lit(bonus).alias("scope"), name.alias("test"), "n", tested("chi2"), tested("dof"), tested("effect"))
 
 
-def autocorrelations(draws: DataFrame, lags: tuple[int, ...] = (1, 2, 3, 4, 5, 7, 10)) -> DataFrame:
-    """Correlation of each number with the one `lag` draws before; all lags share one sort."""
-    d = draws.select("game", "number", *[F.lag("number", k).over(by_game()).alias(f"y{k}") for k in lags])
-    long = d.select("game", "number", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"y{k}").alias("y")) for k in lags])).alias("s")).select("game", "number", "s.*")
-    return long.filter("y IS NOT NULL").groupBy("game", "lag").agg(F.count(F.lit(1)).alias("pairs"), F.corr("number", "y").alias("r"))
-
-
 def digit_tests(draws: DataFrame) -> DataFrame:
     """Digit sums of four-digit draws against their exact distribution (cells of at least 5 expected), and draws of one or four different digits."""
     d = draws.filter(F.size("numbers") == 4)
@@ -55,25 +49,33 @@ def digit_tests(draws: DataFrame) -> DataFrame:
     return per.join(chi, "game", "left")
 
 
-def rate_changepoints(draws: DataFrame, top: int = 3) -> DataFrame:
-    """The balls whose rate of appearance changes most, and where.
+def rate_changepoints(draws: DataFrame, top: int = 3, least: int = 500) -> DataFrame:
+    """The balls of draws of one number whose rate of appearance changes most, and where."""
+    d = sequence(draws).filter(F.col("n") >= least).select("game", "number", "nth", "n")
+    return peaks(d, top).drop("n")
+
 
-    The centred running sum of a ball's 0/1 series peaks at one of its draws or
-    just before one, so only these points are made, not a series for each ball.
-    Sums stay whole numbers (times the draws), so ties are exact.
+def peaks(seq: DataFrame, top: int) -> DataFrame:
+    """Of appearances (game, number, nth, n): the numbers whose centred running sum goes farthest from zero, and where.
+
+    The sum over a number's 0/1 series peaks at one of its draws or just before
+    one, so only these points are made, not a series for each number. Sums stay
+    whole numbers (times the draws), so ties are exact: the first draw counts, and of
+    numbers the greatest.
     """
-    w = Window.partitionBy("game", "number")
-    d = draws.select("game", "number", F.row_number().over(by_game()).cast("long").alias("nth"), F.count(F.lit(1)).over(Window.partitionBy("game")).alias("n"))
-    d = d.withColumn("k", F.row_number().over(w.orderBy("nth"))).withColumn("all", F.count(F.lit(1)).over(w))
+    w = Window.partitionBy("game", "number")  # of one number only
+    d = seq.withColumn("k", F.row_number().over(w.orderBy("nth"))).withColumn("all", F.count(F.lit(1)).over(w))
     point = lambda nth, seen: F.struct(nth.alias("at"), seen.cast("long").alias("seen"))
-    p = d.select("game", "number", "n", "all", F.explode(F.array(point(F.col("nth"), F.col("k")), point(F.col("nth") - 1, F.col("k") - 1))).alias("p")).select("game", "number", "n", "all", "p.*").filter("at > 0")
+    both = F.explode(F.array(point(F.col("nth"), F.col("k")), point(F.col("nth") - 1, F.col("k") - 1)))
+    p = d.select("game", "number", "n", "all", both.alias("p")).select("game", "number", "n", "all", "p.*").filter("at > 0")
     far = F.abs(F.col("seen") * F.col("n") - F.col("all") * F.col("at"))
     b = p.groupBy("game", "number").agg(F.max(F.struct(far.alias("far"), (-F.col("at")).alias("neg"), "seen")).alias("m"), F.max("n").alias("n"), F.max("all").alias("all"))
     b = b.select("game", "number", "n", "all", F.col("m.far").alias("far"), (-F.col("m.neg")).alias("at"), F.col("m.seen").alias("seen"))
-    b = b.withColumn("rank", F.row_number().over(Window.partitionBy("game").orderBy(F.col("far").desc(), F.col("number").desc()))).filter(F.col("rank") <= top)
+    order = Window.partitionBy("game").orderBy(F.col("far").desc(), F.col("number").desc())  # one row for each number of a pool
+    b = b.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     before = F.when(F.col("at") > 1, F.col("seen") / F.col("at"))
     after = F.when(F.col("at") < F.col("n"), F.try_divide(F.col("all") - F.col("seen"), F.col("n") - F.col("at")))
-    return b.select("game", "rank", "number", "at", (F.col("far") / F.col("n") / F.sqrt("n")).alias("magnitude"), before.alias("before"), after.alias("after"))
+    return b.select("game", "n", "rank", "number", "at", (F.col("far") / F.col("n") / F.sqrt("n")).alias("magnitude"), before.alias("before"), after.alias("after"))
 
 
 def repeat_sets_by_source(draws: DataFrame, least: int = 200) -> DataFrame:
@@ -120,7 +122,7 @@ def match_place(rows: DataFrame, places: list[str], *fields: str) -> DataFrame:
 
 def downsample(draws: DataFrame, points: int) -> DataFrame:
     """About `points` draws of each game at an even stride, and the last one."""
-    d = draws.withColumn("i", F.row_number().over(by_game()) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("game")))
+    d = sequence(draws).withColumn("i", F.col("nth") - 1).drop("nth")
     step = F.greatest(F.lit(1), F.floor(F.col("n") / points))
     return d.filter((F.col("i") % step == 0) | (F.col("i") == F.col("n") - 1)).drop("i", "n")
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER = ("draw_date", "draw_number")
-
+from .sequence import islands, neighbours, running, sequence, stretches
 
-def by_game(*order: str) -> Window:
-    return Window.partitionBy("game").orderBy(*(order or ORDER))
+#: Figures of a draw at or under this many times the floor tell nothing.
+AT_FLOOR = 1.02
 
 
 def coverage(draws: DataFrame, *keys: str) -> DataFrame:
@@ -46,16 +47,6 @@ def supported_range(draws: DataFrame, least: int = 3) -> DataFrame:
     return seen.groupBy("game").agg(own(F.min).alias("low"), own(F.max).alias("high"))
 
 
-def merge_sources(draws: DataFrame, priority: dict[str, int]) -> DataFrame:
-    """One row per draw: numbers and dates of the best source, missing figures filled from the next."""
-    rank = F.coalesce(*[F.when(F.col("source") == s, F.lit(p)) for s, p in priority.items()], F.lit(len(priority)))
-    d = draws.withColumn("rank", rank)
-    best = lambda c: F.min_by(c, "rank")
-    fill = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("rank")))
-    keyed = d.filter(F.col("draw_number").isNotNull()).groupBy("game", "draw_number")
-    return keyed.agg(best("draw_date").alias("draw_date"), best("number").alias("number"), fill("jackpot_cents").alias("jackpot_cents"), fill("wins").alias("wins"), F.array_join(F.array_sort(F.collect_set("source")), "+").alias("sources"))
-
-
 def paired(draws: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     x = draws.filter(F.col("source") == a).select("game", "draw_number", F.col("number").alias("number_a"), F.col("jackpot_cents").alias("jackpot_a"), F.col("draw_date").alias("date_a"))
     y = draws.filter(F.col("source") == b).select("game", "draw_number", F.col("number").alias("number_b"), F.col("jackpot_cents").alias("jackpot_b"), F.col("draw_date").alias("date_b"))
@@ -68,7 +59,8 @@ def agreement(draws: DataFrame) -> DataFrame:
 
 def money_scale(draws: DataFrame) -> DataFrame:
     p = paired(draws).filter((F.col("jackpot_a") > 0) & (F.col("jackpot_b") > 0)).withColumn("ratio", F.col("jackpot_b") / F.col("jackpot_a"))
-    return p.groupBy("game").agg(F.count(F.lit(1)).alias("pairs"), F.percentile("ratio", 0.5).alias("median_ratio"), F.avg((F.abs(F.col("ratio") - 1) <= 0.02).cast("int")).alias("share_near"))
+    near = F.avg((F.abs(F.col("ratio") - 1) < 0.02).cast("int"))
+    return p.groupBy("game").agg(F.count(F.lit(1)).alias("pairs"), F.percentile("ratio", 0.5).alias("median_ratio"), near.alias("share_near")).filter("pairs >= 5")
 
 
 def pair_counts(draws: DataFrame) -> DataFrame:
@@ -97,11 +89,12 @@ def contingency(draws: DataFrame, key: Column, value: str = "number") -> DataFra
     return got.withColumn("cramers_v", F.sqrt(F.try_divide(F.col("chi2"), F.col("n") * F.col("m")))).drop("m")
 
 
-def lag_overlap(draws: DataFrame, lags: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    w = by_game()
-    out = draws.select("game", *[F.size(F.array_intersect("numbers", F.lag("numbers", k).over(w))).alias(f"o{k}") for k in lags])
-    long = out.select("game", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"o{k}").alias("o")) for k in lags])).alias("s")).select("game", "s.*")
-    return long.groupBy("game", "lag").agg(F.sum(F.when(F.col("o") >= 0, F.col("o"))).alias("overlap"), F.count(F.lit(1)).alias("draws"))
+def lag_overlap(draws: DataFrame, lags: tuple[int, ...] = (1, 2, 3), keys: Sequence[str] = ("game",)) -> DataFrame:
+    """Numbers that each draw shares with the one `lag` draws before, in all; draws without such a one count as drawn."""
+    out = neighbours(sequence(draws), {f"p{k}": ("numbers", k) for k in lags})
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.size(F.array_intersect("numbers", f"p{k}")).alias("o")) for k in lags]))
+    long = out.select(*keys, pairs.alias("s")).select(*keys, "s.*")
+    return long.groupBy(*keys, "lag").agg(F.sum(F.when(F.col("o") >= 0, F.col("o"))).alias("overlap"), F.count(F.lit(1)).alias("draws"))
 
 
 def consecutive(draws: DataFrame) -> DataFrame:
@@ -109,61 +102,86 @@ def consecutive(draws: DataFrame) -> DataFrame:
     return draws.groupBy("game").agg(F.count(F.lit(1)).alias("n"), F.count_if(near).alias("hits"))
 
 
-def jackpot_floor(draws: DataFrame) -> DataFrame:
-    """The most frequent figure of the lowest two fifths if it makes 15% of them, else the least."""
-    v = draws.filter(F.col("jackpot_cents") > 0).select("game", "jackpot_cents")
-    cut = v.groupBy("game").agg(F.percentile("jackpot_cents", 0.4).alias("p40"), F.count(F.lit(1)).alias("n")).filter("n >= 20")
-    tail = v.join(cut, "game").filter("jackpot_cents <= p40").groupBy("game", "jackpot_cents").agg(F.count(F.lit(1)).alias("c"))
-    top = tail.groupBy("game").agg(F.sum("c").alias("t"), F.min("jackpot_cents").alias("least"), F.max(F.struct("c", (-F.col("jackpot_cents")).alias("v"))).alias("top"))
-    return top.select("game", F.when(F.col("top.c") >= 0.15 * F.col("t"), -F.col("top.v")).otherwise(F.col("least")).alias("floor_cents"))
+def jackpot_floor(draws: DataFrame, least: int = 20) -> DataFrame:
+    """The most frequent figure of the lowest two fifths (of several the first drawn) if it makes 15% of them, else the least."""
+    v = draws.filter(F.col("jackpot_cents") > 0).select("game", "jackpot_cents", F.struct("draw_date", "draw_number").alias("at"))
+    cut = v.groupBy("game").agg(F.percentile("jackpot_cents", 0.4).alias("p40"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    tail = v.join(cut, "game").filter("jackpot_cents <= p40").groupBy("game", "jackpot_cents").agg(F.count(F.lit(1)).alias("c"), F.min("at").alias("at"))
+    order = F.struct(-F.col("c"), "at")
+    top = tail.groupBy("game").agg(F.sum("c").alias("t"), F.min("jackpot_cents").alias("least"), F.max("c").alias("c"), F.min_by("jackpot_cents", order).alias("top"))
+    return top.select("game", F.when(F.col("c") >= 0.15 * F.col("t"), F.col("top")).otherwise(F.col("least")).alias("floor_cents"))
+
+
+def with_floor(draws: DataFrame) -> DataFrame:
+    """Draws that show a jackpot, with their game's floor (null where too few show one) and whether they are at it."""
+    d = draws.filter(F.col("jackpot_cents") > 0).join(F.broadcast(jackpot_floor(draws)), "game", "left")
+    return d.withColumn("at_floor", F.coalesce(F.col("jackpot_cents") <= F.col("floor_cents") * AT_FLOOR, F.lit(False)))
+
+
+def undetermined_draws(draws: DataFrame) -> DataFrame:
+    """game, draw_number of the draws at the floor, the last one too: neither a win nor a roll shows there."""
+    return with_floor(draws).filter("at_floor").select("game", "draw_number")
 
 
 def inferred_wins(draws: DataFrame) -> DataFrame:
-    """Whether the top prize fell, from the next jackpot over this one."""
-    d = draws.filter(F.col("jackpot_cents") > 0)
-    d = d.withColumn("next_cents", F.lead("jackpot_cents").over(by_game())).join(jackpot_floor(draws), "game").filter("next_cents IS NOT NULL")
-    ratio, at_floor = F.col("next_cents") / F.col("jackpot_cents"), F.col("jackpot_cents") <= F.col("floor_cents") * 1.02
-    method = F.when(ratio >= 1, None).when(at_floor, "undetermined").when(ratio < 0.9, "jackpot_drop").otherwise("jackpot_drop_small")
-    confidence = F.when(at_floor, 0.0).when(ratio < 0.7, 0.95).when(ratio < 0.9, 0.7).otherwise(0.35)
-    return d.withColumn("method", method).withColumn("confidence", confidence).filter("method IS NOT NULL").select("game", "draw_number", "jackpot_cents", "next_cents", "method", "confidence", "wins")
+    """Draws whose top prize seems to have fallen, as the next figure is lower, and those at the floor, of which none can tell."""
+    seq = sequence(with_floor(draws))
+    d = neighbours(seq, {"prev_jackpot": ("jackpot_cents", 1), "next_jackpot": ("jackpot_cents", -1)}).filter("next_jackpot IS NOT NULL")
+    ratio, floor = F.col("next_jackpot") / F.col("jackpot_cents"), F.col("at_floor")
+    d = d.withColumn("method", F.when(floor, "at_jackpot_floor").when(ratio < 0.9, "jackpot_drop").when(ratio < 1, "jackpot_drop_small"))
+    d = d.withColumn("verdict", F.when(floor, "undetermined").otherwise("win"))
+    d = d.withColumn("confidence", F.when(floor, 0.0).when(ratio < 0.7, 0.95).when(ratio < 0.9, 0.7).otherwise(0.35)).filter("method IS NOT NULL")
+    agrees = F.when(F.col("wins").isNotNull() & ~floor, ((F.col("wins") > 0) == (F.col("confidence") >= 0.6)).cast("int"))
+    columns = ["game", "draw_number", "draw_date", "prev_jackpot", F.col("jackpot_cents").alias("this_jackpot"), "next_jackpot"]
+    return d.select(*columns, "method", "verdict", "confidence", F.col("wins").alias("published_wins"), agrees.alias("agrees_with_published"))
 
 
 def confusion(draws: DataFrame, least: float = 0.6) -> DataFrame:
-    d = draws.filter("jackpot_cents > 0").select("game", "draw_number", "wins")
-    got = inferred_wins(draws).select("game", "draw_number", "method", "confidence")
-    j = d.join(got, ["game", "draw_number"], "left").filter("method IS NULL OR method <> 'undetermined'")
-    said, true = F.coalesce(F.col("confidence") >= least, F.lit(False)), F.col("wins") > 0
-    return j.groupBy("game").agg(F.count_if(said & true).alias("tp"), F.count_if(said & ~true).alias("fp"), F.count_if(~said & true).alias("fn"), F.count_if(~said & ~true).alias("tn"))
+    """The rule against the published wins: draws with a jackpot and a count of wins, less those at the floor."""
+    have = draws.filter("jackpot_cents > 0 AND wins IS NOT NULL").select("game", "draw_number", "wins")
+    shown = have.groupBy("game").agg(F.count(F.lit(1)).alias("have"), F.avg((F.col("wins") > 0).cast("int")).alias("won_rate"))
+    said = inferred_wins(draws).filter((F.col("verdict") == "win") & (F.col("confidence") >= least)).select("game", "draw_number", F.lit(True).alias("said"))
+    j = have.join(undetermined_draws(draws), ["game", "draw_number"], "left_anti").join(said, ["game", "draw_number"], "left")
+    said, won, lost = F.coalesce("said", F.lit(False)), F.col("wins") > 0, F.col("wins") == 0
+    sums = [F.count_if(c).alias(n) for n, c in (("tp", said & won), ("fp", said & lost), ("fn", ~said & won), ("tn", ~said & lost))]
+    return j.groupBy("game").agg(F.count(F.lit(1)).alias("scored"), *sums).join(shown, "game")
 
 
 def rollover_runs(draws: DataFrame) -> DataFrame:
-    """Lengths of the runs that a win closes; an unfinished run does not count."""
-    past = by_game().rowsBetween(Window.unboundedPreceding, -1)
-    runs = draws.withColumn("run", F.coalesce(F.sum("wins").over(past), F.lit(0))).groupBy("game", "run").agg(F.count(F.lit(1)).alias("length"), F.max("wins").alias("won")).filter("won > 0")
+    """Lengths of the runs that a win closes, over draws with a count of wins; an unfinished run does not count."""
+    won = (F.col("wins") > 0).cast("int")
+    runs = running(sequence(draws.filter("wins IS NOT NULL")), won, "upto").withColumn("run", F.col("upto") - won)
+    runs = runs.groupBy("game", "run").agg(F.count(F.lit(1)).alias("length"), F.max(won).alias("won")).filter("won > 0")
     return runs.groupBy("game", "length").agg(F.count(F.lit(1)).alias("runs"))
 
 
-def cusum(draws: DataFrame) -> DataFrame:
-    """Where the centred running sum is farthest from zero, and how far over root n."""
-    all_ = Window.partitionBy("game")
-    c = draws.withColumn("mean", F.avg("number").over(all_)).withColumn("n", F.count(F.lit(1)).over(all_)).withColumn("nth", F.row_number().over(by_game()))
-    c = c.withColumn("s", F.abs(F.sum("number").over(by_game().rowsBetween(Window.unboundedPreceding, 0)) - F.col("mean") * F.col("nth")))
-    return c.groupBy("game").agg(F.max(F.round("s", 6)).alias("peak"), F.max("n").alias("n")).select("game", "n", (F.col("peak") / F.sqrt("n")).alias("magnitude"))
+def cusum(draws: DataFrame, value: str = "number", least: int = 50) -> DataFrame:
+    """Where the centred running sum is farthest from zero (the first such draw, from 1 on), and how far over root n; games of `least` draws.
+
+    Sums of whole numbers stay whole (times the draws), so ties are exact.
+    """
+    seq = sequence(draws).filter(F.col("n") >= least)
+    total = seq.groupBy("game").agg(F.sum(value).alias("total"))
+    c = running(seq, F.col(value), "sum").join(F.broadcast(total), "game")
+    far = F.abs(F.col("sum") * F.col("n") - F.col("total") * F.col("nth"))
+    got = c.groupBy("game").agg(F.max("n").alias("n"), F.max(F.struct(far.alias("far"), (-F.col("nth")).alias("neg"))).alias("m"))
+    return got.select("game", "n", (-F.col("m.neg")).alias("at"), (F.col("m.far") / F.col("n") / F.sqrt("n")).alias("magnitude"))
 
 
 def era_segments(draws: DataFrame, half: int) -> DataFrame:
-    """Runs of equal centred rolling maximum."""
-    d = draws.withColumn("top", F.max("number").over(by_game().rowsBetween(-half, half))).withColumn("nth", F.row_number().over(by_game()))
-    d = d.withColumn("new", (F.col("top") != F.coalesce(F.lag("top").over(by_game()), F.lit(-1))).cast("int"))
-    d = d.withColumn("segment", F.sum("new").over(by_game().rowsBetween(Window.unboundedPreceding, 0)))
-    return d.groupBy("game", "segment").agg(F.max("top").alias("top"), F.min("nth").alias("first"), F.max("nth").alias("last"))
-
-
-def autocorrelation(draws: DataFrame, lag: int = 1) -> DataFrame:
-    """Mean product of the centred ends over the population variance."""
-    d = draws.withColumn("y", F.lag("number", lag).over(by_game()))
-    both = d.filter("y IS NOT NULL")
-    return both.groupBy("game").agg(F.count(F.lit(1)).alias("pairs"), F.corr("number", "y").alias("r"))
+    """Runs of equal centred rolling maximum of the numbers."""
+    near = Window.partitionBy("game", "stretch").orderBy("nth").rowsBetween(-half, half)
+    x = stretches(sequence(draws), half, half).withColumn("top", F.max("number").over(near)).filter("home").drop("home", "stretch")
+    return islands(x, "top").withColumns({c: F.col(c).cast("int") for c in ("first", "last")})
+
+
+def autocorrelation(draws: DataFrame, lags: tuple[int, ...] = (1,)) -> DataFrame:
+    """Correlation of each number with the one `lag` draws before; 0 if either end does not vary; games of more than lag + 30 draws."""
+    d = neighbours(sequence(draws), {f"y{k}": ("number", k) for k in lags})
+    ends = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"y{k}").alias("y")) for k in lags]))
+    both = d.select("game", "n", "number", ends.alias("s")).select("game", "n", "number", "s.*").filter("y IS NOT NULL AND n > lag + 30")
+    flat = (F.stddev_pop("number") == 0) | (F.stddev_pop("y") == 0)
+    return both.groupBy("game", "lag").agg(F.count(F.lit(1)).alias("pairs"), F.when(flat, 0.0).otherwise(F.corr("number", "y")).alias("r"))
 
 
 def benjamini_hochberg(results: DataFrame, p: str = "p_value") -> DataFrame:

@@ -1,33 +1,71 @@
-"""Monte-Carlo nulls. Each simulation is seeded by its own number, so results do not depend on partitions."""
+"""Nulls of the tests: simulated draws, and draws in random order in closed form."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tails import chi2_p
+
+#: Draws up to which each simulation makes every draw; beyond, the statistic follows its limit law closely. Cells made at once.
+SIMULATED_DRAWS, CELLS = 20_000, 6_000_000
+
+
+def simulated_chi2(seed: list[int], draws: int, pool: int, k: int) -> float:
+    """Chi-square of the counts of `draws` draws of k of pool without replacement."""
+    rng, n = np.random.default_rng(seed), np.zeros(pool)
+    step = max(1, CELLS // pool)
+    for at in range(0, draws, step):
+        u = rng.random((min(step, draws - at), pool))
+        n += np.bincount(np.argpartition(u, k - 1, axis=1)[:, :k].ravel(), minlength=pool)
+    e = draws * k / pool
+    return float(((n - e) ** 2 / e).sum())
+
+
+def with_frequency_p(stats: DataFrame, sims: int = 3000, seed: int = 1) -> DataFrame:
+    """Adds mc_p to rows (game, chi2, n, pool, k): (hits + 1) / (sims + 1) of simulations that reach chi2.
+
+    Each simulation has a seed of its own, so results depend neither on partitions
+    nor on which other rows there are. Null for k = 1 and where k fills the pool. Beyond
+    SIMULATED_DRAWS draws the limit law is used: chi2 times (pool - 1) / (pool - k)
+    has pool - 1 degrees of freedom.
+    """
+    due = stats.filter((F.col("k") > 1) & (F.col("pool") > F.col("k")))
+    few = due.filter(F.col("n") <= SIMULATED_DRAWS).select("game", "chi2", "n", "pool", "k", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim"))
 
-def set_frequency_null(spark: SparkSession, observed: float, draws: int, pool: int, k: int, sims: int = 3000, seed: int = 1, cells: int = 6_000_000) -> DataFrame:
-    """One row (sims, p_value): how often the chi-square of k-of-pool draws without replacement reaches the observed one."""
     def run(batches):
         for b in batches:
-            hits = 0
-            for s in b.id:
-                rng, n = np.random.default_rng([seed, int(s)]), np.zeros(pool)
-                for at in range(0, draws, max(1, cells // pool)):
-                    u = rng.random((min(draws - at, max(1, cells // pool)), pool))
-                    n += np.bincount(np.argpartition(u, k - 1, axis=1)[:, :k].ravel(), minlength=pool)
-                e = draws * k / pool
-                hits += ((n - e) ** 2 / e).sum() >= observed
-            yield pd.DataFrame({"hits": [int(hits)], "sims": [len(b)]})
-
-    got = spark.range(sims).mapInPandas(run, "hits long, sims long").agg(F.sum("hits").alias("hits"), F.sum("sims").alias("sims"))
-    return got.select("sims", ((F.col("hits") + 1) / (F.col("sims") + 1)).alias("p_value"))
-
-
-def lag_overlap_null(draws: DataFrame, lag: int) -> DataFrame:
-    """Expected overlap of draws in random order, per game, in closed form."""
-    n = draws.groupBy("game").agg(F.count(F.lit(1)).alias("n"))
-    c = draws.select("game", F.explode("numbers").alias("b")).groupBy("game", "b").agg(F.count(F.lit(1)).alias("c"))
-    return c.groupBy("game").agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("s")).join(n, "game").select("game", ((F.col("n") - lag) * F.col("s") / (F.col("n") * (F.col("n") - 1))).alias("expected"))
+            made = zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)))
+            hit = [simulated_chi2([seed, sim, n, pool, k], n, pool, k) for n, pool, k, sim in made]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([int(h >= c - 1e-9) for h, c in zip(hit, b.column(1).to_pylist())], pa.int32())], ["game", "hit"])
+
+    hits = few.repartition("game", "sim").mapInArrow(run, "game string, hit int").groupBy("game").agg(((F.sum("hit") + 1) / (sims + 1)).alias("p_"))
+    limit = chi2_p(F.col("chi2") * (F.col("pool") - 1) / (F.col("pool") - F.col("k")), (F.col("pool") - 1).cast("double"))
+    many = due.filter(F.col("n") > SIMULATED_DRAWS).select("game", limit.alias("p_"))
+    return stats.join(hits.unionByName(many), "game", "left").withColumnRenamed("p_", "mc_p")
+
+
+def order_null(draws: DataFrame) -> DataFrame:
+    """game, n, pair_mean, pair_variance: of the numbers that two draws of a game share when the order of its draws is random.
+
+    Over all pairs of different draws the shared numbers a have the mean of c (c - 1)
+    over numbers drawn c times, and their squares that of pairs of numbers. A draw's
+    own tendency u to share adds up to the same in any order but for the ends, so the
+    sum over neighbours varies by a - u - u' alone: Var(a) - 2 Var(u) for each pair.
+    """
+    n = draws.groupBy("game").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    long = draws.select("game", "numbers", F.explode("numbers").alias("b"))
+    c = long.groupBy("game", "b").agg(F.count(F.lit(1)).alias("c"))
+    pairs = long.select("game", "b", F.explode("numbers").alias("d")).groupBy("game", "b", "d").agg(F.count(F.lit(1)).alias("c"))
+    ways = F.col("n") * (F.col("n") - 1.0)
+    one = c.groupBy("game").agg(F.sum(F.col("c") * (F.col("c") - 1.0)).alias("s1"))
+    two = pairs.groupBy("game").agg(F.sum(F.col("c") * (F.col("c") - 1.0)).alias("s2"))
+    # Pool-sized counts of each game travel as one map, so that draws are not exploded and summed again.
+    counts = c.groupBy("game").agg(F.map_from_entries(F.collect_list(F.struct("b", "c"))).alias("counts")).join(n, "game")
+    u = F.aggregate("numbers", F.lit(0.0), lambda acc, b: acc + (F.try_element_at("counts", b) - 1) / (F.col("n") - 1))
+    spread = draws.join(F.broadcast(counts), "game").select("game", u.alias("u")).groupBy("game").agg(F.var_pop("u").alias("var_u"))
+    g = n.join(one, "game").join(two, "game").join(spread, "game").withColumn("pair_mean", F.col("s1") / ways)
+    variance = F.col("s2") / ways - F.col("pair_mean") * F.col("pair_mean") - 2 * F.col("var_u")
+    return g.select("game", "n", "pair_mean", F.greatest(variance, F.lit(0.0)).alias("pair_variance"))

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import parse, tails
+from ..functions import parse
 from ..operators import battery as bt
 from ..operators import core as op
+from ..operators import draws as dr
+from ..operators import results as rs
+from ..operators import serving as sv
+from ..operators import winners as wn
 from ..sources import views as v
+from . import more
 
 D1 = """d1 AS (SELECT event_type AS game, event_id AS draw_number, CAST(ts AS DATE) AS draw_date, CAST(isodow(ts) - 1 AS INT) AS dow, CAST(hour(ts) AS INT) AS hour,
   CAST(json_extract_string(props, '$.k') AS INT) AS number, CAST(round_even(value * 100, 0) AS BIGINT) AS jackpot_cents, CAST(user_id % 10 = 0 AS INT) AS wins FROM events)"""
@@ -26,11 +31,23 @@ FREQ = """fr AS (SELECT game, number, coalesce(n, 0) AS n, sum(coalesce(n, 0)) O
 FLOOR = """cut AS (SELECT game, quantile_cont(jackpot_cents, 0.4) AS p40, count(*) AS n FROM d1 WHERE jackpot_cents > 0 GROUP BY game HAVING count(*) >= 20),
   tail AS (SELECT game, jackpot_cents, count(*) AS c FROM d1 JOIN cut USING (game) WHERE jackpot_cents > 0 AND jackpot_cents <= p40 GROUP BY ALL),
   fl AS (SELECT game, CASE WHEN max(c) >= 0.15 * sum(c) THEN arg_min(jackpot_cents, (-c, jackpot_cents)) ELSE min(jackpot_cents) END AS floor_cents FROM tail GROUP BY game)"""
-INF = FLOOR + """, nx AS (SELECT *, lead(jackpot_cents) OVER (PARTITION BY game ORDER BY draw_date, draw_number) AS next_cents FROM d1 WHERE jackpot_cents > 0),
-  inf AS (SELECT game, draw_number, jackpot_cents, next_cents, wins,
-    CASE WHEN jackpot_cents <= floor_cents * 1.02 THEN 'undetermined' WHEN next_cents / jackpot_cents < 0.9 THEN 'jackpot_drop' ELSE 'jackpot_drop_small' END AS method,
-    CAST(CASE WHEN jackpot_cents <= floor_cents * 1.02 THEN 0.0 WHEN next_cents / jackpot_cents < 0.7 THEN 0.95 WHEN next_cents / jackpot_cents < 0.9 THEN 0.7 ELSE 0.35 END AS DOUBLE) AS confidence
-    FROM nx JOIN fl USING (game) WHERE next_cents IS NOT NULL AND next_cents / jackpot_cents < 1)"""
+SEQ = FLOOR + """, sq AS (SELECT d1.*, floor_cents, coalesce(jackpot_cents <= floor_cents * 1.02, false) AS at_floor,
+    lag(jackpot_cents) OVER w AS prev_jackpot, lead(jackpot_cents) OVER w AS next_jackpot
+    FROM d1 LEFT JOIN fl USING (game) WHERE coalesce(jackpot_cents, 0) <> 0 WINDOW w AS (PARTITION BY game ORDER BY draw_date, draw_number))"""
+INF = SEQ + """, inf AS (SELECT game, draw_number, draw_date, prev_jackpot, jackpot_cents AS this_jackpot, next_jackpot,
+    CASE WHEN at_floor THEN 'at_jackpot_floor' WHEN next_jackpot / jackpot_cents < 0.9 THEN 'jackpot_drop' ELSE 'jackpot_drop_small' END AS method,
+    CASE WHEN at_floor THEN 'undetermined' ELSE 'win' END AS verdict,
+    CAST(CASE WHEN at_floor THEN 0.0 WHEN next_jackpot / jackpot_cents < 0.7 THEN 0.95 WHEN next_jackpot / jackpot_cents < 0.9 THEN 0.7 ELSE 0.35 END AS DOUBLE) AS confidence,
+    wins AS published_wins,
+    CASE WHEN wins IS NOT NULL AND NOT at_floor THEN CAST((wins > 0) = (next_jackpot / jackpot_cents < 0.9) AS INT) END AS agrees_with_published
+    FROM sq WHERE next_jackpot IS NOT NULL AND (at_floor OR next_jackpot / jackpot_cents < 1))"""
+CONFUSION = INF + """, have AS (SELECT * FROM sq WHERE wins IS NOT NULL),
+  sc AS (SELECT h.game, h.wins, i.draw_number IS NOT NULL AS said FROM have h
+    LEFT JOIN (SELECT * FROM inf WHERE verdict = 'win' AND confidence >= 0.6) i ON i.game = h.game AND i.draw_number = h.draw_number WHERE NOT h.at_floor),
+  al AS (SELECT game, count(*) AS have, avg(CAST(wins > 0 AS INT)) AS won_rate FROM have GROUP BY game)
+  SELECT game, count(*) AS scored, count(*) FILTER (said AND wins > 0) AS tp, count(*) FILTER (said AND wins = 0) AS fp,
+    count(*) FILTER (NOT said AND wins > 0) AS fn, count(*) FILTER (NOT said AND wins = 0) AS tn, any_value(have) AS have, round(any_value(won_rate), 6) AS won_rate
+  FROM sc JOIN al USING (game) GROUP BY game"""
 
 
 def _rounded(df, *cols):
@@ -62,14 +79,11 @@ def _cards(s, d, part: str = "draw_number % 50 = 0"):
 
 
 def _findings(s, d):
-    """Chi-square, repeat-set and adjacency tests of all games, with false-discovery control."""
-    one, sets = v.single_draws(s, d), v.set_draws(s, d)
-    row = lambda test, stat, p, n: [F.col("game"), F.lit(test).alias("test"), stat.cast("double").alias("statistic"), p.alias("p_value"), n.cast("long").alias("n")]
-    a = op.chi2_uniform(op.dense_frequency(one, 0, 99)).select(*row("number_frequency", F.col("chi2"), tails.chi2_p("chi2", F.col("dof").cast("double")), F.col("n")))
-    b = op.contingency(one, F.col("dow")).select(*row("number_by_dow", F.col("chi2"), tails.chi2_p("chi2", F.col("dof").cast("double")), F.col("n")))
-    c = op.consecutive(sets).select(*row("consecutive_numbers", F.col("hits"), tails.binom_p("hits", "n", F.lit(1 - 10 / 35)), F.col("n")))
-    r = op.repeat_sets(sets).select(*row("repeat_sets", F.col("repeats"), tails.poisson_p("repeats", F.col("draws") * (F.col("draws") - 1) / 2 / 35), F.col("draws")))
-    return op.benjamini_hochberg(a.unionByName(b).unionByName(c).unionByName(r).select("game", "test", "statistic", F.round("p_value", 12).alias("p_value"), "n"))
+    """All tests of all games and sources, winners too, with false-discovery control."""
+    x = rs.Slices(v.archive(s, d), v.games(s, d), ["a", "b"], zero_games=["pick4"] + [r.code for r in v.games(s, d).filter("pool_min = 0").collect()])
+    w = v.winners(s, d)
+    others = [wn.winner_vs_draw(wn.link(w, x.raw, x.priority), x.raw, x.priority), wn.location_concentration(w, wn.locations(w))]
+    return rs.run(x, others=others)
 
 
 def _bh(s, d):
@@ -125,10 +139,15 @@ _ALL: dict = {
     "chi2_stat": (one(lambda x: _rounded(op.chi2_uniform(op.dense_frequency(x, 0, 99)), "chi2", "effect")), f"WITH {D1}, {FREQ} SELECT game, CAST(sum(n) AS BIGINT) AS n, round(sum((n - expected) ** 2 / expected), 6) AS chi2, count(*) - 1 AS dof, round(max(abs(n - expected) / sqrt(expected * 0.99)), 6) AS effect FROM fr GROUP BY game"),
     "supported_range": (one(op.supported_range), f"WITH {D1}, c AS (SELECT game, number, count(*) AS n FROM d1 GROUP BY ALL) SELECT game, coalesce(min(number) FILTER (n >= 3), min(number)) AS low, coalesce(max(number) FILTER (n >= 3), max(number)) AS high FROM c GROUP BY game"),
     "pctl_median": (one(lambda x: _rounded(x.groupBy("game").agg(F.percentile("jackpot_cents", 0.5).alias("median"), F.percentile("jackpot_cents", 0.4).alias("p40")), "median", "p40")), f"WITH {D1} " + _mean.format("round(quantile_cont(jackpot_cents, 0.5), 6) AS median, round(quantile_cont(jackpot_cents, 0.4), 6) AS p40", "d1")),
-    "merge_sources": (two(lambda x: op.merge_sources(x, {"a": 0, "b": 1})), f"WITH {D2} SELECT game, draw_number, arg_min(draw_date, source) AS draw_date, arg_min(number, source) AS number, arg_min(jackpot_cents, source) FILTER (jackpot_cents IS NOT NULL) AS jackpot_cents, arg_min(wins, source) AS wins, string_agg(DISTINCT source, '+' ORDER BY source) AS sources FROM d2 GROUP BY game, draw_number"),
+    "merge_sources": (
+        two(lambda x: dr.load_draws(v.lists(x), ["a", "b"]).select("game", "draw_number", "draw_date", "number", "jackpot_cents", "wins", F.col("source").alias("sources"))),
+        f"""WITH {D2}, k AS (SELECT * FROM d2 WHERE number <> 0) SELECT game, draw_number, arg_min(draw_date, source) AS draw_date, arg_min(number, source) AS number,
+          arg_min(jackpot_cents, source) FILTER (jackpot_cents IS NOT NULL) AS jackpot_cents, arg_min(wins, source) AS wins, string_agg(DISTINCT source, '+' ORDER BY source) AS sources
+          FROM k GROUP BY game, draw_number""",
+    ),
     "conflicts": (two(lambda x: op.paired(x).filter("number_a <> number_b").select("game", "draw_number", "number_a", "number_b").orderBy("game", "draw_number").limit(300)), f"WITH {D2} SELECT game, draw_number, number_a, number_b FROM two WHERE number_a <> number_b ORDER BY game, draw_number LIMIT 300"),
     "source_agreement": (two(op.agreement), f"WITH {D2} SELECT game, count(*) AS shared, count(*) FILTER (number_a <> number_b) AS number_differs, count(*) FILTER (date_a <> date_b) AS date_differs FROM two GROUP BY game"),
-    "money_ratio": (two(lambda x: _rounded(op.money_scale(x), "median_ratio", "share_near")), f"WITH {D2} SELECT game, count(*) AS pairs, round(quantile_cont(jackpot_b / jackpot_a, 0.5), 6) AS median_ratio, round(avg(CAST(abs(jackpot_b / jackpot_a - 1) <= 0.02 AS INT)), 6) AS share_near FROM two WHERE jackpot_a > 0 AND jackpot_b > 0 GROUP BY game"),
+    "money_ratio": (two(lambda x: _rounded(op.money_scale(x), "median_ratio", "share_near")), f"WITH {D2} SELECT game, count(*) AS pairs, round(quantile_cont(jackpot_b / jackpot_a, 0.5), 6) AS median_ratio, round(avg(CAST(abs(jackpot_b / jackpot_a - 1) < 0.02 AS INT)), 6) AS share_near FROM two WHERE jackpot_a > 0 AND jackpot_b > 0 GROUP BY game HAVING count(*) >= 5"),
     "pair_counts": (sets(op.pair_counts), f"WITH {DK}, x AS (SELECT game, draw_number, unnest(numbers) AS n FROM dk) SELECT p.game, p.n AS a, q.n AS b, count(*) AS n FROM x p JOIN x q ON p.draw_number = q.draw_number AND p.n < q.n GROUP BY ALL"),
     "repeat_sets": (sets(op.repeat_sets), f"WITH {DK}, c AS (SELECT game, numbers, count(*) AS n FROM dk GROUP BY ALL) SELECT game, CAST(sum(n) AS BIGINT) AS draws, count(*) AS kinds, CAST(sum(n - 1) AS BIGINT) AS repeats, max(n) AS most FROM c GROUP BY game"),
     "contingency_dow": (one(lambda x: _rounded(op.contingency(x, F.col("dow")), "chi2", "cramers_v")), _contingency_sql(D1, "dow", "number").replace("__T__", "d1")),
@@ -139,11 +158,17 @@ _ALL: dict = {
     "positional": (sets(lambda x: x.select("game", F.posexplode("numbers").alias("pos", "number")).groupBy("game", "pos", "number").agg(F.count(F.lit(1)).alias("n"))), f"WITH {DK} SELECT game, CAST(i - 1 AS INT) AS pos, numbers[i] AS number, count(*) AS n FROM dk, (SELECT range AS i FROM range(1, 4)) GROUP BY ALL"),
     "jackpot_floor": (one(op.jackpot_floor), f"WITH {D1}, {FLOOR} SELECT * FROM fl"),
     "inferred_wins": (one(op.inferred_wins), f"WITH {D1}, {INF} SELECT * FROM inf"),
-    "confusion": (one(op.confusion), f"WITH {D1}, {INF}, j AS (SELECT d1.game, coalesce(confidence >= 0.6, false) AS said, d1.wins > 0 AS won FROM d1 LEFT JOIN inf ON inf.game = d1.game AND inf.draw_number = d1.draw_number WHERE d1.jackpot_cents > 0 AND coalesce(method, '') <> 'undetermined') SELECT game, count(*) FILTER (said AND won) AS tp, count(*) FILTER (said AND NOT won) AS fp, count(*) FILTER (won AND NOT said) AS fn, count(*) FILTER (NOT said AND NOT won) AS tn FROM j GROUP BY game"),
+    "undetermined_draws": (one(op.undetermined_draws), f"WITH {D1}, {SEQ} SELECT game, draw_number FROM sq WHERE at_floor"),
+    "confusion": (one(lambda x: _rounded(op.confusion(x), "won_rate")), f"WITH {D1}, {CONFUSION}"),
+    "published_vs_inferred": (
+        one(lambda x: sv.published_vs_inferred(op.inferred_wins(x))),
+        f"""WITH {D1}, {INF} SELECT game, count(*) AS n, count(*) FILTER (confidence >= 0.6) AS strong,
+          CAST(sum(agrees_with_published) AS BIGINT) AS agree, count(agrees_with_published) AS checked FROM inf GROUP BY game""",
+    ),
     "rollover_runs": (one(op.rollover_runs), f"WITH {D1}, r AS (SELECT game, wins, coalesce(sum(wins) OVER (PARTITION BY game ORDER BY draw_date, draw_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM d1), c AS (SELECT game, run, count(*) AS length, max(wins) AS won FROM r GROUP BY ALL) SELECT game, length, count(*) AS runs FROM c WHERE won > 0 GROUP BY ALL"),
-    "cusum": (one(lambda x: _rounded(op.cusum(x), "magnitude")), f"WITH {D1}, m AS (SELECT *, avg(number) OVER (PARTITION BY game) AS mu, row_number() OVER w AS nth, sum(number) OVER w AS s, count(*) OVER (PARTITION BY game) AS n FROM d1 WINDOW w AS (PARTITION BY game ORDER BY draw_date, draw_number)) SELECT game, max(n) AS n, round(max(abs(s - mu * nth)) / sqrt(max(n)), 6) AS magnitude FROM m GROUP BY game"),
+    "cusum": (one(lambda x: _rounded(op.cusum(x), "magnitude")), f"WITH {D1}, m AS (SELECT *, sum(number) OVER (PARTITION BY game) AS t, row_number() OVER w AS nth, sum(number) OVER w AS s, count(*) OVER (PARTITION BY game) AS n FROM d1 WINDOW w AS (PARTITION BY game ORDER BY draw_date, draw_number)) SELECT game, max(n) AS n, arg_max(nth, (abs(s * n - t * nth), -nth)) AS at, round(max(abs(s * n - t * nth)) / max(n) / sqrt(max(n)), 6) AS magnitude FROM m GROUP BY game HAVING max(n) >= 50"),
     "era_segments": (lambda s, d: op.era_segments(v.era_draws(s, d), 80), f"WITH {DE}, t AS (SELECT *, max(number) OVER (PARTITION BY game ORDER BY nth ROWS BETWEEN 80 PRECEDING AND 80 FOLLOWING) AS top FROM de), c AS (SELECT *, CAST(top <> coalesce(lag(top) OVER (PARTITION BY game ORDER BY nth), -1) AS INT) AS fresh FROM t), g AS (SELECT *, sum(fresh) OVER (PARTITION BY game ORDER BY nth) AS segment FROM c) SELECT game, CAST(segment AS BIGINT) AS segment, max(top) AS top, CAST(min(nth) AS INT) AS first, CAST(max(nth) AS INT) AS last FROM g GROUP BY ALL"),
-    "autocorr_stat": (one(lambda x: _rounded(op.autocorrelation(x), "r")), f"WITH {D1}, l AS (SELECT game, number, lag(number) OVER (PARTITION BY game ORDER BY draw_date, draw_number) AS y FROM d1) SELECT game, count(*) AS pairs, round(corr(number, y), 6) AS r FROM l WHERE y IS NOT NULL GROUP BY game"),
+    "autocorr_stat": (one(lambda x: _rounded(op.autocorrelation(x), "r").drop("lag")), f"WITH {D1}, l AS (SELECT game, number, lag(number) OVER (PARTITION BY game ORDER BY draw_date, draw_number) AS y FROM d1) SELECT game, count(*) AS pairs, round(corr(number, y), 6) AS r FROM l WHERE y IS NOT NULL GROUP BY game"),
     "out_of_pool": (one(lambda x: x.filter(~F.col("number").between(1, 90)).groupBy("game", "number").agg(F.count(F.lit(1)).alias("n"))), f"WITH {D1} SELECT game, number, count(*) AS n FROM d1 WHERE number NOT BETWEEN 1 AND 90 GROUP BY ALL"),
     "bh_qvalues": (_bh, "WITH p AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 7 <> 0 THEN (s_suppkey * 37 % 101) / 101.0::DOUBLE END AS p_value FROM supplier), r AS (SELECT *, row_number() OVER (ORDER BY p_value) AS k, count(*) OVER () AS m FROM p WHERE p_value IS NOT NULL), q AS (SELECT id, least(1.0, min(p_value * m / k) OVER (ORDER BY k DESC)) AS q_value FROM r) SELECT p.id, round(p.p_value, 6) AS p_value, round(q.q_value, 6) AS q_value FROM p LEFT JOIN q ON p.id = q.id"),
     "place_rollup": (_places, "SELECT n_name AS place, count(*) AS winners, CAST(sum(CAST(round_even(s_acctbal * 100, 0) AS BIGINT)) AS BIGINT) AS amount_cents, count(DISTINCT s_name) AS outlets FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name"),
@@ -155,7 +180,7 @@ _ALL: dict = {
     "positional_chi2": (sets(lambda x: _rounded(bt.positional_frequency(x, 1, 7), "chi2", "effect")), f"WITH {DK}, c AS (SELECT game, CAST(i - 1 AS INT) AS pos, numbers[i] AS b FROM (SELECT game, numbers, unnest([1, 2, 3]) AS i FROM dk)), {_GRID_SQL.format(k='game, pos', size='7', lo='1')} SELECT game, pos, CAST(max(t) AS BIGINT) AS n, max(kinds) AS kinds, round(sum(o * o / e), 6) AS chi2, 6 AS dof, round(max(abs(o) / sqrt(e)), 6) AS effect FROM z GROUP BY game, pos"),
     "bonus_frequency": (one(lambda x: _rounded(bt.bonus_frequency(x, "hour"), "chi2", "effect")), f"WITH {D1}, c AS (SELECT game, hour AS b FROM d1), {_GRID_SQL.format(k='game', size='max(b) - min(b) + 1', lo='min(b)')} SELECT game, 'hour' AS scope, 'bonus_frequency' AS test, CAST(max(t) AS BIGINT) AS n, round(sum(o * o / e), 6) AS chi2, max(size) - 1 AS dof, round(max(abs(o) / sqrt(e)), 6) AS effect FROM z GROUP BY game HAVING max(t) >= 100"),
     "bonus_flag": (one(lambda x: bt.bonus_frequency(x, "wins")), f"WITH {D1} SELECT game, 'wins' AS scope, 'bonus_field_is_a_flag' AS test, count(*) AS n, CAST(NULL AS DOUBLE) AS chi2, CAST(NULL AS BIGINT) AS dof, CAST(NULL AS DOUBLE) AS effect FROM d1 GROUP BY game HAVING count(*) >= 100"),
-    "autocorr_lags": (one(lambda x: _rounded(bt.autocorrelations(x), "r")), f"WITH {D1}, l AS (SELECT *, row_number() OVER (PARTITION BY game ORDER BY draw_date, draw_number) AS nth FROM d1) SELECT a.game, k.lag, count(*) AS pairs, round(corr(a.number, b.number), 6) AS r FROM (SELECT unnest([1, 2, 3, 4, 5, 7, 10]) AS lag) k, l a JOIN l b ON a.game = b.game WHERE a.nth = b.nth + k.lag GROUP BY ALL"),
+    "autocorr_lags": (one(lambda x: _rounded(op.autocorrelation(x, (1, 2, 3, 4, 5, 7, 10)), "r")), f"WITH {D1}, l AS (SELECT *, row_number() OVER (PARTITION BY game ORDER BY draw_date, draw_number) AS nth FROM d1) SELECT a.game, k.lag, count(*) AS pairs, round(corr(a.number, b.number), 6) AS r FROM (SELECT unnest([1, 2, 3, 4, 5, 7, 10]) AS lag) k, l a JOIN l b ON a.game = b.game WHERE a.nth = b.nth + k.lag GROUP BY ALL"),
     "digit_tests": (lambda s, d: _rounded(bt.digit_tests(_quads(s, d)), "chi2"), """WITH q AS (SELECT o_orderpriority AS game, o_orderkey % 10000 AS x FROM orders), g AS (SELECT game, x % 10 AS a, x // 10 % 10 AS b, x // 100 % 10 AS c, x // 1000 AS d FROM q),
       n AS (SELECT game, count(*) AS n, count(*) FILTER (a = b AND b = c AND c = d) AS all_same, count(*) FILTER (a <> b AND a <> c AND a <> d AND b <> c AND b <> d AND c <> d) AS all_distinct FROM g GROUP BY game),
       r AS (SELECT range AS i FROM range(10)), e AS (SELECT x.i + y.i + z.i + w.i AS s, count(*) / 10000 AS p FROM r x, r y, r z, r w GROUP BY 1), o AS (SELECT game, a + b + c + d AS s, count(*) AS o FROM g GROUP BY ALL)
@@ -163,7 +188,7 @@ _ALL: dict = {
     "rate_changepoint": (one(lambda x: _rounded(bt.rate_changepoints(x), "magnitude", "before", "after")), f"""WITH {D1}, o AS (SELECT game, number, row_number() OVER (PARTITION BY game ORDER BY draw_date, draw_number) AS nth, count(*) OVER (PARTITION BY game) AS n FROM d1),
       k AS (SELECT game, number AS ball, count(*) AS k FROM o GROUP BY ALL), s AS (SELECT game, ball, n, k, nth, CAST(sum(CAST(number = ball AS INT)) OVER (PARTITION BY game, ball ORDER BY nth) AS BIGINT) AS c FROM o JOIN k USING (game)),
       f AS (SELECT *, abs(c * n - k * nth) AS far FROM s), m AS (SELECT *, row_number() OVER (PARTITION BY game, ball ORDER BY far DESC, nth) AS first FROM f), t AS (SELECT *, row_number() OVER (PARTITION BY game ORDER BY far DESC, ball DESC) AS rank FROM m WHERE first = 1)
-      SELECT game, CAST(rank AS INT) AS rank, ball AS number, nth AS at, round(far / n / sqrt(n), 6) AS magnitude, CASE WHEN nth > 1 THEN round(c / nth, 6) END AS before, CASE WHEN nth < n THEN round((k - c) / (n - nth), 6) END AS after FROM t WHERE rank <= 3"""),
+      SELECT game, CAST(rank AS INT) AS rank, ball AS number, nth AS at, round(far / n / sqrt(n), 6) AS magnitude, CASE WHEN nth > 1 THEN round(c / nth, 6) END AS before, CASE WHEN nth < n THEN round((k - c) / (n - nth), 6) END AS after FROM t WHERE rank <= 3 AND n >= 500"""),
     "repeat_sets_by_source": (lambda s, d: _rounded(bt.repeat_sets_by_source(_by_source(s, d)), "expected"), f"WITH {DK}, c AS (SELECT game, CASE WHEN draw_number % 2 = 0 THEN 'a' ELSE 'b' END AS source, numbers, count(*) AS c FROM dk GROUP BY ALL) SELECT game, source, CAST(sum(c) AS BIGINT) AS draws, CAST(sum(c - 1) AS BIGINT) AS repeats, round(sum(c) * (sum(c) - 1) / 2 / (factorial(max(numbers[3])::INT) / (6 * factorial(max(numbers[3])::INT - 3))), 6) AS expected FROM c GROUP BY ALL HAVING sum(c) >= 200"),
     "out_of_pool_examples": (one(lambda x: bt.examples_outside(x, 1, 90)), f"WITH {D1} SELECT game, number, count(*) AS n, array_to_string(list(draw_number ORDER BY draw_date, draw_number)[1:4], ',') AS examples FROM d1 WHERE number NOT BETWEEN 1 AND 90 GROUP BY ALL"),
     "pool_calibration": (one(lambda x: bt.pool_calibration(x, 1, 90)), f"WITH {D1}, c AS (SELECT game, number, count(*) AS n FROM d1 GROUP BY ALL) SELECT game, 1 AS declared_low, 90 AS declared_high, coalesce(min(number) FILTER (n >= 3), min(number)) AS low, coalesce(max(number) FILTER (n >= 3), max(number)) AS high FROM c GROUP BY game HAVING low <> 1 OR high <> 90"),
@@ -175,5 +200,6 @@ _ALL: dict = {
     "report_lines": (lambda s, d: bt.report_lines(_findings(s, d)), None),
     "findings": (_findings, None),
 }
+_ALL |= more.queries(D1, D2)
 QUERIES: dict = {k: f for k, (f, _) in _ALL.items()}
 ORACLE_SQL: dict = {k: q for k, (_, q) in _ALL.items() if q}

@@ -2,13 +2,16 @@
 
 Each half of a vector has its own codebook; their product is a grid of cells. A
 vector is stored in the cell of its nearest codewords. As a query it visits cells
-from the nearest on (multi-sequence order, by the squared distance to the cell's
-borders) until no further cell can hold a vector within the wanted cosine, so the
-recall is whole. Visited cells are verified by cosine in double precision.
+in multi-sequence order, by the squared distance to the cell's borders, until the
+next one lies farther than partners at the wanted cosine do with probability
+TARGET, as measured on a sample. Visited cells are verified by cosine in double
+precision. Codebooks grow with the rows, so that cells do not.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -18,8 +21,12 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import Scratch
 
-#: Codewords for each half; vectors that the codebooks are fitted on; rows of a cell that one task holds, stored and asking.
-CODES, SAMPLE_ROWS, STORED, ASKING = 16, 4_000, 1_500, 3_000
+#: Codewords for each half, least and most; rows for each cell that their number aims at; vectors that the codebooks are fitted on.
+CODES, MOST_CODES, CELL_ROWS, SAMPLE_ROWS = 16, 256, 200, 4_000
+#: Share of partners within reach; rows of a cell that one task holds, stored and asking.
+TARGET, STORED, ASKING = 0.9998, 1_500, 3_000
+#: Vector lengths that get codebooks; vectors of further lengths meet all others of their length and label.
+LENGTHS = 100
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -47,13 +54,57 @@ def border_cost(x: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return near, step**2
 
 
+def traverse(left: np.ndarray, right: np.ndarray, reach: float) -> list[int]:
+    """Cells of the grid in ascending order of left cost plus right cost, up to reach; only these are looked at."""
+    a, b = np.argsort(left, kind="stable"), np.argsort(right, kind="stable")
+    x, y, wide = left[a].tolist(), right[b].tolist(), len(right)
+    a, b = a.tolist(), b.tolist()
+    heap, out = [(x[0] + y[0], 0, 0)], []
+    while heap and heap[0][0] <= reach:
+        _, i, j = heapq.heappop(heap)
+        out.append(a[i] * wide + b[j])
+        if j + 1 < wide:
+            heapq.heappush(heap, (x[i] + y[j + 1], i, j + 1))
+        if j == 0 and i + 1 < len(x):
+            heapq.heappush(heap, (x[i + 1] + y[0], i + 1, 0))
+    return out
+
+
+def reach_of(x: np.ndarray, books: tuple, cut: int, cosine: float, seed: int = 5) -> float:
+    """Border cost within which a share TARGET of partners lie: of vectors turned by the wanted cosine in random directions, and of the sample's own pairs.
+
+    No partner lies beyond the squared distance that belongs to the cosine, which bounds it.
+    """
+    radius, rng = 2 - 2 * cosine + 1e-9, np.random.default_rng(seed)
+    pairs = []
+    for _ in range(5):
+        u = rng.normal(size=x.shape)
+        u -= (u * x).sum(1, keepdims=True) * x
+        u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12)
+        pairs.append((x, cosine * x + max(0.0, 1 - cosine**2) ** 0.5 * u))
+    for at in range(0, len(x), 500):
+        i, j = np.nonzero(x[at : at + 500] @ x.T >= cosine)
+        own = i + at != j
+        pairs.append((x[i[own] + at], x[j[own]]))
+    costs = []
+    for p, q in (tuple(map(np.concatenate, zip(*pairs[:5]))), tuple(map(np.concatenate, zip(*pairs[5:])))):
+        if len(p):
+            cost = np.zeros(len(p))
+            for half, book in zip((slice(0, cut), slice(cut, None)), books):
+                for k in range(0, len(p), 5000):
+                    cost[k : k + 5000] += border_cost(p[k : k + 5000, half], book)[1][np.arange(len(p[k : k + 5000])), border_cost(q[k : k + 5000, half], book)[0]]
+            costs.append(float(np.quantile(cost, TARGET)))
+    return min(radius, 1.1 * max(costs))
+
+
 def neighbours(rows: DataFrame, cosine: float = 0.98) -> DataFrame:
     """One row per vector of rows (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Null labels, and vectors that are null, empty, zero or hold null or
     non-finite components, link with nothing. Vectors of different length never
     link. Equal vectors of a label are searched once and counted as often as they
-    occur. A null vec_id has no class; an empty table gives no rows.
+    occur. A null vec_id has no class; an empty table gives no rows; other columns
+    are ignored, whatever their names.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "vectors")
@@ -64,12 +115,18 @@ def neighbours(rows: DataFrame, cosine: float = 0.98) -> DataFrame:
     groups = scratch.save(v.filter("ok").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("times")), "groups")
     reps = groups.withColumn("size", F.size("v"))
     edges, counts = [], []
-    for size in [r[0] for r in reps.select("size").distinct().limit(1000).collect()]:
+    lengths = reps.groupBy("size").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.col("rows").desc(), "size").limit(LENGTHS).collect()
+    for size, rows_ in lengths:
         own = reps.filter(F.col("size") == size)
         drawn = own.orderBy(F.xxhash64("rep"), "rep").select("v").limit(SAMPLE_ROWS).collect()
         x, cut = unit([r[0] for r in drawn]), size // 2
-        books = (kmeans(x[:, :cut], CODES) if cut else np.zeros((1, 0))), kmeans(x[:, cut:], CODES)
-        e, n = _search(own, books, cut, cosine, scratch, size)
+        codes = int(min(MOST_CODES, max(CODES, round((rows_ / CELL_ROWS) ** 0.5))))
+        books = (kmeans(x[:, :cut], codes) if cut else np.zeros((1, 0))), kmeans(x[:, cut:], codes)
+        e, n = _search(own, books, cut, cosine, reach_of(x, books, cut, cosine), scratch, size)
+        edges.append(e), counts.append(n)
+    if len(lengths) == LENGTHS:
+        rest = reps.filter(~F.col("size").isin([r[0] for r in lengths]))
+        e, n = _compare(rest.select("label", "rep", "v", "times", F.col("size").alias("cell"), F.array("size").alias("visits")), cosine, scratch, "rest")
         edges.append(e), counts.append(n)
     if not edges:
         none = F.col("vec_id")
@@ -86,9 +143,8 @@ def neighbours(rows: DataFrame, cosine: float = 0.98) -> DataFrame:
     return out.select("vec_id", F.coalesce("l", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
-def _search(own: DataFrame, books: tuple, cut: int, cosine: float, scratch: Scratch, size: int) -> tuple[DataFrame, DataFrame]:
+def _search(own: DataFrame, books: tuple, cut: int, cosine: float, reach: float, scratch: Scratch, size: int) -> tuple[DataFrame, DataFrame]:
     left, right = books
-    radius = 2 - 2 * cosine + 1e-9  # squared distance of unit vectors at the wanted cosine
 
     def assign(batches):
         for b in batches:
@@ -96,21 +152,22 @@ def _search(own: DataFrame, books: tuple, cut: int, cosine: float, scratch: Scra
                 c = b.slice(i, 1000)
                 x = unit(c.column(2).to_pylist())
                 (n1, c1), (n2, c2) = border_cost(x[:, :cut], left), border_cost(x[:, cut:], right)
-                cost = c1[:, :, None] + c2[:, None, :]
-                visited = []
-                for row in cost.reshape(len(x), -1):
-                    order = np.flatnonzero(row <= radius)
-                    visited.append(order[np.argsort(row[order], kind="stable")].astype(np.int32))
+                visited = [traverse(a, b, reach) for a, b in zip(c1, c2)]
                 cell = (n1 * len(right) + n2).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), c.column(2), c.column(3), pa.array(cell), pa.array(visited, pa.list_(pa.int32()))], ["label", "rep", "v", "times", "cell", "visits"])
 
     kind = dict(own.dtypes)["label"]
     table = scratch.save(own.select("label", "rep", "v", "times").mapInArrow(assign, f"label {kind}, rep long, v array<double>, times long, cell int, visits array<int>"), f"cells-{size}")
+    return _compare(table, cosine, scratch, str(size))
+
+
+def _compare(table: DataFrame, cosine: float, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """Edges and links of rows (label, rep, v, times, cell, visits) with those stored in the cells that they visit, in blocks of bounded size."""
     stored = table.select("label", "cell", "rep", "v", "times")
     asking = table.select("label", F.explode("visits").alias("cell"), "rep", "v", "times")
     n_s = stored.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / STORED).cast("int").alias("sb"))
     n_a = table.select("label", F.explode("visits").alias("cell")).groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / ASKING).cast("int").alias("ab"))
-    parts = scratch.save(n_s.join(n_a, ["label", "cell"]), f"parts-{size}")
+    parts = scratch.save(n_s.join(n_a, ["label", "cell"]), f"parts-{name}")
     block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     stored = stored.join(parts, ["label", "cell"]).select("label", "cell", block("sb").alias("s"), each("ab").alias("a"), "rep", "v", "times")
@@ -134,7 +191,7 @@ def _search(own: DataFrame, books: tuple, cut: int, cosine: float, scratch: Scra
         return pd.DataFrame({"a": np.concatenate([qi[hit], si[linked]]), "b": np.concatenate([low_q[hit], low_s[linked]]), "links": np.concatenate([links[hit], np.zeros(int(linked.sum()), np.int64)])})
 
     keys = ["label", "cell", "s", "a"]
-    stored = scratch.save(stored, f"stored-{size}")  # a table of its own, so that the sides' columns differ
+    stored = scratch.save(stored, f"stored-{name}")  # a table of its own, so that the sides' columns differ
     got = asking.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(verify, "a long, b long, links long")
-    got = scratch.save(got, f"found-{size}")
+    got = scratch.save(got, f"found-{name}")
     return got.select("a", "b"), got.filter("links > 0").select(F.col("a").alias("rep"), "links")

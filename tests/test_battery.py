@@ -1,13 +1,14 @@
 """Small cases of the battery: exact values, ties, nulls and empty tables."""
 
 from sortilege.operators import battery as bt
+from sortilege.operators import core as op
 
 DRAWS = "game string, draw_number long, draw_date string, number int"
 
 
 def test_changepoint_is_exact(spark):
     rows = [("g", i, f"2024-01-{i:02d}", 1 if i <= 5 else 2) for i in range(1, 11)]
-    got = {r.number: r for r in bt.rate_changepoints(spark.createDataFrame(rows, DRAWS)).collect()}
+    got = {r.number: r for r in bt.rate_changepoints(spark.createDataFrame(rows, DRAWS), least=10).collect()}
     assert set(got) == {1, 2}
     assert (got[1].at, got[1].before, got[1].after) == (5, 1.0, 0.0)
     assert (got[2].at, got[2].before, got[2].after, got[2]["rank"]) == (5, 0.0, 1.0, 1)
@@ -22,6 +23,6 @@ def test_places(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], DRAWS)
     assert not bt.rate_changepoints(none).collect()
-    assert not bt.autocorrelations(none).collect()
+    assert not op.autocorrelation(none, (1, 2)).collect()
     assert not bt.examples_outside(none, 1, 9).collect()
     assert not bt.bonus_frequency(none, "number").collect()

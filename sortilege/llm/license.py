@@ -20,7 +20,20 @@ from .textblocks import blocks
 # Base phrases and labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 # Notices searched with edits: phrase, label, most edits.
-FUZZY = [("gnu general public license", "gpl", 3), ("gnu lesser general public license", "lgpl", 3), ("licensed under the apache license", "apache", 3), ("released under the mit license", "mit", 3), ("mozilla public license", "mpl", 2), ("creative commons attribution", "cc-by", 3), ("redistribution and use in source and binary forms", "bsd", 4)]
+FUZZY = [
+    ("gnu general public license", "gpl", 3),
+    ("gnu lesser general public license", "lgpl", 3),
+    ("gnu affero general public license", "agpl", 3),
+    ("licensed under the apache license", "apache", 3),
+    ("apache license", "apache", 1),
+    ("released under the mit license", "mit", 3),
+    ("mit license", "mit", 1),
+    ("mozilla public license", "mpl", 2),
+    ("eclipse public license", "epl", 2),
+    ("boost software license", "bsl", 2),
+    ("creative commons attribution", "cc-by", 3),
+    ("redistribution and use in source and binary forms", "bsd", 4),
+]
 
 _CLEAN = bytes((c | 32) if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 PATTERNS = [(p, BASE[p], 0, True) for p in BASE] + [(p, label, k, False) for p, label, k in FUZZY]
@@ -41,7 +54,7 @@ class Finder:
         for piece, uses in at.items():
             self.seeds.add_word(piece, (len(piece), uses))
         self.seeds.make_automaton()
-        self.checks = [regex.compile(f"(?b)(?:{regex.escape(f' {p} ' if base else p)})" + "{e<=%d}" % k) for p, _, k, base in PATTERNS]
+        self.checks = [regex.compile(f"(?e)(?:{regex.escape(f' {p} ' if base else p)})" + "{e<=%d}" % k) for p, _, k, base in PATTERNS]
 
     def spans(self, norm: str) -> list[tuple[int, int, int, int]]:
         """(pattern, start, end, edits) of each match in words joined by single spaces, with one before and after."""
@@ -91,7 +104,12 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row per document. Null and empty texts have no words and no hits; spans are offsets in the words joined by spaces, after one space."""
+    """One row per document. Null and empty texts have no words and no hits; spans are offsets in the words joined by spaces, after one space.
+
+    Spans of a notice run from left to right and do not overlap; of several fits the
+    first is taken, with as few edits as its place allows. Rows that repeat an id are
+    scanned each; an empty table gives no rows; other columns are ignored.
+    """
     def run(batches):
         finder, span = Finder(), pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]))
         for b in blocks(batches):

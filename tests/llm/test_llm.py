@@ -38,6 +38,25 @@ def test_license(spark):
     assert got[1].n_words == 0 and got[1].first_word is None and got[9].labels == ""
 
 
+def test_license_by_brute_force(spark):
+    """Base columns on whole documents against a plain search; every edited notice is found, and each of two in a row."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: r for r in license.scan(docs).collect()}
+    for d in docs.collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in d.text or ""))
+        at = [(i, label) for phrase, label in license.BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+        r = got[d.doc_id]
+        assert (r.n_words, r.n_base, r.base_labels) == (len(words), len(at), ",".join(sorted({x for _, x in at})))
+        assert (r.first_word, r.last_word) == ((min(at)[0], max(at)[0]) if at else (None, None))
+    finder = license.Finder()
+    for phrase, label, k in license.FUZZY:
+        for edit in (lambda p: p, lambda p: p[: len(p) // 2] + p[len(p) // 2 + 1 :], lambda p: p[:3] + "x" + p[3:], lambda p: p[:-2] + "zz" if k > 1 else p):
+            found = license.scan_text(f"see the {edit(phrase)} here", finder)
+            assert label in found["labels"].split(","), (phrase, edit(phrase))
+    two = license.scan_text("relesed under the mit license released under the mit license", finder)["spans"]
+    assert [(x["start"], x["end"]) for x in two if x["end"] - x["start"] > 20] == [(1, 30), (31, 61)]
+
+
 @pytest.mark.parametrize("files", [None, 1])
 def test_exact(spark, files):
     df = table(spark).repartition(3)

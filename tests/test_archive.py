@@ -184,3 +184,16 @@ def test_fits(spark):
     h = spark.createDataFrame([("g", int(a), int(b)) for a, b in zip(lengths, counts)] + [("few", 1, 3)], "game string, length long, runs long")
     got = {r.game: r for r in fits.geometric_fit(h).collect()}
     assert got["g"].dof == dof and math.isclose(got["g"].chi2, chi2) and got["few"].chi2 is None
+
+
+def test_report(spark):
+    from sortilege.operators.report import report
+
+    f = spark.createDataFrame([("g", "t", "s", 2.5, 0.00001, 0.00003, 1234, "d"), ("g", "u", "s", None, None, None, 5, "e"), ("g", "v", "s", 1.0, 0.5, 0.5, 9, "x")], "game string, test string, scope string, statistic double, p_value double, q_value double, n long, detail string")
+    cover = spark.createDataFrame([("g", 1234, "2000-01-01", "2001-01-01", 3, 4)], "game string, draws long, first_date string, last_date string, with_jackpot long, with_wins long")
+    won = spark.createDataFrame([("g", 7, 2, 1, 3)], "game string, n long, strong long, agree long, checked long")
+    lines = [r.line for r in report(f, cover, won).orderBy("section", "place").collect()]
+    assert "| g | 1,234 | 2000-01-01 | 2001-01-01 | 3 | 4 | 7 |" in lines and "| g | t | s | 1,234 | 2.500 | 1.00e-05 | 3.00e-05 | d |" in lines
+    assert lines.index("| g | v | s | 9 | 1.000 | 0.5000 | 0.5000 | x |") == lines.index("| g | t | s | 1,234 | 2.500 | 1.00e-05 | 3.00e-05 | d |") + 1
+    assert "- **g / t (s)**: p=1.00e-05, q=3.00e-05. d" in lines and "- **g / u (s)**: e" in lines and "| g | 7 | 2 | 3 | 1 |" in lines
+    assert "Nothing: all results are those of fair draws." in [r.line for r in report(f.filter("test = 'v'"), cover, won).collect()]

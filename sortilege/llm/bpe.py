@@ -30,7 +30,7 @@ from .textblocks import blocks
 #: Characters of text after which a block ends; rows of an Arrow batch of words.
 BLOCK_CHARS, ROWS = 24_000_000, 50_000
 #: Words whose ids and pieces a task holds as text at a time; bytes of text that it joins at once.
-HELD_WORDS, SLICE_BYTES = 60_000, 1_000_000
+HELD_WORDS, SLICE_BYTES = 100_000, 1_000_000
 #: Signs that may end a word; behind letters they are tokens of their own, but not behind a combining mark.
 TAILS = ".,!?|"
 _CONTROL = re.compile("[\x1c-\x1f]")
@@ -189,7 +189,7 @@ def encode(docs: DataFrame, path: str, scanned: bool = False) -> DataFrame:
     side = scratch.path("back")
     # The piece join: the vocabulary bounds this side, so it is held as one array that is looked up by id.
     table = pieces_table(spark, path).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "piece"))), lambda s: s["piece"]).alias("table")).first()[0]
-    pieces = spark.sparkContext.broadcast(table)
+    pieces = spark.sparkContext.broadcast((table, [str(i) for i in range(len(table))]))  # and ids as text
 
     def words_of_block(block: int) -> dict[str, bytes]:
         fs, at = open_fs(side)
@@ -224,7 +224,7 @@ def encode(docs: DataFrame, path: str, scanned: bool = False) -> DataFrame:
         """Ids and pieces at the places of the words of each text."""
         if "side" not in held:
             held["side"], held["known"] = words_of_block(block), {}
-        known = held["known"]
+        known, native = held["known"], {2: "H", 4: "I"}[int(kind[-1])]
         met = set().union(*lists)
         new = [x for x in met if x not in known]
         if len(known) + len(new) > HELD_WORDS:
@@ -234,11 +234,11 @@ def encode(docs: DataFrame, path: str, scanned: bool = False) -> DataFrame:
         parts = held["side"]
         if lacking := list({p for c in cut for p in c if p not in parts}):
             parts.update(zip(lacking, encode_words(_tokenizer(path), lacking, kind)))
-        plain = pieces.value
+        plain, digits = pieces.value
         for x, c in zip(new, cut):
             raw = b"".join([parts[p] for p in c])
-            ids = np.frombuffer(raw, kind).tolist()
-            known[x] = raw, " ".join(map(str, ids)), " ".join([plain[i] for i in ids])
+            ids = memoryview(raw).cast(native).tolist()
+            known[x] = raw, " ".join([digits[i] for i in ids]), " ".join([plain[i] for i in ids])
         out = []
         for w in lists:
             found = [f for f in [known[x] for x in w] if f[0]]

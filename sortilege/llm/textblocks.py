@@ -22,6 +22,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str | int = "text", limit:
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start, base = stop, int(ends[stop - 1])
+    pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds no free buffers
 
 
 def offsets(column: pa.Array) -> np.ndarray:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,6 +15,8 @@ from ..functions.tails import chi2_p
 
 #: Draws up to which each simulation makes every draw; beyond, the statistic follows its limit law closely. Cells made at once.
 SIMULATED_DRAWS, CELLS = 20_000, 6_000_000
+#: Possible sets up to which they are drawn as one multinomial.
+SETS = 5_000
 
 
 def simulated_chi2(seed: list[int], draws: int, pool: int, k: int) -> float:

@@ -169,6 +169,12 @@ def test_nulls(spark):
         seen.append((p[1:] * p[:-1]).sum())
     assert abs(np.mean(seen) - 399 * r.pair_mean) < 4 * np.std(seen) / 3000**0.5
     assert abs(np.var(seen) / (399 * r.pair_variance) - 1) < 0.12
+    sets, direct = nulls.SETS, []
+    nulls.SETS = 0
+    direct = [nulls.simulated_chi2([1, i], 200, 7, 3) for i in range(1500)]
+    nulls.SETS = sets
+    at_once = [nulls.simulated_chi2([1, i], 200, 7, 3) for i in range(1500)]
+    assert abs(np.mean(direct) - np.mean(at_once)) < 0.25 and abs(np.quantile(direct, 0.9) - np.quantile(at_once, 0.9)) < 0.6
     stats = spark.createDataFrame([("g", 14.0, 300, 12, 4), ("h", 14.0, 30_000, 12, 4), ("k", 5.0, 300, 12, 1)], "game string, chi2 double, n long, pool int, k int")
     got = {r.game: r.mc_p for r in nulls.with_frequency_p(stats, 1500).collect()}
     assert got["k"] is None and abs(got["g"] - got["h"]) < 0.05

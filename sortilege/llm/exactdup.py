@@ -94,6 +94,7 @@ def find_copies(docs: DataFrame, digest=sha256, files_per_batch: int | None = No
     norm = rows.withColumn("digest", digest(F.col("norm")))
     digests = scratch.save(norm.select("digest", "doc_id", "locator"), "digests")
     keepers = scratch.save(keyed_state(digests, scratch, files_per_batch), "keepers")
+    scratch.drop("changes", "state")
 
     repeated = keepers.filter("group_size > 1").select(F.col("digest").alias("r_digest"), F.col("keep_locator").alias("r_locator"))
     small = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated

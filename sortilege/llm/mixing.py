@@ -82,6 +82,7 @@ def thresholds(sized: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFr
             low = low + F.when(hit & (left * 2 > F.col("at.words")), F.lit(1)).otherwise(F.lit(0))
         bounds = bounds.join(crossed, F.col("source").eqNullSafe(F.col("b_source")), "left")
         bounds = scratch.save(bounds.select("source", "source_size", "target", "copies", left.alias("left"), low.cast("long").alias("low"), hit.alias("open")), f"bounds-{step}")
+        scratch.drop(f"bounds-{step - 1}")
     return bounds
 
 

@@ -194,4 +194,5 @@ def _compare(table: DataFrame, cosine: float, scratch: Scratch, name: str) -> tu
     stored = scratch.save(stored, f"stored-{name}")  # a table of its own, so that the sides' columns differ
     got = asking.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(verify, "a long, b long, links long")
     got = scratch.save(got, f"found-{name}")
+    scratch.drop(f"cells-{name}", f"parts-{name}", f"stored-{name}")
     return got.select("a", "b"), got.filter("links > 0").select(F.col("a").alias("rep"), "links")

@@ -165,7 +165,10 @@ def queries(d1: str, d2: str) -> dict:
     log = lambda f: lambda s, d: f(v.ingest_log(s, d))
     won = lambda f: lambda s, d: f(v.winners(s, d))
     return {
-        "load_draws": (two(lambda x: _as_text(dr.load_draws(x, ["a", "b"])).select("game", "draw_number", "draw_date", "numbers", "jackpot_cents", "draw_time", "source")), f"WITH {d2}{MERGED} SELECT game, draw_number, draw_date, CAST(numbers[1] AS TEXT) AS numbers, jackpot_cents, draw_time, source FROM ld"),
+        "load_draws": (
+            two(lambda x: _as_text(dr.load_draws(x, ["a", "b"])).select("game", "draw_number", "draw_date", "numbers", "jackpot_cents", "draw_time", "source")),
+            f"WITH {d2}{MERGED} SELECT game, draw_number, draw_date, CAST(numbers[1] AS TEXT) AS numbers, jackpot_cents, draw_time, source FROM ld",
+        ),
         "placeholders": (two(sv.placeholders), f"WITH {d2}{L2} SELECT game, source, count(*) AS n FROM l2 WHERE numbers = [0] GROUP BY ALL"),
         "game_meta": (
             _meta,
@@ -173,7 +176,12 @@ def queries(d1: str, d2: str) -> dict:
               SELECT game, lo AS pool_min, hi AS pool_max, 1 AS picks, draws, true AS has_jackpot, CASE WHEN lo <> 0 OR hi <> 99 THEN concat('main pool ', lo, '-', hi, ' in the data, declared 0-99') END AS note FROM p""",
         ),
         "pool_eras": (_eras, None),
-        "sequence": (_stretched, f"WITH {d1} SELECT game, draw_number, row_number() OVER (PARTITION BY game ORDER BY draw_date, draw_number) AS nth, count(*) OVER (PARTITION BY game) AS n FROM d1"),
+        "sequence": (
+            _stretched,
+            f"""WITH {d1} SELECT game, draw_number, row_number() OVER (PARTITION BY game
+              ORDER BY draw_date, draw_number) AS nth, count(*) OVER (PARTITION BY game) AS n
+              FROM d1""",
+        ),
         "runs_test": (
             _runs,
             f"""WITH {d1}, x AS (SELECT game, CAST(number >= 50 AS INT) AS f, lag(CAST(number >= 50 AS INT)) OVER (PARTITION BY game ORDER BY draw_date, draw_number) AS g FROM d1),
@@ -186,19 +194,58 @@ def queries(d1: str, d2: str) -> dict:
               h AS (SELECT game, gap, count(*) AS c FROM g WHERE gap IS NOT NULL GROUP BY ALL), u AS (SELECT *, sum(c) OVER (PARTITION BY game ORDER BY gap) AS upto, sum(c) OVER (PARTITION BY game) AS n, 1 - pow(0.95::DOUBLE, gap) AS law FROM h)
               SELECT game, CAST(max(n) AS BIGINT) AS gaps, round(sum(gap * c) / max(n), 6) AS mean_gap, round(max(greatest(upto / n - law, law - (upto - c) / n)), 6) AS ks FROM u GROUP BY game HAVING max(n) >= 30""",
         ),
-        "totals": (two(lambda x: sv.totals(x)), f"WITH {d2} SELECT count(*) AS rows, count(DISTINCT game) AS games, min(draw_date) AS first_date, max(draw_date) AS last_date FROM d2"),
+        "totals": (
+            two(lambda x: sv.totals(x)),
+            f"WITH {d2} SELECT count(*) AS rows, count(DISTINCT game) AS games, min(draw_date) AS first_date, max(draw_date) AS last_date FROM d2",
+        ),
         "winner_totals": (won(sv.winner_totals), f"WITH {d1}{W1} SELECT count(*) AS winners, CAST(sum(amount_cents) AS BIGINT) AS amount_cents FROM w1"),
-        "recent_draws": (one(lambda x: sv.recent(x, 12, "p").select("game", "draw_number", "draw_date")), f"WITH {d1} SELECT game, draw_number, draw_date FROM d1 WHERE game NOT LIKE 'p%' ORDER BY draw_date DESC, draw_number DESC, game LIMIT 12"),
+        "recent_draws": (
+            one(lambda x: sv.recent(x, 12, "p").select("game", "draw_number", "draw_date")),
+            f"WITH {d1} SELECT game, draw_number, draw_date FROM d1 WHERE game NOT LIKE 'p%' ORDER BY draw_date DESC, draw_number DESC, game LIMIT 12",
+        ),
         "games_with_coverage": (
             lambda s, d: sv.games_with_coverage(v.games(s, d), _singles(s, d), ["view", "click"]).select("code", "pool_max", "draws", "first_date", "last_date", "place"),
-            f"WITH {d1} SELECT game AS code, 99 AS pool_max, count(DISTINCT draw_number) AS draws, min(draw_date) AS first_date, max(draw_date) AS last_date, CASE game WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS place FROM d1 GROUP BY game",
+            f"""WITH {d1} SELECT game AS code, 99 AS pool_max, count(DISTINCT draw_number) AS draws, min(draw_date) AS first_date, max(draw_date) AS last_date, CASE game WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS place
+              FROM d1
+              GROUP BY game""",
         ),
         "overlap": (two(lambda x: sv.overlap(x, "a", "b")), f"WITH {d2} SELECT game, count(*) AS n FROM two GROUP BY game"),
-        "conflict_rows": (two(lambda x: sv.conflicts(x, "a", "b").select("game", "draw_number", F.get("official", F.lit(0)).alias("official"), F.get("mirror", F.lit(0)).alias("mirror"))), f"WITH {d2}{L2} SELECT a.game, a.draw_number, a.numbers[1] AS official, b.numbers[1] AS mirror FROM l2 a JOIN l2 b USING (game, draw_number) WHERE a.source = 'a' AND b.source = 'b' AND a.numbers <> b.numbers ORDER BY 1, 2 LIMIT 300"),
-        "page_rows": (one(lambda x: sv.page(x, "view", 3, "1")[0].select("draw_number", "draw_date", "number")), f"WITH {d1} SELECT draw_number, draw_date, number FROM d1 WHERE game = 'view' AND (CAST(draw_number AS TEXT) LIKE '%1%' OR CAST(draw_date AS TEXT) LIKE '%1%' OR CAST([number] AS TEXT) LIKE '%1%') ORDER BY draw_date DESC, draw_number DESC LIMIT 50 OFFSET 100"),
-        "page_count": (one(lambda x: sv.page(x, "view", 1, "17")[1]), f"WITH {d1} SELECT count(*) AS rows, CAST(ceil(count(*) / 50) AS BIGINT) AS pages FROM d1 WHERE game = 'view' AND (CAST(draw_number AS TEXT) LIKE '%17%' OR CAST(draw_date AS TEXT) LIKE '%17%' OR CAST([number] AS TEXT) LIKE '%17%')"),
-        "api_draws": (two(lambda x: sv.api_draws(x, "view", 9000).select("draw_number", "draw_date", "source", "jackpot_cents")), f"WITH {d2} SELECT draw_number, draw_date, source, jackpot_cents FROM d2 WHERE game = 'view' ORDER BY draw_date DESC, draw_number DESC, source LIMIT 5000"),
-        "per_year": (lambda s, d: sv.per_year(v.set_draws(s, d)), "WITH x AS (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linenumber) = 3) SELECT o_orderpriority AS game, CAST(year(o_orderdate) AS INT) AS year, count(*) AS n FROM x JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL"),
+        "conflict_rows": (
+            two(lambda x: sv.conflicts(x, "a", "b").select("game", "draw_number", F.get("official", F.lit(0)).alias("official"), F.get("mirror", F.lit(0)).alias("mirror"))),
+            f"""WITH {d2}{L2} SELECT a.game, a.draw_number, a.numbers[1] AS official, b.numbers[1] AS mirror
+              FROM l2 a JOIN l2 b USING (game, draw_number)
+              WHERE a.source = 'a' AND b.source = 'b' AND a.numbers <> b.numbers
+              ORDER BY 1, 2 LIMIT 300""",
+        ),
+        "page_rows": (
+            one(lambda x: sv.page(x, "view", 3, "1")[0].select("draw_number", "draw_date", "number")),
+            f"""WITH {d1} SELECT draw_number, draw_date, number
+              FROM d1
+              WHERE game = 'view' AND (CAST(draw_number AS TEXT) LIKE '%1%' OR CAST(draw_date AS TEXT) LIKE '%1%' OR CAST([number] AS TEXT) LIKE '%1%')
+              ORDER BY draw_date DESC, draw_number DESC LIMIT 50 OFFSET 100""",
+        ),
+        "page_count": (
+            one(lambda x: sv.page(x, "view", 1, "17")[1]),
+            f"""WITH {d1} SELECT count(*) AS rows, CAST(ceil(count(*) / 50) AS BIGINT) AS pages
+              FROM d1
+              WHERE game = 'view' AND (CAST(draw_number AS TEXT) LIKE '%17%' OR CAST(draw_date AS TEXT) LIKE '%17%' OR CAST([number] AS TEXT) LIKE '%17%')""",
+        ),
+        "api_draws": (
+            two(lambda x: sv.api_draws(x, "view", 9000).select("draw_number", "draw_date", "source", "jackpot_cents")),
+            f"""WITH {d2} SELECT draw_number, draw_date, source, jackpot_cents
+              FROM d2
+              WHERE game = 'view'
+              ORDER BY draw_date DESC, draw_number DESC, source LIMIT 5000""",
+        ),
+        "per_year": (
+            lambda s, d: sv.per_year(v.set_draws(s, d)),
+            """WITH x AS (SELECT l_orderkey
+              FROM lineitem
+              GROUP BY 1
+              HAVING count(DISTINCT l_linenumber) = 3) SELECT o_orderpriority AS game, CAST(year(o_orderdate) AS INT) AS year, count(*) AS n
+              FROM x JOIN orders ON l_orderkey = o_orderkey
+              GROUP BY ALL""",
+        ),
         "ingest_summary": (log(sv.ingest_summary), f"WITH {LG} SELECT source, status, count(*) AS n, max(ts) AS last FROM lg GROUP BY ALL"),
         "last_errors": (log(sv.last_errors), f"WITH {LG} SELECT source, target, note, ts FROM lg WHERE status = 'error' ORDER BY ts DESC, source, target LIMIT 25"),
         "last_runs": (log(lambda x: sv.runs(x.select(F.to_date("ts").alias("run_ts")))), f"WITH {LG} SELECT DISTINCT CAST(ts AS DATE) AS run_ts FROM lg ORDER BY 1 DESC LIMIT 20"),
@@ -208,7 +255,10 @@ def queries(d1: str, d2: str) -> dict:
               t AS (SELECT game, m, concat(game, ':', year(m), '-', strftime(m, '%b')) AS target FROM m)
               SELECT game, CAST(year(m) AS INT) AS year, CAST(month(m) AS INT) AS month, target FROM t WHERE m >= DATE '2024-04-01' OR target NOT IN (SELECT target FROM lg WHERE source = 'a' AND status = 'ok')""",
         ),
-        "link_winners": (lambda s, d: _linked(s, d).select("id", "draw_number", "draw_date", "match_method"), f"WITH {d1}{LINK} SELECT id, draw_number, draw_date, match_method FROM lk"),
+        "link_winners": (
+            lambda s, d: _linked(s, d).select("id", "draw_number", "draw_date", "match_method"),
+            f"WITH {d1}{LINK} SELECT id, draw_number, draw_date, match_method FROM lk",
+        ),
         "winner_consistency": (
             lambda s, d: wn.consistency(wn.one_draw_each(_linked(s, d), _singles(s, d), ["a"])),
             f"""WITH {d1}{LINK}, j AS (SELECT lk.*, d1.draw_date AS dd, d1.number AS dn FROM lk JOIN d1 ON d1.game = lk.game AND d1.draw_number = lk.draw_number)
@@ -217,7 +267,12 @@ def queries(d1: str, d2: str) -> dict:
         "location_rows": (won(lambda w: wn.location_rows(w, wn.locations(w))), f"WITH {d1}{OUT} SELECT w1.game, outlet, area FROM o JOIN w1 ON w1.id = o.winner_id"),
         "winners_nested": (
             _nested,
-            f"WITH {d1}{MAPPED}, q AS (SELECT winner_id, count(*) AS n, string_agg(concat_ws('@', outlet, CASE WHEN place IS NOT NULL THEN area END), ';' ORDER BY seq) AS outlets FROM m GROUP BY ALL) SELECT id, game, CAST(coalesce(n, 0) AS INT) AS n, coalesce(outlets, '') AS outlets FROM w1 LEFT JOIN q ON winner_id = id",
+            f"""WITH {d1}{MAPPED}, q AS (SELECT winner_id, count(*) AS n, string_agg(concat_ws('@', outlet, CASE WHEN place IS NOT NULL THEN area END), ';'
+              ORDER BY seq) AS outlets
+              FROM m
+              GROUP BY ALL) SELECT id, game, CAST(coalesce(n, 0) AS INT) AS n, coalesce(outlets, '') AS outlets
+              FROM w1
+              LEFT JOIN q ON winner_id = id""",
         ),
         "place_markers": (
             _markers,
@@ -226,8 +281,16 @@ def queries(d1: str, d2: str) -> dict:
               SELECT area AS place, area AS label, 10.0 + (list_position({PLACES}, area) - 1) / 8 AS lat, -61.0 - (list_position({PLACES}, area) - 1) / 4 AS lon, count(*) AS count, CAST(sum(amount_cents) AS BIGINT) AS amount_cents,
                 CAST(count(DISTINCT outlet) AS INT) AS outlets, concat('{{', any_value(g), '}}') AS games FROM x JOIN g USING (area) GROUP BY area""",
         ),
-        "merge_draws": (_merge, f"WITH {d1} SELECT game, draw_number, 'a' AS source, CASE WHEN draw_number % 8 = 0 THEN jackpot_cents + 1 ELSE jackpot_cents END AS jackpot_cents, CASE WHEN draw_number % 4 = 0 THEN wins + 1 ELSE wins END AS wins, DATE '2024-01-01' AS fetched_at FROM d1"),
-        "merge_estimates": (_estimates, f"WITH {d1} SELECT game, draw_number, 'current' AS kind, CASE WHEN draw_number % 3 = 0 THEN jackpot_cents + 5 ELSE jackpot_cents END AS jackpot_cents, 'a' AS source FROM d1"),
+        "merge_draws": (
+            _merge,
+            f"""WITH {d1} SELECT game, draw_number, 'a' AS source, CASE WHEN draw_number % 8 = 0 THEN jackpot_cents + 1 ELSE jackpot_cents END AS jackpot_cents, CASE WHEN draw_number % 4 = 0 THEN wins + 1 ELSE wins END AS wins, DATE '2024-01-01' AS fetched_at
+              FROM d1""",
+        ),
+        "merge_estimates": (
+            _estimates,
+            f"""WITH {d1} SELECT game, draw_number, 'current' AS kind, CASE WHEN draw_number % 3 = 0 THEN jackpot_cents + 5 ELSE jackpot_cents END AS jackpot_cents, 'a' AS source
+              FROM d1""",
+        ),
         "merge_winners": (_merge_winners, f"WITH {d1}{W1} SELECT id, game, draw_number, 2 AS players, DATE '2024-01-01' AS fetched FROM w1"),
         "map_points": (_placed, PLACED),
         "formats": (

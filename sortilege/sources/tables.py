@@ -13,7 +13,7 @@ FALLBACK = "file:///tmp/checkpoints"
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and not spark.sparkContext.master.startswith("local["):
+    if not found and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (found or FALLBACK).rstrip("/")
 

@@ -30,7 +30,7 @@ from .textblocks import blocks
 #: Characters of text after which a block ends; rows of an Arrow batch of words.
 BLOCK_CHARS, ROWS = 24_000_000, 50_000
 #: Words whose ids and pieces a task holds as text at a time; bytes of text that it joins at once.
-HELD_WORDS, SLICE_BYTES = 100_000, 1_000_000
+HELD_WORDS, SLICE_BYTES = 60_000, 1_000_000
 #: Signs that may end a word; behind letters they are tokens of their own, but not behind a combining mark.
 TAILS = ".,!?|"
 _CONTROL = re.compile("[\x1c-\x1f]")
@@ -227,9 +227,8 @@ def encode(docs: DataFrame, path: str, scanned: bool = False) -> DataFrame:
         known, native = held["known"], {2: "H", 4: "I"}[int(kind[-1])]
         met = set().union(*lists)
         new = [x for x in met if x not in known]
-        if len(known) + len(new) > HELD_WORDS:
-            known.clear()
-            new = list(met)
+        if len(known) + len(new) > HELD_WORDS:  # those of this slice stay: frequent words are in every one
+            known = held["known"] = {x: known[x] for x in met if x in known}
         cut = [parts_of(x) for x in new]
         parts = held["side"]
         if lacking := list({p for c in cut for p in c if p not in parts}):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exactdup, langid, license, mixing, neardup, quality, tokenfiles, toxicity, vectors
+from . import bpe, exactdup, langid, license, mixing, neardup, periodic, quality, tokenfiles, toxicity, vectors
 
 
 def _docs(spark, d):
@@ -31,6 +31,7 @@ QUERIES = {
     "op8_toxicity": lambda s, d: toxicity.score(_docs(s, d), _labels(s, d)).drop("spans"),
     "op9_mixing": lambda s, d: mixing.mix(_docs(s, d)).drop("source"),
     "op10_langid": lambda s, d: langid.identify(_docs(s, d)),
+    "op11_periodic": lambda s, d: periodic.scan(_docs(s, d), damage=True).drop("runs", "collapsed"),
 }
 
 ORACLE_SQL = {

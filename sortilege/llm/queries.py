@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exactdup, langid, license, mixing, neardup, periodic, quality, tokenfiles, toxicity, vectors
+from . import bpe, conversations, decontaminate, exactdup, langid, license, mixing, neardup, periodic, quality, tokenfiles, toxicity, vectors
 
 
 def _docs(spark, d):
@@ -41,6 +41,7 @@ QUERIES = {
     "op10_langid": lambda s, d: langid.identify(_docs(s, d)),
     "op11_periodic": lambda s, d: periodic.scan(_docs(s, d), damage=True).drop("runs", "collapsed"),
     "op12_decontaminate": _leaks,
+    "op13_conversations": lambda s, d: conversations.repair(s.read.parquet(f"{d}/conversations.parquet"), damage=True),
 }
 
 ORACLE_SQL = {

@@ -34,6 +34,8 @@ FUZZY = [
     ("creative commons attribution", "cc-by", 3),
     ("redistribution and use in source and binary forms", "bsd", 4),
 ]
+#: Names that an edit turns into other words: a notice that has one must have it unchanged.
+NAMES = {"mit"}
 
 _CLEAN = bytes((c | 32) if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 PATTERNS = [(p, BASE[p], 0, True) for p in BASE] + [(p, label, k, False) for p, label, k in FUZZY]
@@ -54,7 +56,9 @@ class Finder:
         for piece, uses in at.items():
             self.seeds.add_word(piece, (len(piece), uses))
         self.seeds.make_automaton()
-        self.checks = [regex.compile(f"(?e)(?:{regex.escape(f' {p} ' if base else p)})" + "{e<=%d}" % k) for p, _, k, base in PATTERNS]
+        # A notice with edits begins and ends where words do: the spaces around it take no edit.
+        self.checks = [regex.compile(regex.escape(f" {p} ") if base else f"(?e) (?P<notice>{regex.escape(p)})" + "{e<=%d}(?= )" % k) for p, _, k, base in PATTERNS]
+        self.names = [NAMES & set(p.split()) for p, *_ in PATTERNS]
 
     def spans(self, norm: str) -> list[tuple[int, int, int, int]]:
         """(pattern, start, end, edits) of each match in words joined by single spaces, with one before and after."""
@@ -62,8 +66,8 @@ class Finder:
         for end, (size, uses) in self.seeds.iter(norm):
             for n, start in uses:
                 phrase, _, k, base = PATTERNS[n]
-                a = end + 1 - size - start - k
-                b = a + len(phrase) + 2 * base + 3 * k
+                a = end + 1 - size - start - k - (not base)
+                b = a + len(phrase) + 2 + 3 * k
                 kept = windows.setdefault(n, [])
                 if kept and a < kept[-1][1] and not base:
                     kept[-1][:] = [min(a, kept[-1][0]), max(b, kept[-1][1])]
@@ -74,7 +78,9 @@ class Finder:
             for a, b in kept:
                 a = max(0, a)
                 for m in self.checks[n].finditer(norm[a:max(b, 0)]):
-                    found.add((n, a + m.start(), a + m.end(), sum(m.fuzzy_counts)))
+                    start, end = m.span(0 if PATTERNS[n][3] else "notice")
+                    if self.names[n] <= set(m[0].split()):
+                        found.add((n, a + start, a + end, sum(m.fuzzy_counts)))
         return sorted(found, key=lambda s: (s[1], s[0]))
 
 
@@ -107,8 +113,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per document. Null and empty texts have no words and no hits; spans are offsets in the words joined by spaces, after one space.
 
     Spans of a notice run from left to right and do not overlap; of several fits the
-    first is taken, with as few edits as its place allows. Rows that repeat an id are
-    scanned each; an empty table gives no rows; other columns are ignored.
+    first is taken, with as few edits as its place allows. A notice with edits begins and ends
+    at borders of words, and its names (`NAMES`) take no edit. Rows that repeat an id are
+    scanned each; texts of any length are scanned whole, one at a time; an empty table gives no rows; other columns are ignored.
     """
     def run(batches):
         finder, span = Finder(), pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]))

@@ -29,14 +29,14 @@ def _leaks(spark, d):
 
 
 QUERIES = {
-    "op1_license": lambda s, d: license.scan(_docs(s, d)).drop("spans"),
+    "op1_license": lambda s, d: license.scan(_docs(s, d)),
     "op2_exact_dedup": lambda s, d: exactdup.find_copies(_docs(s, d)).drop("keep_locator"),
     "op3_bpe": lambda s, d: bpe.encode(_docs(s, d), vocabulary(), scanned=True).drop("ids", "decoded"),
     "op4_token_files": lambda s, d: tokenfiles.round_trip(_docs(s, d), vocabulary()),
     "op5_quality": lambda s, d: quality.score(_docs(s, d), _labels(s, d)),
     "op6_near_dedup": lambda s, d: neardup.classes(_docs(s, d), size=2, percent=80),
     "op7_vectors": lambda s, d: vectors.neighbours(s.read.parquet(f"{d}/embeddings.parquet")),
-    "op8_toxicity": lambda s, d: toxicity.score(_docs(s, d), _labels(s, d)).drop("spans"),
+    "op8_toxicity": lambda s, d: toxicity.score(_docs(s, d), _labels(s, d)),
     "op9_mixing": lambda s, d: mixing.mix(_docs(s, d)).drop("source"),
     "op10_langid": lambda s, d: langid.identify(_docs(s, d)),
     "op11_periodic": lambda s, d: periodic.scan(_docs(s, d), damage=True).drop("runs", "collapsed"),

@@ -50,13 +50,28 @@ def test_license_by_brute_force(spark):
         assert (r.first_word, r.last_word) == ((min(at)[0], max(at)[0]) if at else (None, None))
     finder = license.Finder()
     for phrase, label, k in license.FUZZY:
-        for edit in (lambda p: p, lambda p: p[: len(p) // 2] + p[len(p) // 2 + 1 :], lambda p: p[:3] + "x" + p[3:], lambda p: p[:-2] + "zz" if k > 1 else p):
+        for edit in (lambda p: p, lambda p: p[: len(p) // 2] + p[len(p) // 2 + 1 :], lambda p: p[:5] + "x" + p[5:], lambda p: p[:-2] + "zz" if k > 1 else p):
             found = license.scan_text(f"see the {edit(phrase)} here", finder)
             assert label in found["labels"].split(","), (phrase, edit(phrase))
     two = license.scan_text("relesed under the mit license released under the mit license", finder)["spans"]
     assert [(x["start"], x["end"]) for x in two if x["end"] - x["start"] > 20] == [(1, 30), (31, 61)]
 
 
+def test_license_borders():
+    """Edits stay within whole words, and short names take none."""
+    finder = license.Finder()
+    for text in ("submit license", "summit license", "admit license", "it licensed under", "geheit licensed", "emit license", "mix license", "mit licenseholder", "apaches licensee"):
+        assert license.scan_text(text, finder)["labels"] == "", text
+    for text, label in (("MIT Licence", "mit"), ("apache licence", "apache"), ("gnu genral publik license", "gpl"), ("mit-licensed", "mit"), ("Mozila Public Licence", "mpl")):
+        assert license.scan_text(f"under {text} here", finder)["labels"] == label, text
+
+
+def test_license_adds_no_label_to_clean_text(spark):
+    """The given documents hold base notices only: whatever the method adds there is a notice by hand."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    assert license.scan(docs).filter("labels <> base_labels").count() == 0
+
+
 @pytest.mark.parametrize("files", [None, 1])
 def test_exact(spark, files):
     df = table(spark).repartition(3)

@@ -16,21 +16,24 @@ import re
 import unicodedata
 from functools import lru_cache
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.dataset
 import pyarrow.fs
-import pyarrow.parquet
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .textblocks import blocks
+from .textblocks import blocks, offsets, raw_bytes
 
 #: Characters of text after which a block ends; rows of an Arrow batch of words.
 BLOCK_CHARS, ROWS = 24_000_000, 50_000
-#: Words whose ids and pieces a task holds as text at a time; bytes of text that it joins at once.
-HELD_WORDS, SLICE_BYTES = 60_000, 1_000_000
+#: Bytes of text joined at once; bytes of a row group of a side file, which holds many blocks.
+SLICE_BYTES, GROUP_BYTES = 2_000_000, 4_000_000
 #: Signs that may end a word; behind letters they are tokens of their own, but not behind a combining mark.
 TAILS = ".,!?|"
 _CONTROL = re.compile("[\x1c-\x1f]")
@@ -115,10 +118,30 @@ def open_fs(uri: str):
     return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def pieces_table(spark, path: str) -> DataFrame:
-    """(id, piece) of the vocabulary: a table as large as the vocabulary, whatever the input."""
+def token_texts(path: str) -> tuple[pa.Array, pa.Array]:
+    """Each id of the vocabulary, and its piece, as text with a space behind: two columns as long as the vocabulary, whatever the input."""
     vocab = _tokenizer(path).get_vocab(with_added_tokens=True)
-    return spark.createDataFrame([(i, p) for p, i in vocab.items()], "id int, piece string").coalesce(1)
+    pieces = [""] * (max(vocab.values()) + 1)
+    for piece, i in vocab.items():
+        pieces[i] = piece
+    return pa.array([f"{i} ".encode() for i in range(len(pieces))], pa.binary()), pa.array([f"{p} ".encode() for p in pieces], pa.binary())
+
+
+class Side:
+    """The distinct words of one block and their ids, as two Arrow columns."""
+
+    def __init__(self, block: int, words: pa.Array, ids: pa.Array, path: str, kind: str) -> None:
+        self.block, self.words, self.ids, self.path, self.kind = block, words, ids, path, kind
+
+    def find(self, words: pa.Array) -> pa.Array:
+        """The ids of each word; those that are missing (rows dealt otherwise than in the first pass) are encoded now."""
+        at = pc.index_in(words, value_set=self.words)
+        if at.null_count:
+            new = pc.unique(words.filter(pc.is_null(at)))
+            ids = encode_words(_tokenizer(self.path), new.to_pylist(), self.kind)
+            self.words, self.ids = pa.concat_arrays([self.words, new]), pa.concat_arrays([self.ids, pa.array(ids, pa.binary())])
+            at = pc.index_in(words, value_set=self.words)
+        return self.ids.take(at)
 
 
 class Blocks:
@@ -185,67 +208,71 @@ def encode(docs: DataFrame, path: str, scanned: bool = False) -> DataFrame:
 
     words = rows.select("text").mapInArrow(distinct, "block long, word string").repartition("word").sortWithinPartitions("word")
     back = words.mapInArrow(encoded, "block long, word string, ids binary")
-    back.repartition("block").write.partitionBy("block").option("compression", "zstd").parquet(scratch.path("back"))
-    side = scratch.path("back")
-    # The piece join: the vocabulary bounds this side, so it is held as one array that is looked up by id.
-    table = pieces_table(spark, path).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "piece"))), lambda s: s["piece"]).alias("table")).first()[0]
-    pieces = spark.sparkContext.broadcast((table, [str(i) for i in range(len(table))]))  # and ids as text
-
-    def words_of_block(block: int) -> dict[str, bytes]:
+    # Side files are as many as shuffle partitions, each with whole blocks in order; a block's file is found by its number.
+    files, side = int(spark.conf.get("spark.sql.shuffle.partitions")), scratch.path("back")
+    file = ((F.shiftright("block", 24) + F.col("block").bitwiseAND((1 << 24) - 1)) % files).cast("int")  # as file_of
+    dealt = back.repartitionById(files, file).sortWithinPartitions("block")
+    dealt.write.option("parquet.block.size", GROUP_BYTES).option("compression", "zstd").parquet(side)
+    texts_of = spark.sparkContext.broadcast(token_texts(path))  # bounded by the vocabulary
+
+    def side_of(block: int, names: dict) -> Side:
         fs, at = open_fs(side)
-        at, got = f"{at}/block={block}", {}
-        if fs.get_file_info(at).type != pyarrow.fs.FileType.NotFound:  # else no text of the block has a word
+        if not names:
             for f in fs.get_file_info(pyarrow.fs.FileSelector(at)):
-                if f.base_name.endswith(".parquet"):
-                    with fs.open_input_file(f.path) as source:
-                        for t in pyarrow.parquet.ParquetFile(source).iter_batches(ROWS, columns=["word", "ids"]):
-                            got.update(zip(t.column(0).to_pylist(), t.column(1).to_pylist()))
-        return got
+                if f.base_name.startswith("part-"):
+                    names.setdefault(int(f.base_name.split("-")[1]), []).append(f.path)
+        found = names.get(file_of(block, files), [])
+        words, ids = pa.array([], pa.string()), pa.array([], pa.binary())
+        if found:  # only row groups that hold the block are read
+            got = pyarrow.dataset.dataset(found, filesystem=fs, format="parquet").to_table(columns=["word", "ids"], filter=pc.field("block") == block, use_threads=False)
+            words, ids = (x.combine_chunks() for x in (got.column("word"), got.column("ids")))
+        return Side(block, words, ids, path, kind)
 
     def assemble(batches):
-        at, held = Blocks(), {}  # the ids and pieces of words met in the block so far
+        at, now, names = Blocks(), None, {}
         for b in blocks(batches, "text", SLICE_BYTES):
-            out, part = [], []
-            for t in b.column(1).to_pylist():
+            texts, begin, parts = b.column(1).to_pylist(), 0, []
+            for i, t in enumerate(texts):
                 block = at.id
-                part.append(split_words(t))
                 if at.ends(t):
-                    out += joined(block, part, held)
-                    part = []
-                    held.clear()
-            out += joined(at.id, part, held)
-            flat, hashes, decoded, digests = zip(*out)
-            n = np.array([len(f) // int(kind[-1]) for f in flat])
-            values = np.frombuffer(b"".join(flat), kind).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(values))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), ids, pa.array(hashes), pa.array(decoded), pa.array(digests)], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256"])
-
-    def joined(block: int, lists: list[list[str]], held: dict) -> list[tuple]:
-        """Ids and pieces at the places of the words of each text."""
-        if "side" not in held:
-            held["side"], held["known"] = words_of_block(block), {}
-        known, native = held["known"], {2: "H", 4: "I"}[int(kind[-1])]
-        met = set().union(*lists)
-        new = [x for x in met if x not in known]
-        if len(known) + len(new) > HELD_WORDS:  # those of this slice stay: frequent words are in every one
-            known = held["known"] = {x: known[x] for x in met if x in known}
-        cut = [parts_of(x) for x in new]
-        parts = held["side"]
-        if lacking := list({p for c in cut for p in c if p not in parts}):
-            parts.update(zip(lacking, encode_words(_tokenizer(path), lacking, kind)))
-        plain, digits = pieces.value
-        for x, c in zip(new, cut):
-            raw = b"".join([parts[p] for p in c])
-            ids = memoryview(raw).cast(native).tolist()
-            known[x] = raw, " ".join([digits[i] for i in ids]), " ".join([plain[i] for i in ids])
-        out = []
-        for w in lists:
-            found = [f for f in [known[x] for x in w] if f[0]]
-            a, d = " ".join([f[1] for f in found]), " ".join([f[2] for f in found])
-            out.append((b"".join([f[0] for f in found]), hashlib.sha256(a.encode()).hexdigest(), d, hashlib.sha256(d.encode()).hexdigest()))
-        return out
+                    parts.append((block, begin, i + 1))
+                    begin = i + 1
+            parts.append((at.id, begin, len(texts)))
+            for block, a, z in parts:
+                if z > a:
+                    if now is None or now.block != block:
+                        now = side_of(block, names)
+                    yield joined(b.column(0).slice(a, z - a), texts[a:z], now)
+
+    def joined(doc_ids: pa.Array, texts: list[str], side: Side) -> pa.RecordBatch:
+        """Ids and pieces at the places of the words of each text: ids are taken by the number of the word, pieces by id."""
+        lists = [split_words(t) for t in texts]
+        coded = pa.array(chain.from_iterable(lists), pa.string()).dictionary_encode()
+        cut = [parts_of(w) for w in coded.dictionary.to_pylist()]
+        found = side.find(pa.array(chain.from_iterable(cut), pa.string()))
+        raw, ends = raw_bytes(found)[0], offsets(found) // int(kind[-1])
+        first = np.cumsum([0, *map(len, cut)])  # of each distinct word's parts
+        of_word = pa.ListArray.from_arrays(pa.array((ends - ends[0])[first], pa.int32()), pa.array(raw.view(kind).astype(np.int32)))
+        taken = of_word.take(coded.indices)
+        ids, at = taken.values, taken.offsets.to_numpy()[np.cumsum([0, *map(len, lists)])]
+        texts_ = [slices(column.take(ids), at) for column in texts_of.value]
+        sha = [pa.array([hashlib.sha256(x).hexdigest() for x in t], pa.string()) for t in texts_]
+        decoded = pa.array([bytes(x) for x in texts_[1]], pa.string())
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(at), pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), ids), sha[0], decoded, sha[1]], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256"])
 
     return rows.mapInArrow(assemble, SCHEMA)
 
 
+def slices(column: pa.Array, at: np.ndarray) -> list[memoryview]:
+    """The bytes of each stretch of rows, without the space behind the last."""
+    data, to = raw_bytes(column)
+    whole = memoryview(data)
+    return [whole[a : max(a, z - 1)] for a, z in zip(to[at[:-1]].tolist(), to[at[1:]].tolist())]
+
+
+def file_of(block: int, files: int) -> int:
+    """The side file of a block: the blocks of one task, and those of its neighbours, lie in files of their own."""
+    return ((block >> 24) + (block & (1 << 24) - 1)) % files
+
+
 SCHEMA = "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded string, decoded_sha256 string"

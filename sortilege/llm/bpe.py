@@ -74,6 +74,31 @@ def parts_of(word: str) -> tuple[str, ...]:
     return (low, word[len(core) :]) if len(core) < len(word) else (low,)
 
 
+def cut_words(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """`parts_of` of many words: the parts, their numbers word by word, and where each word begins among these.
+
+    Words of ASCII letters and tails are cut by Arrow, the others one by one.
+    """
+    core = pc.ascii_rtrim(words, characters=TAILS)
+    plain = pc.and_(pc.string_is_ascii(words), pc.ascii_is_alpha(core))
+    data, at = raw_bytes(words)
+    size = np.diff(raw_bytes(core)[1])
+    rest = np.diff(at) - size
+    ends = np.concatenate([[0], np.cumsum(rest)])
+    tail = data[np.repeat(at[:-1] + size - ends[:-1], rest) + np.arange(ends[-1])]
+    tails = pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(tail)])
+    heads, other = pc.ascii_lower(core), pc.invert(plain)
+    cut = [parts_of(w) for w in words.filter(other).to_pylist()]
+    heads = pc.replace_with_mask(heads, other, pa.array([c[0] for c in cut], pa.string()))
+    tails = pc.replace_with_mask(tails, other, pa.array([c[1] if len(c) > 1 else "" for c in cut], pa.string()))
+    two = pc.greater(pc.binary_length(tails), 0).to_numpy(zero_copy_only=False)
+    first = np.concatenate([[0], np.cumsum(1 + two)])
+    order = np.empty(first[-1], np.int64)
+    order[first[:-1]] = np.arange(len(words))
+    order[first[:-1][two] + 1] = len(words) + np.arange(two.sum())
+    return pa.concat_arrays([heads, tails.filter(pa.array(two))]), order, first
+
+
 @lru_cache(1)
 def _tokenizer(path: str):
     """One for each Python worker; padding and truncation unused."""
@@ -187,10 +212,11 @@ def encode(docs: DataFrame, path: str, scanned: bool = False) -> DataFrame:
         yield from named(at.id, seen)
 
     def named(block, seen):
-        words = list({p for w in seen for p in parts_of(w)})
-        for i in range(0, len(words), ROWS):
-            w = words[i : i + ROWS]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(w), pa.int64()), pa.array(w, pa.string())], ["block", "word"])
+        if seen:
+            words = pc.unique(cut_words(pa.array(seen, pa.string()))[0])
+            for i in range(0, len(words), ROWS):
+                w = words.slice(i, ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), block)), w], ["block", "word"])
 
     def encoded(batches):
         tok, last = _tokenizer(path), (None, b"")
@@ -248,10 +274,9 @@ def encode(docs: DataFrame, path: str, scanned: bool = False) -> DataFrame:
         """Ids and pieces at the places of the words of each text: ids are taken by the number of the word, pieces by id."""
         lists = [split_words(t) for t in texts]
         coded = pa.array(chain.from_iterable(lists), pa.string()).dictionary_encode()
-        cut = [parts_of(w) for w in coded.dictionary.to_pylist()]
-        found = side.find(pa.array(chain.from_iterable(cut), pa.string()))
+        parts, order, first = cut_words(coded.dictionary)
+        found = side.find(parts).take(pa.array(order))
         raw, ends = raw_bytes(found)[0], offsets(found) // int(kind[-1])
-        first = np.cumsum([0, *map(len, cut)])  # of each distinct word's parts
         of_word = pa.ListArray.from_arrays(pa.array((ends - ends[0])[first], pa.int32()), pa.array(raw.view(kind).astype(np.int32)))
         taken = of_word.take(coded.indices)
         ids, at = taken.values, taken.offsets.to_numpy()[np.cumsum([0, *map(len, lists)])]

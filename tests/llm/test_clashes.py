@@ -138,3 +138,14 @@ def test_cluster_without_shared_folder_is_refused():
 
     with pytest.raises(ValueError):
         scratch.shared_dir(Session)
+
+
+def test_words_cut_by_arrow():
+    """The parts of many words at once are those of each."""
+    import pyarrow as pa
+
+    words = ["a", "A.b", "Abc.,", "x|", "...", "1", "1.", "ALİ.", "क़.", "Été!", "é", "naïve?", "ABC", "z!?", "don't", "don't.", "", "日本.", "ß,"]
+    parts, order, first = bpe.cut_words(pa.array(words, pa.string()))
+    got = [parts.take(pa.array(order[a:z])).to_pylist() for a, z in zip(first, first[1:])]
+    assert got == [list(bpe.parts_of(w)) for w in words]
+    assert bpe.cut_words(pa.array(["q"] + words, pa.string()).slice(1))[0].to_pylist() == parts.to_pylist()

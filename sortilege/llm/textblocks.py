@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,14 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str | int = "text", limit:
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start, base = stop, int(ends[stop - 1])
-    pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds no free buffers
+    settle()
+
+
+def settle() -> None:
+    """Gives free memory back, so that a worker that waits for its next task holds none."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def offsets(column: pa.Array) -> np.ndarray:
@@ -69,6 +78,8 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[
             held, n = [], 0
     if held:
         yield whole(held)
+    held = []
+    settle()
 
 
 def whole(batches: list[pa.RecordBatch]) -> pa.RecordBatch:

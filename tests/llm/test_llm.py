@@ -89,6 +89,31 @@ def test_exact(spark, files):
     assert exactdup.find_copies(table(spark, [])).count() == 0
 
 
+def test_exact_over_several_calls(spark, tmp_path):
+    """Rows of a second call find the copies among the first call's rows, whose texts are read by locator only; a clash of digests is told by bytes."""
+    one, two = [(5, "a b"), (7, "q r"), (8, "only here")], [(3, "a  b"), (9, "q\tr"), (10, "new"), (11, "new"), (None, "q r")]
+    for digest in (exactdup.sha256, lambda c: F.substring(exactdup.sha256(c), 1, 0)):  # of the second all agree
+        folder = f"file://{tmp_path}/{digest is exactdup.sha256}"
+        docs = spark.createDataFrame(one, "doc_id long, text string")
+        docs.coalesce(1).write.parquet(f"{folder}/in")
+        first = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exactdup.find_copies(spark.read.parquet(f"{folder}/in"), digest, folder=f"{folder}/state").collect()}
+        assert first == {5: (5, 1, True), 7: (7, 1, True), 8: (8, 1, True)}
+        again = exactdup.find_copies(spark.createDataFrame(two, "doc_id long, text string"), digest, folder=f"{folder}/state")
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in again.collect()}
+        assert got == {3: (3, 2, True), 9: (7, 3, False), 10: (10, 2, True), 11: (10, 2, False), None: (7, 3, False)}
+        third = exactdup.find_copies(spark.createDataFrame([(20, "only here")], "doc_id long, text string"), digest, folder=f"{folder}/state").first()
+        assert (third.keep_id, third.group_size) == (8, 2)
+        if digest is exactdup.sha256:
+            assert "/in/part-" in third.keep_locator
+
+
+def test_exact_batches_meet_in_the_state(spark):
+    """Copies that come in different micro-batches meet."""
+    df = spark.createDataFrame([(i, f"t {i % 7}") for i in range(70)], "doc_id long, text string").repartition(9)
+    got = exactdup.find_copies(df).collect()
+    assert {(r.doc_id % 7, r.keep_id, r.group_size) for r in got} == {(i, i, 10) for i in range(7)} and len(got) == 70
+
+
 def test_exact_rows(spark):
     kept = exactdup.without_copies(table(spark)).collect()
     assert sorted(r.doc_id for r in kept) == [0, 2, 3, 4, 5, 7, 8, 9, 10, 11, 12, 13, 14, 15]

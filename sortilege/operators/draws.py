@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
-from .sequence import islands, sequence, stretches
+from .sequence import numbered_islands, running, sequence, stretches
 
 #: Filled from another source where the best one has none; all else is the best source's own.
 GAP_FILLED = ("jackpot_cents", "wins", "multiplier", "draw_time", "draw_period", "promo")
@@ -73,19 +73,50 @@ def rolling_top(seq: DataFrame) -> DataFrame:
     return x.withColumn("roll", roll).filter("home").drop("home", "stretch", "half")
 
 
-def folded(segments: DataFrame, least: int) -> DataFrame:
-    """Joins segments (game, segment, roll, first, last) of fewer than `least` draws to the one before, if there is one."""
+def folded(g: pd.DataFrame, least: int) -> list[list]:
+    """[roll, first, last, segments] of a game's segments, those of fewer than `least` draws joined to the one before, if there is one."""
+    kept: list[list] = []
+    for r in g.sort_values("segment").itertuples():
+        if kept and r.last - r.first + 1 < least:
+            kept[-1][2] = r.last
+            kept[-1][3].append(r.segment)
+        else:
+            kept.append([r.roll, r.first, r.last, [r.segment]])
+    return kept
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        kept: list[list] = []
-        for r in g.sort_values("segment").itertuples():
-            if kept and r.last - r.first + 1 < least:
-                kept[-1][3] = r.last
-            else:
-                kept.append([r.game, r.roll, r.first, r.last])
-        return pd.DataFrame(kept, columns=["game", "roll", "first", "last"])
 
-    return segments.groupBy("game").applyInPandas(fold, "game string, roll int, first long, last long")
+def moved(parts: list[list], extremes: dict[int, list[tuple[int, int, int]]]) -> list[list[int]]:
+    """[first, last] of folded segments after each border is moved to the very draw at which the greater number first or last occurs.
+
+    extremes[i]: (top, first draw, last draw) of each top that occurs in segment i. They tell the first and the
+    last draw above a bar within whole segments, and that is all that is asked for, though a border is looked for from
+    the moved start of the segment before it. For a last draw only the start bounds it. For a first draw: behind a border
+    that was moved to where the greater number ends, no draw up to the next segment lies above the same bar;
+    behind one that was moved to where a greater number begins, no draw before that lies above a higher bar.
+    """
+    spans = [[first, last] for _, first, last, _ in parts]
+    base = 0  # the first draw above a bar is looked for from this segment on
+    for i in range(1, len(parts)):
+        bar, rising = min(parts[i - 1][0], parts[i][0]), parts[i][0] > parts[i - 1][0]
+        start = None
+        if rising:
+            for m in range(base, i + 1):
+                above = [a for top, a, _ in extremes.get(m, ()) if top > bar]
+                if above:
+                    start = min(above)
+                    break
+        else:
+            for m in range(i, -1, -1):
+                above = [z for top, _, z in extremes.get(m, ()) if top > bar]
+                if above or parts[m][1] <= spans[i - 1][0]:
+                    start = max(above) + 1 if above and max(above) >= spans[i - 1][0] else None
+                    break
+        if start is not None and spans[i - 1][0] < start <= spans[i][1]:
+            spans[i - 1][1], spans[i][0] = start - 1, start
+            base = base if rising else i + 1
+        else:
+            base = i
+    return spans
 
 
 def pool_eras(draws: DataFrame, least: int = ERA_DRAWS) -> DataFrame:
@@ -95,43 +126,48 @@ def pool_eras(draws: DataFrame, least: int = ERA_DRAWS) -> DataFrame:
     each border is moved to the very draw at which the greater number first or last
     occurs; neighbours that end up with equal pools are one era, which may then have
     several rows. Games with one era only, or fewer than 2 * least draws, have none.
-    A game has few segments, so their borders are followed on the driver.
+    One plan for all borders of all games: a task sees a game's segments and, for each, the first and the last
+    draw of every top, which are at most as many as the pool has numbers.
     """
     seq = sequence(draws.filter(F.size("numbers") > 0)).filter(F.col("n") >= 2 * least)
     tops = written(with_tops(seq.select("game", "draw_date", "draw_number", "numbers", "nth", "n")), "tops")
-    parts: dict[str, list[list]] = {}
-    for r in folded(islands(rolling_top(tops), "roll"), least).collect():
-        parts.setdefault(r.game, []).append([r.roll, r.first, r.last])
-    parts = {g: sorted(p, key=lambda x: x[1]) for g, p in parts.items() if len(p) > 1}
-    spark = draws.sparkSession
-    for i in range(1, max(map(len, parts.values()), default=0)):
-        asked = [(g, p[i - 1][1], p[i][2], min(p[i - 1][0], p[i][0])) for g, p in parts.items() if i < len(p)]
-        b = F.broadcast(spark.createDataFrame(asked, "game string, lo long, hi long, bar int"))
-        over = tops.join(b, "game").filter(F.col("nth").between(F.col("lo"), F.col("hi")) & (F.col("top") > F.col("bar")))
-        for r in over.groupBy("game").agg(F.min("nth").alias("a"), F.max("nth").alias("z")).collect():
-            before, after = parts[r.game][i - 1], parts[r.game][i]
-            start = r.a if after[0] > before[0] else r.z + 1
-            if before[1] < start <= after[2]:
-                before[2], after[1] = start - 1, start
-    blocks = [(g, k, a, z) for g, p in parts.items() for k, (_, a, z) in enumerate(p) if z - a + 1 >= BLOCK_DRAWS]
-    schema = "game string, block int, first long, last long"
-    b = F.broadcast(spark.createDataFrame(blocks, schema))
-    inside = tops.join(b, "game").filter(F.col("nth").between(F.col("first"), F.col("last"))).withColumn("own", F.array_intersect("numbers", "used"))
-    found = inside.groupBy("game", "block", "first", "last").agg(
-        F.min(F.array_min("own")).alias("lo"), F.max(F.array_max("own")).alias("hi"), F.min("draw_date").cast("string").alias("d0"), F.max("draw_date").cast("string").alias("d1")
-    ).filter("lo IS NOT NULL").collect()
-    out = []
-    for game in sorted(parts):
+    segments = written(numbered_islands(rolling_top(tops), "roll"), "segments")
+    ends = segments.groupBy("game", "segment").agg(F.max("roll").alias("roll"), F.min("nth").alias("first"), F.max("nth").alias("last"))
+    extremes = segments.groupBy("game", "segment", "top").agg(F.min("nth").alias("a"), F.max("nth").alias("z"))
+
+    def borders(g: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        parts = folded(g, least) if len(g) else []
+        out = []
+        if len(parts) > 1:
+            of = {segment: i for i, p in enumerate(parts) for segment in p[3]}
+            known: dict[int, list] = {}
+            for r in x.itertuples():
+                known.setdefault(of[r.segment], []).append((r.top, r.a, r.z))
+            out = [(g["game"].iloc[0], k, a, z) for k, (a, z) in enumerate(moved(parts, known))]
+        return pd.DataFrame(out, columns=["game", "block", "first", "last"])
+
+    blocks = ends.groupBy("game").cogroup(extremes.groupBy("game")).applyInPandas(borders, "game string, block int, first long, last long")
+    blocks = written(blocks, "blocks")
+    # Draws learn their block from the number of blocks that have begun, so that none is compared with every block.
+    begin = blocks.select("game", F.col("first").alias("nth"), F.lit(1).alias("begin"))
+    inside = tops.join(blocks.select("game").distinct(), "game", "left_semi").join(begin, ["game", "nth"], "left")
+    inside = running(inside, F.coalesce("begin", F.lit(0)), "begun").withColumn("own", F.array_intersect("numbers", "used"))
+    found = inside.groupBy("game", F.col("begun").alias("block")).agg(
+        F.min("nth").alias("first"), F.max("nth").alias("last"), F.min(F.array_min("own")).alias("lo"), F.max(F.array_max("own")).alias("hi"), F.min("draw_date").cast("string").alias("d0"), F.max("draw_date").cast("string").alias("d1")
+    ).filter((F.col("lo").isNotNull()) & (F.col("last") - F.col("first") + 1 >= BLOCK_DRAWS))
+
+    def joined(g: pd.DataFrame) -> pd.DataFrame:
         eras: list[list] = []
-        for r in sorted((r for r in found if r.game == game), key=lambda r: r.first):
+        for r in g.sort_values("first").itertuples():
             if eras and eras[-1][:2] == [r.lo, r.hi]:
                 eras[-1][3] = r.d1
                 eras[-1][4].append((r.first, r.last))
             else:
                 eras.append([r.lo, r.hi, r.d0, r.d1, [(r.first, r.last)]])
-        if len(eras) > 1:
-            out += [(game, k, f"{d0}..{d1}", lo, hi, a, z) for k, (lo, hi, d0, d1, spans) in enumerate(eras) for a, z in spans]
-    return spark.createDataFrame(out, "game string, era int, label string, pool_min int, pool_max int, first long, last long")
+        out = [(g["game"].iloc[0], k, f"{d0}..{d1}", lo, hi, a, z) for k, (lo, hi, d0, d1, spans) in enumerate(eras) for a, z in spans if len(eras) > 1]
+        return pd.DataFrame(out, columns=["game", "era", "label", "pool_min", "pool_max", "first", "last"])
+
+    return found.groupBy("game").applyInPandas(joined, "game string, era int, label string, pool_min int, pool_max int, first long, last long")
 
 
 def game_meta(draws: DataFrame, games: DataFrame, eras: DataFrame) -> DataFrame:

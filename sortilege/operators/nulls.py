@@ -2,55 +2,60 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-from itertools import combinations
-from math import comb
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tails import chi2_p
+#: Simulations made at once, from one seed.
+BATCH = 500
+
+
+def simulated_counts(seed: list[int], sims: int, draws: int, pool: int, k: int) -> np.ndarray:
+    """How often each of `pool` numbers comes in `draws` draws of k without replacement: a row for each simulation.
 
-#: Draws up to which each simulation makes every draw; beyond, the statistic follows its limit law closely. Cells made at once.
-SIMULATED_DRAWS, CELLS = 20_000, 6_000_000
-#: Possible sets up to which they are drawn as one multinomial.
-SETS = 5_000
+    Numbers are dealt one after another. Draws that still need j of the r numbers left hold the next one with
+    probability j / r, each by itself, so their number that do is binomial: the joint law of the counts is
+    exact, and its cost does not depend on the number of draws.
+    """
+    rng = np.random.default_rng(seed)
+    need = np.zeros((sims, k + 1), np.int64)  # draws that still need j numbers
+    need[:, k] = draws
+    out, j = np.empty((sims, pool), np.int64), np.arange(k + 1)
+    for v in range(pool):
+        held = rng.binomial(need, np.minimum(1.0, j / (pool - v)))
+        out[:, v] = held.sum(1)
+        need -= held
+        need[:, :-1] += held[:, 1:]
+    return out
 
 
-def simulated_chi2(seed: list[int], draws: int, pool: int, k: int) -> float:
-    """Chi-square of the counts of `draws` draws of k of pool without replacement."""
-    rng, n = np.random.default_rng(seed), np.zeros(pool)
-    step = max(1, CELLS // pool)
-    for at in range(0, draws, step):
-        u = rng.random((min(step, draws - at), pool))
-        n += np.bincount(np.argpartition(u, k - 1, axis=1)[:, :k].ravel(), minlength=pool)
+def simulated_chi2(seed: list[int], sims: int, draws: int, pool: int, k: int) -> np.ndarray:
+    """Chi-square of the counts of each simulation against equal ones."""
     e = draws * k / pool
-    return float(((n - e) ** 2 / e).sum())
+    return ((simulated_counts(seed, sims, draws, pool, k) - e) ** 2 / e).sum(1)
 
 
 def with_frequency_p(stats: DataFrame, sims: int = 3000, seed: int = 1) -> DataFrame:
     """Adds mc_p to rows (game, chi2, n, pool, k): (hits + 1) / (sims + 1) of simulations that reach chi2.
 
-    Each simulation has a seed of its own, so results depend neither on partitions
-    nor on which other rows there are. Null for k = 1 and where k fills the pool. Beyond
-    SIMULATED_DRAWS draws the limit law is used: chi2 times (pool - 1) / (pool - k)
-    has pool - 1 degrees of freedom.
+    Each batch of simulations has a seed of its own, so results depend neither on partitions
+    nor on which other rows there are. Null for k = 1 and where k fills the pool.
     """
-    due = stats.filter((F.col("k") > 1) & (F.col("pool") > F.col("k")))
-    few = due.filter(F.col("n") <= SIMULATED_DRAWS).select("game", "chi2", "n", "pool", "k", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim"))
-
-    def run(batches):
-        for b in batches:
-            made = zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)))
-            hit = [simulated_chi2([seed, sim, n, pool, k], n, pool, k) for n, pool, k, sim in made]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([int(h >= c - 1e-9) for h, c in zip(hit, b.column(1).to_pylist())], pa.int32())], ["game", "hit"])
-
-    hits = few.repartition("game", "sim").mapInArrow(run, "game string, hit int").groupBy("game").agg(((F.sum("hit") + 1) / (sims + 1)).alias("p_"))
-    limit = chi2_p(F.col("chi2") * (F.col("pool") - 1) / (F.col("pool") - F.col("k")), (F.col("pool") - 1).cast("double"))
-    many = due.filter(F.col("n") > SIMULATED_DRAWS).select("game", limit.alias("p_"))
-    return stats.join(hits.unionByName(many), "game", "left").withColumnRenamed("p_", "mc_p")
+    due = stats.filter((F.col("k") > 1) & (F.col("pool") > F.col("k")) & (F.col("n") > 0))
+    batches = F.explode(F.sequence(F.lit(0), F.lit((sims - 1) // BATCH)))
+    asked = due.select("game", F.col("chi2").cast("double"), F.col("n").cast("long"), F.col("pool").cast("int"), F.col("k").cast("int"), batches.alias("batch"))
+
+    def run(rows):
+        for b in rows:
+            hit = []
+            for chi2, n, pool, k, i in zip(*(b.column(x).to_pylist() for x in range(1, 6))):
+                made = simulated_chi2([seed, i, n, pool, k], min(BATCH, sims - i * BATCH), n, pool, k)
+                hit.append(int((made >= chi2 - 1e-9).sum()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hit, pa.int64())], ["game", "hit"])
+
+    hits = asked.repartition("game", "batch").mapInArrow(run, "game string, hit long").groupBy("game").agg(((F.sum("hit") + 1) / (sims + 1)).alias("p_"))
+    return stats.join(hits, "game", "left").withColumnRenamed("p_", "mc_p")
 
 
 def order_null(draws: DataFrame) -> DataFrame:

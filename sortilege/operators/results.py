@@ -2,14 +2,16 @@
 
 Every test yields game, test, scope, statistic, dof, n, effect, detail and the law,
 x, a and b from which one pass over the few results takes its p-value. To add a
-test, write a function of Slices and put it into TESTS.
+test, write a function of Slices and `register` it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
+from inspect import signature
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,7 +65,7 @@ class Slices:
 
     @cached_property
     def eras(self) -> DataFrame:
-        return dr.pool_eras(self.draws)
+        return written(dr.pool_eras(self.draws), "eras")
 
     @cached_property
     def meta(self) -> DataFrame:
@@ -73,6 +75,17 @@ class Slices:
     def sliced(self) -> DataFrame:
         return written(dr.era_slices(self.draws, self.meta, self.eras), "slices")
 
+    def prepare(self) -> None:
+        """Writes what all tests read, before several of them run at a time."""
+        _ = self.draws, self.eras, self.meta, self.sliced
+
+    def only(self, game: str) -> Slices:
+        """The same of one game."""
+        one = Slices(self.raw.filter(F.col("game") == game), self.games.filter(F.col("code") == game), self.priority, self.zero_games, self.sims)
+        own = {"draws": "game", "eras": "game", "meta": "game", "sliced": "title"}
+        one.__dict__.update({k: getattr(self, k).filter(F.col(c) == game) for k, c in own.items()})
+        return one
+
     @cached_property
     def whole(self) -> DataFrame:
         """Draws with meta and no eras."""
@@ -333,19 +346,92 @@ def pool_calibration(s: Slices) -> DataFrame:
     return rows(s.meta.filter("note IS NOT NULL"), "pool_calibration", "declared vs observed", F.col("draws"), detail=F.col("note"))
 
 
-#: The battery, in the order of its report. Those of ERA_TESTS see each era by itself.
-SOURCE_TESTS = (pool_calibration, source_agreement, repeat_sets_by_source, money_scale)
-ERA_TESTS = (pair_cooccurrence, consecutive_numbers, repeat_sets, lag_repeat, by_period, by_dow, by_era, rate_changepoint)
-WHOLE_TESTS = (number_frequency, positional_frequency, bonus_frequency, autocorrelation, digit_tests, out_of_pool_values, jackpot_drop_inference, rollover_geometry, won_draw_low_numbers)
-TESTS = SOURCE_TESTS + ERA_TESTS + WHOLE_TESTS
+@dataclass(frozen=True)
+class Test:
+    """A test of the battery: a function of Slices, and whether it sees each era by itself."""
+
+    name: str
+    find: Callable[..., DataFrame]
+    per_era: bool = False
+
+    def run(self, s: Slices) -> DataFrame:
+        """Result rows. A function that needs two arguments gets the draws that its flag names, too."""
+        needed = [p for p in signature(self.find).parameters.values() if p.default is p.empty]
+        return self.find(s, s.sliced if self.per_era else s.whole) if len(needed) > 1 else self.find(s)
+
+
+#: Every registered test by name, in the order of registration.
+REGISTRY: dict[str, Test] = {}
+
+
+def register(find: Callable | None = None, *, per_era: bool = False, name: str | None = None):
+    """Adds a test to the battery, as a call or as a decorator.
+
+    per_era: its null depends on the size of the pool, so it sees each era's draws with the era's own pool,
+    and its scopes get the era's tag; else it sees whole histories. A test `f(s, draws)` gets those draws as
+    its second argument. It returns `rows(...)`; one that gives no law is descriptive.
+    """
+    if find is None:
+        return lambda f: register(f, per_era=per_era, name=name)
+    REGISTRY[name or find.__name__] = Test(name or find.__name__, find, per_era)
+    return find
+
+
+for _f in (pool_calibration, source_agreement, repeat_sets_by_source, money_scale):
+    register(_f)
+for _f in (pair_cooccurrence, consecutive_numbers, repeat_sets, lag_repeat, by_period, by_dow, by_era, rate_changepoint):
+    register(_f, per_era=True)
+for _f in (number_frequency, positional_frequency, bonus_frequency, autocorrelation, digit_tests, out_of_pool_values, jackpot_drop_inference, rollover_geometry, won_draw_low_numbers):
+    register(_f)
+
+
+def failed(spark, test: str, game: str | None, error: Exception) -> DataFrame:
+    """The row that stands for a test that failed, of one game or of all (`*`)."""
+    said = f"{type(error).__name__}: {error}".split("\n")[0][:300]
+    return spark.createDataFrame([(game or "*", test, "failed", said)], "game string, test string, scope string, detail string").select(
+        "game", "test", "scope", *[F.lit(None).cast(t).alias(c) for c, t in (("statistic", "double"), ("dof", "double"), ("n", "long"), ("effect", "double"))], "detail",
+        *[F.lit(None).cast(t).alias(c) for c, t in (("law", "string"), ("x", "double"), ("a", "double"), ("b", "double"))], F.lit("failed").alias("status"),
+    )
 
 
-def run(s: Slices, tests: Sequence = TESTS, others: Sequence[DataFrame] = ()) -> DataFrame:
-    """All results with p- and q-values; missing figures are null. `others` are result rows of further tests, as of winners."""
-    found = [t(s) for t in tests] + list(others)
-    all_ = found[0]
-    for f in found[1:]:
-        all_ = all_.unionByName(f)
+def attempted(test: Test, s: Slices) -> DataFrame:
+    """The test's rows as a written table with a status.
+
+    If it fails, it runs for each game by itself, so that only games that fail lose it: these get a row with
+    status `failed` and the error as its detail.
+    """
+    keep = lambda df: written(df.withColumn("status", F.lit("ok")).coalesce(1), "results")
+    spark = s.raw.sparkSession
+    try:
+        return keep(test.run(s))
+    except Exception as whole:  # noqa: BLE001
+        games, out = [r[0] for r in s.meta.select("game").orderBy("game").collect()], []  # one row for each game
+        for game in games if len(games) > 1 else []:
+            try:
+                out.append(keep(test.run(s.only(game))))
+            except Exception as e:  # noqa: BLE001
+                out.append(failed(spark, test.name, game, e))
+        return reduce(DataFrame.unionByName, out) if out else failed(spark, test.name, games[0] if games else None, whole)
+
+
+def run(s: Slices, tests: Sequence | None = None, others: Sequence = (), at_once: int = 4) -> DataFrame:
+    """All results with p- and q-values and a status; missing figures are null.
+
+    Each test is a job of its own and its rows a table of their own, `at_once` of them at a time; one that
+    fails leaves the others whole. False-discovery rates are taken over all results in the end. `tests` are names,
+    Tests or functions of Slices (all that are registered if left out); `others` are functions without arguments or
+    DataFrames that give result rows, as of winners.
+    """
+    def named(t) -> Test:
+        return t if isinstance(t, Test) else REGISTRY[t] if isinstance(t, str) else next((r for r in REGISTRY.values() if r.find is t), Test(getattr(t, "__name__", "other"), t))
+
+    due = [named(t) for t in (REGISTRY.values() if tests is None else tests)]
+    for i, o in enumerate(others):
+        due.append(Test(getattr(o, "__name__", f"other {i}"), lambda _, o=o: o if isinstance(o, DataFrame) else o()))
+    s.prepare()
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        found = list(pool.map(lambda t: attempted(t, s), due))
+    all_ = reduce(DataFrame.unionByName, found)
     # p-values of all results in one task each: they are a few hundred.
     p = F.when(F.col("law") == "given", F.col("x")).otherwise(tails.p_of("law", "x", "a", "b"))
-    return op.benjamini_hochberg(all_.withColumn("p_value", p)).select("game", "test", "scope", "statistic", "dof", "p_value", "q_value", "n", "effect", "detail")
+    return op.benjamini_hochberg(all_.withColumn("p_value", p)).select("game", "test", "scope", "statistic", "dof", "p_value", "q_value", "n", "effect", "detail", "status")

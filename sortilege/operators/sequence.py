@@ -58,9 +58,13 @@ def running(seq: DataFrame, value: Column, name: str, size: int = STRETCH) -> Da
     return x.join(sums, ["game", "stretch"]).withColumn(name, F.col("b_") + F.col("own_")).drop("v_", "own_", "b_", "stretch", "home")
 
 
-def islands(seq: DataFrame, value: str, size: int = STRETCH) -> DataFrame:
-    """Runs of draws with equal values: game, segment (1, 2, ...), value, first, last (nth)."""
+def numbered_islands(seq: DataFrame, value: str, size: int = STRETCH) -> DataFrame:
+    """Adds `segment` (1, 2, ...), the run of draws with equal values that each draw is in."""
     x = neighbours(seq, {"was_": (value, 1)}, size)
     new = (~F.col(value).eqNullSafe(F.col("was_")) | (F.col("nth") == 1)).cast("int")
-    x = running(x, new, "segment", size)
-    return x.groupBy("game", "segment").agg(F.max(value).alias(value), F.min("nth").alias("first"), F.max("nth").alias("last"))
+    return running(x, new, "segment", size).drop("was_")
+
+
+def islands(seq: DataFrame, value: str, size: int = STRETCH) -> DataFrame:
+    """Runs of draws with equal values: game, segment (1, 2, ...), value, first, last (nth)."""
+    return numbered_islands(seq, value, size).groupBy("game", "segment").agg(F.max(value).alias(value), F.min("nth").alias("first"), F.max("nth").alias("last"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sequence import sequence
+
 
 def single_draws(spark: SparkSession, d: str) -> DataFrame:
     """One number per draw: games are event types, numbers 0..99."""
@@ -36,9 +38,7 @@ def two_sources(spark: SparkSession, d: str) -> DataFrame:
 
 def era_draws(spark: SparkSession, d: str) -> DataFrame:
     """Numbers 1..20, but 1..25 in the middle third of each game."""
-    w = Window.partitionBy("game")
-    a = single_draws(spark, d)
-    a = a.withColumn("nth", F.row_number().over(w.orderBy("draw_date", "draw_number"))).withColumn("n", F.count(F.lit(1)).over(w))
+    a = sequence(single_draws(spark, d))
     middle = (F.col("nth") * 3 > F.col("n")) & (F.col("nth") * 3 <= F.col("n") * 2)
     return a.withColumn("number", F.when(middle, F.col("number") % 25 + 1).otherwise(F.col("number") % 20 + 1))
 

@@ -100,6 +100,29 @@ def test_pool_eras(spark):
     assert not dr.pool_eras(d.limit(0)).collect()
 
 
+def test_moved_borders():
+    """Borders from the extremes of segments are those of a search through every draw, whatever the segments."""
+    rng = np.random.default_rng(11)
+    for _ in range(4000):
+        parts, at, tops, extremes = [], 1, [], {}
+        for i in range(rng.integers(2, 7)):
+            n = int(rng.integers(1, 9))
+            x = rng.integers(1, 6, n)
+            # As in a rolling maximum, a segment's own draws may lie above it only where short ones were joined to it.
+            roll = int(rng.integers(1, 6)) if rng.random() < 0.5 else int(x.max())
+            parts.append([roll, at, at + n - 1, [i]])
+            tops += x.tolist()
+            extremes[i] = [(v, at + int(np.flatnonzero(x == v)[0]), at + int(np.flatnonzero(x == v)[-1])) for v in set(x.tolist())]
+            at += n
+        want = [[a, z] for _, a, z, _ in parts]
+        for i in range(1, len(parts)):
+            bar = min(parts[i - 1][0], parts[i][0])
+            over = [j for j in range(want[i - 1][0], parts[i][2] + 1) if tops[j - 1] > bar]
+            if over and want[i - 1][0] < (start := over[0] if parts[i][0] > parts[i - 1][0] else over[-1] + 1) <= parts[i][2]:
+                want[i - 1][1], want[i][0] = start - 1, start
+        assert dr.moved(parts, extremes) == want
+
+
 def test_floor_and_drops(spark):
     figures = [100, 100, 150, 200, 100, 100, 300, 250, 100, 500, 495, 600, None, 0, 700, 100]
     rows = [row("g", i, [1], jackpot=v, wins=[None, 0, 1][i % 3]) for i, v in enumerate(figures)] + [row("g", 100 + i, [1], jackpot=100) for i in range(10)] + [row("few", i, [1], jackpot=v) for i, v in enumerate([9, 3])]
@@ -169,12 +192,19 @@ def test_nulls(spark):
         seen.append((p[1:] * p[:-1]).sum())
     assert abs(np.mean(seen) - 399 * r.pair_mean) < 4 * np.std(seen) / 3000**0.5
     assert abs(np.var(seen) / (399 * r.pair_variance) - 1) < 0.12
-    sets, direct = nulls.SETS, []
-    nulls.SETS = 0
-    direct = [nulls.simulated_chi2([1, i], 200, 7, 3) for i in range(1500)]
-    nulls.SETS = sets
-    at_once = [nulls.simulated_chi2([1, i], 200, 7, 3) for i in range(1500)]
-    assert abs(np.mean(direct) - np.mean(at_once)) < 0.25 and abs(np.quantile(direct, 0.9) - np.quantile(at_once, 0.9)) < 0.6
+    for draws, pool, k in ((200, 7, 3), (40, 20, 6), (90, 5, 4)):  # counts made at once against draws made one by one
+        direct = np.zeros((2000, pool))
+        for i in range(2000):
+            direct[i] = np.bincount(np.argsort(rng.random((draws, pool)), axis=1)[:, :k].ravel(), minlength=pool)
+        made = nulls.simulated_counts([1, 2], 2000, draws, pool, k)
+        assert (made.sum(1) == draws * k).all() and made.max() <= draws
+        assert np.abs(made.mean(0) - draws * k / pool).max() < 5 * direct.std() / 2000**0.5
+        assert np.abs(np.cov(made.T) - np.cov(direct.T)).max() < 0.15 * direct.var()
+        e = draws * k / pool
+        chi = [np.sort(((x - e) ** 2 / e).sum(1)) for x in (made, direct)]
+        assert np.abs(np.searchsorted(chi[0], chi[1], "right") / 2000 - np.arange(1, 2001) / 2000).max() < 0.06
+    exact = nulls.simulated_counts([3], 20_000, 1, 4, 2)  # one draw of two of four: six sets, equally often
+    assert np.abs(np.unique(exact, axis=0, return_counts=True)[1] - 20_000 / 6).max() < 300
     stats = spark.createDataFrame([("g", 14.0, 300, 12, 4), ("h", 14.0, 30_000, 12, 4), ("k", 5.0, 300, 12, 1)], "game string, chi2 double, n long, pool int, k int")
     got = {r.game: r.mc_p for r in nulls.with_frequency_p(stats, 1500).collect()}
     assert got["k"] is None and abs(got["g"] - got["h"]) < 0.05
@@ -203,3 +233,36 @@ def test_report(spark):
     assert lines.index("| g | v | s | 9 | 1.000 | 0.5000 | 0.5000 | x |") == lines.index("| g | t | s | 1,234 | 2.500 | 1.00e-05 | 3.00e-05 | d |") + 1
     assert "- **g / t (s)**: p=1.00e-05, q=3.00e-05. d" in lines and "- **g / u (s)**: e" in lines and "| g | 7 | 2 | 3 | 1 |" in lines
     assert "Nothing: all results are those of fair draws." in [r.line for r in report(f.filter("test = 'v'"), cover, won).collect()]
+
+
+def test_failures_stay_alone(spark):
+    """A test that raises leaves all others whole; one that raises for a game loses that game only; registered tests see what their flag says."""
+    rows, s = archive(spark)
+
+    def broken(s):
+        raise ValueError("no such thing")
+
+    def picky(s):
+        """Fails inside a task, for one game."""
+        return rs.rows(s.meta.withColumn("n", F.when(F.col("game") == "one", F.raise_error(F.lit("bad game")).cast("long")).otherwise(F.lit(7))), "picky", "s", F.col("n"))
+
+    def eras(s, draws):
+        return rs.rows(draws.groupBy("title", "tag").agg(F.count(F.lit(1)).alias("n")), "eras", "s", F.col("n"))
+
+    before = dict(rs.REGISTRY)
+    try:
+        rs.register(broken)
+        rs.register(picky, name="choosy")
+        rs.register(eras, per_era=True)
+        got = rs.run(s, ["digit_tests", "broken", "pool_calibration", "choosy", "eras"], others=[lambda: 1 / 0]).collect()
+    finally:
+        rs.REGISTRY.clear()
+        rs.REGISTRY.update(before)
+    bad = {(r.test, r.game): r.detail for r in got if r.status == "failed"}
+    games = {r.game for r in s.meta.collect()}
+    assert {g for t, g in bad if t == "broken"} == games and "no such thing" in bad["broken", "one"]
+    assert [g for t, g in bad if t == "choosy"] == ["one"] and {r.game for r in got if r.test == "picky"} == games - {"one"}
+    assert {r.status for r in got if r.test in ("eras", "pick4_all_same", "pool_calibration")} == {"ok"}
+    alone = rs.run(s, ["digit_tests", "pool_calibration"]).collect()
+    key = lambda r: (r.game, r.test, r.scope, r.statistic, r.p_value)
+    assert {key(r) for r in alone} <= {key(r) for r in got} and all(r.q_value is None for r in got if r.status == "failed")

@@ -22,9 +22,14 @@ ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # a store takes local disk only while its task runs
+    # All stores of an executor share one small cache and small write buffers, as each lives for a task only.
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
 }
 #: Micro-batches in which one call's digests go through the state.
-BATCHES = 3
+BATCHES = 2
 #: Repeated digests are sent to every executor up to so many rows of about 100 bytes; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 

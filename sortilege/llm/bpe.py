@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .textblocks import blocks, offsets, raw_bytes
+from .textblocks import blocks, offsets, raw_bytes, settle, texts_of
 
 #: Characters of text after which a block ends; rows of an Arrow batch of words.
 BLOCK_CHARS, ROWS = 24_000_000, 50_000
 #: Bytes of text joined at once; bytes of a row group of a side file, which holds many blocks.
-SLICE_BYTES, GROUP_BYTES = 2_000_000, 4_000_000
+SLICE_BYTES, GROUP_BYTES = 1_500_000, 4_000_000
 #: Signs that may end a word; behind letters they are tokens of their own, but not behind a combining mark.
 TAILS = ".,!?|"
 _CONTROL = re.compile("[\x1c-\x1f]")
@@ -59,6 +59,18 @@ def split_words(text: str) -> list[str]:
     return text.split()
 
 
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """`split_words` of many texts: all words, and how many each text has."""
+    if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():
+        lists = [split_words(t) for t in texts.to_pylist()]
+        return pa.array(chain.from_iterable(lists), pa.string()), np.array([len(w) for w in lists])
+    split = pc.utf8_split_whitespace(texts)
+    words = split.flatten()
+    full = pc.greater(pc.binary_length(words), 0)
+    upto = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    return words.filter(full), np.diff(upto[split.offsets.to_numpy() - split.offsets[0].as_py()])
+
+
 def parts_of(word: str) -> tuple[str, ...]:
     """Parts of a word that the vocabulary's split never joins, so that fewer distinct ones are left.
 
@@ -170,17 +182,21 @@ class Side:
 
 
 class Blocks:
-    """Numbers the blocks of one task: a block ends with the text that fills it."""
+    """Deals the texts of one task into blocks: a block ends with the text that fills it."""
 
     def __init__(self) -> None:
         self.id, self.size = TaskContext.get().partitionId() << 24, 0
 
-    def ends(self, text: str) -> bool:
-        self.size += len(text)
-        if self.size < BLOCK_CHARS:
-            return False
-        self.id, self.size = self.id + 1, 0
-        return True
+    def parts(self, texts: pa.Array):
+        """(block, start, stop, whether the block ends there) of the stretches of texts that lie in one block each."""
+        begin = 0
+        for i, size in enumerate(pc.utf8_length(texts).to_pylist()):
+            self.size += size
+            if self.size >= BLOCK_CHARS:
+                yield self.id, begin, i + 1, True
+                self.id, self.size, begin = self.id + 1, 0, i + 1
+        if begin < len(texts):
+            yield self.id, begin, len(texts), False
 
 
 def encode(docs: DataFrame, path: str, scanned: bool = False) -> DataFrame:
@@ -195,28 +211,28 @@ def encode(docs: DataFrame, path: str, scanned: bool = False) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "bpe")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = texts_of(docs)
     if not scanned:
         rows = scratch.save(rows, "docs")
     kind = id_type(_tokenizer(path))
 
     def distinct(batches):
-        at, seen = Blocks(), set()
-        for b in blocks(batches):
-            for t in b.column(0).to_pylist():
-                seen.update(split_words(t))
-                block = at.id
-                if at.ends(t):
+        at, seen, last = Blocks(), [], None
+        for b in blocks(batches, "text", SLICE_BYTES):
+            for block, a, z, ends in at.parts(b.column(0)):
+                seen.append(pc.unique(cut_words(pc.unique(words_in(b.column(0).slice(a, z - a))[0]))[0]))
+                last = block
+                if ends:
                     yield from named(block, seen)
-                    seen = set()
-        yield from named(at.id, seen)
+                    seen = []
+        if seen:
+            yield from named(last, seen)
 
     def named(block, seen):
-        if seen:
-            words = pc.unique(cut_words(pa.array(seen, pa.string()))[0])
-            for i in range(0, len(words), ROWS):
-                w = words.slice(i, ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), block)), w], ["block", "word"])
+        words = pc.unique(pa.concat_arrays(seen))
+        for i in range(0, len(words), ROWS):
+            w = words.slice(i, ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), block)), w], ["block", "word"])
 
     def encoded(batches):
         tok, last = _tokenizer(path), (None, b"")
@@ -239,7 +255,7 @@ def encode(docs: DataFrame, path: str, scanned: bool = False) -> DataFrame:
     file = ((F.shiftright("block", 24) + F.col("block").bitwiseAND((1 << 24) - 1)) % files).cast("int")  # as file_of
     dealt = back.repartitionById(files, file).sortWithinPartitions("block")
     dealt.write.option("parquet.block.size", GROUP_BYTES).option("compression", "zstd").parquet(side)
-    texts_of = spark.sparkContext.broadcast(token_texts(path))  # bounded by the vocabulary
+    columns = spark.sparkContext.broadcast(token_texts(path))  # bounded by the vocabulary
 
     def side_of(block: int, names: dict) -> Side:
         fs, at = open_fs(side)
@@ -257,30 +273,23 @@ def encode(docs: DataFrame, path: str, scanned: bool = False) -> DataFrame:
     def assemble(batches):
         at, now, names = Blocks(), None, {}
         for b in blocks(batches, "text", SLICE_BYTES):
-            texts, begin, parts = b.column(1).to_pylist(), 0, []
-            for i, t in enumerate(texts):
-                block = at.id
-                if at.ends(t):
-                    parts.append((block, begin, i + 1))
-                    begin = i + 1
-            parts.append((at.id, begin, len(texts)))
-            for block, a, z in parts:
-                if z > a:
-                    if now is None or now.block != block:
-                        now = side_of(block, names)
-                    yield joined(b.column(0).slice(a, z - a), texts[a:z], now)
-
-    def joined(doc_ids: pa.Array, texts: list[str], side: Side) -> pa.RecordBatch:
+            for block, a, z, _ in at.parts(b.column(1)):
+                if now is None or now.block != block:
+                    now = side_of(block, names)
+                yield joined(b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), now)
+                settle()
+
+    def joined(doc_ids: pa.Array, texts: pa.Array, side: Side) -> pa.RecordBatch:
         """Ids and pieces at the places of the words of each text: ids are taken by the number of the word, pieces by id."""
-        lists = [split_words(t) for t in texts]
-        coded = pa.array(chain.from_iterable(lists), pa.string()).dictionary_encode()
+        words, counts = words_in(texts)
+        coded = words.dictionary_encode()
         parts, order, first = cut_words(coded.dictionary)
         found = side.find(parts).take(pa.array(order))
         raw, ends = raw_bytes(found)[0], offsets(found) // int(kind[-1])
         of_word = pa.ListArray.from_arrays(pa.array((ends - ends[0])[first], pa.int32()), pa.array(raw.view(kind).astype(np.int32)))
         taken = of_word.take(coded.indices)
-        ids, at = taken.values, taken.offsets.to_numpy()[np.cumsum([0, *map(len, lists)])]
-        texts_ = [slices(column.take(ids), at) for column in texts_of.value]
+        ids, at = taken.values, taken.offsets.to_numpy()[np.cumsum([0, *counts])]
+        texts_ = [slices(column.take(ids), at) for column in columns.value]
         sha = [pa.array([hashlib.sha256(x).hexdigest() for x in t], pa.string()) for t in texts_]
         decoded = pa.array([bytes(x) for x in texts_[1]], pa.string())
         return pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(at), pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), ids), sha[0], decoded, sha[1]], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256"])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .bpe import open_fs
 from .fmindex import FMIndex
 from .scratch import Scratch
-from .textblocks import blocks, raw_bytes
+from .textblocks import blocks, raw_bytes, texts_of
 
 #: Words of a shard; items read at a time; occurrences located at a time.
 SHARD_WORDS, ITEMS, ROWS = 1 << 20, 5_000, 200_000
@@ -183,4 +183,4 @@ def scan(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
         columns = [pa.array(ids, i), pa.array(counts, i), pa.array(n_hit, i), pa.array([len(x) for x in named], i), pa.array(sha, pa.string()), pa.array([x > 0 for x in n_hit]), pa.array(named, pa.list_(pa.string())), pa.array([[{"start": a, "end": z} for a, z in s] for s in spans], span)]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SCHEMA)
+    return texts_of(docs).mapInArrow(run, SCHEMA)

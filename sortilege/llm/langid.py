@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import crc_mod
-from .textblocks import blocks, raw_bytes
+from .textblocks import blocks, raw_bytes, texts_of
 
 #: Bound of the fit: documents expected for each language, of any length. Their counts are added up in Spark.
 SAMPLE_ROWS = 1_000
@@ -179,5 +179,5 @@ def identify(docs: DataFrame) -> DataFrame:
                 pred = [model.langs[k] if ok else "und" for k, ok in zip(bits.argmin(1), letters)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(pred), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"))
+    rows = texts_of(docs, (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

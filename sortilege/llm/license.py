@@ -13,9 +13,8 @@ import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .textblocks import blocks
+from .textblocks import blocks, texts_of
 
 # Base phrases and labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -125,4 +124,4 @@ def scan(docs: DataFrame) -> DataFrame:
             i, s = pa.int64(), pa.string()
             yield pa.RecordBatch.from_arrays([b.column(0), col("n_words", i), col("n_base", i), col("first_word", i), col("last_word", i), col("base_labels", s), col("labels", s), col("score", pa.float64()), col("spans", span)], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SCHEMA)
+    return texts_of(docs).mapInArrow(run, SCHEMA)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch, numbered
-from .textblocks import blocks, gathered, runs
+from .textblocks import blocks, gathered, runs, texts_of
 
 BANDS, ROWS = 42, 6
 M = BANDS * ROWS
@@ -141,7 +141,7 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
                 keys.append(key.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(sets, pa.binary()), pa.array(regs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_hash", "regs", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SKETCH)
+    return texts_of(docs).mapInArrow(run, SKETCH)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:

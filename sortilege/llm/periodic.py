@@ -23,9 +23,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .textblocks import blocks
+from .textblocks import blocks, texts_of
 
 #: A run has at least so many periods, and so many words.
 EXPONENT, LEAST = 4, 6
@@ -248,4 +247,4 @@ def scan(docs: DataFrame, damage: bool = False) -> DataFrame:
             rows = [row(*x) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SCHEMA)
+    return texts_of(docs).mapInArrow(run, SCHEMA)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textblocks import blocks
+from .textblocks import blocks, texts_of
 
 #: Bounds of the fit: labelled rows that it draws, and pairs that it makes of them.
 SAMPLE_ROWS, PAIRS = 8_000, 40_000
@@ -48,7 +48,7 @@ def featured(docs: DataFrame) -> DataFrame:
         for b in blocks(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[float(x) for x in text_features(t)] for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["doc_id", "features"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, features array<double>")
+    return texts_of(docs).mapInArrow(run, "doc_id long, features array<double>")
 
 
 class BradleyTerry:
@@ -103,7 +103,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             s = model.scores(np.array([text_features(t) for t in b.column(1).to_pylist()]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"))
+    rows = texts_of(docs, (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 

@@ -8,11 +8,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: A slice holds so many bytes of text, or one longer text.
 BLOCK_BYTES = 2_000_000
 
 
+#: Bytes of an Arrow batch of texts on its way to a worker, where the session says nothing.
+BATCH_BYTES, BATCH_SETTING = 4_000_000, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def texts_of(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, text (null as empty) and further columns of docs.
+
+    Rows travel to Python in batches of 10,000 by default, which long texts would fill with any number of bytes. So the session's
+    limit in bytes is set, unless it has one.
+    """
+    if BATCH_SETTING not in docs.sparkSession.conf.getAll:
+        docs.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str | int = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts each batch so that working arrays stay small whatever the batch size; no row is lost."""
     for batch in batches:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .bpe import _tokenizer, encode_words, id_type, open_fs, parts_of, split_words
 from .scratch import Scratch
-from .textblocks import blocks
+from .textblocks import blocks, texts_of
 
 #: Mean bytes of text behind a file: LEAST where that gives no more files than four times the cores, else up to FILE_BYTES.
 FILE_BYTES, LEAST = 512_000_000, 12_000_000
@@ -61,7 +61,7 @@ def write_files(docs: DataFrame, path: str, folder: str | None = None, end: int
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
     folder = folder or scratch.path("files")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = texts_of(docs)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # Ties of doc_id are dealt by a hash of the text, so that rows that repeat an id have one order.
     rows = rows.withColumn("tie", F.xxhash64("text"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import crc_mod
-from .textblocks import blocks
+from .textblocks import blocks, texts_of
 
 #: Bounds of the fit for each label: documents, and characters of all of them together (one document is always taken).
 SAMPLE_ROWS, SAMPLE_CHARS = 1_500, 12_000_000
@@ -266,5 +266,5 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 spans.append([{"start": at[i][0], "end": at[i][1], "p": float(p[i])} for i in hot])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array(spans, kind)], ["doc_id", "held_out", "score", "predicted", "spans"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"))
+    rows = texts_of(docs, (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"))
     return rows.mapInArrow(run, SCHEMA)

@@ -149,3 +149,19 @@ def test_words_cut_by_arrow():
     got = [parts.take(pa.array(order[a:z])).to_pylist() for a, z in zip(first, first[1:])]
     assert got == [list(bpe.parts_of(w)) for w in words]
     assert bpe.cut_words(pa.array(["q"] + words, pa.string()).slice(1))[0].to_pylist() == parts.to_pylist()
+
+
+def test_words_split_by_arrow():
+    """Arrow splits at the signs that str.split splits at, of all planes; texts with control signs go their own way."""
+    import sys
+
+    import pyarrow as pa
+
+    texts = ["", " ", "a", " a  b\tc ", "a\x85b\xa0c d　", "x​y﻿z", "\x0b\x0c"]
+    texts += [f"a{chr(c)}b" for c in range(sys.maxunicode + 1) if not (0xD800 <= c < 0xE000 or 0x1C <= c < 0x20)]
+    words, counts = bpe.words_in(pa.array(texts, pa.string()))
+    assert counts.tolist() == [len(t.split()) for t in texts] and words.to_pylist()[:60] == [w for t in texts for w in t.split()][:60]
+    mixed = ["p q", "a\x1cb c\x1f", " "]
+    words, counts = bpe.words_in(pa.array(["left", *mixed], pa.string()).slice(1))
+    assert words.to_pylist() == [w for t in mixed for w in bpe.split_words(t)] and counts.tolist() == [2, 2, 0]
+    assert bpe.words_in(pa.array(["left out", "p q", " r"], pa.string()).slice(1))[0].to_pylist() == ["p", "q", "r"]

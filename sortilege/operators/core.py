@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
 from .sequence import islands, neighbours, running, sequence, stretches
 
 #: Figures of a draw at or under this many times the floor tell nothing.
@@ -59,8 +60,9 @@ def agreement(draws: DataFrame) -> DataFrame:
 
 def money_scale(draws: DataFrame) -> DataFrame:
     p = paired(draws).filter((F.col("jackpot_a") > 0) & (F.col("jackpot_b") > 0)).withColumn("ratio", F.col("jackpot_b") / F.col("jackpot_a"))
-    near = F.avg((F.abs(F.col("ratio") - 1) < 0.02).cast("int"))
-    return p.groupBy("game").agg(F.count(F.lit(1)).alias("pairs"), F.percentile("ratio", 0.5).alias("median_ratio"), near.alias("share_near")).filter("pairs >= 5")
+    near = p.groupBy("game").agg(F.avg((F.abs(F.col("ratio") - 1) < 0.02).cast("int")).alias("share_near"))
+    middle = ranks.percentile(p, ["game"], "ratio", 0.5, "median_ratio").withColumnRenamed("n", "pairs")
+    return middle.join(near, "game").filter("pairs >= 5")
 
 
 def pair_counts(draws: DataFrame) -> DataFrame:
@@ -105,7 +107,7 @@ def consecutive(draws: DataFrame) -> DataFrame:
 def jackpot_floor(draws: DataFrame, least: int = 20) -> DataFrame:
     """The most frequent figure of the lowest two fifths (of several the first drawn) if it makes 15% of them, else the least."""
     v = draws.filter(F.col("jackpot_cents") > 0).select("game", "jackpot_cents", F.struct("draw_date", "draw_number").alias("at"))
-    cut = v.groupBy("game").agg(F.percentile("jackpot_cents", 0.4).alias("p40"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    cut = ranks.percentile(v, ["game"], "jackpot_cents", 0.4, "p40").filter(F.col("n") >= least)
     tail = v.join(cut, "game").filter("jackpot_cents <= p40").groupBy("game", "jackpot_cents").agg(F.count(F.lit(1)).alias("c"), F.min("at").alias("at"))
     order = F.struct(-F.col("c"), "at")
     top = tail.groupBy("game").agg(F.sum("c").alias("t"), F.min("jackpot_cents").alias("least"), F.max("c").alias("c"), F.min_by("jackpot_cents", order).alias("top"))
@@ -123,9 +125,12 @@ def undetermined_draws(draws: DataFrame) -> DataFrame:
     return with_floor(draws).filter("at_floor").select("game", "draw_number")
 
 
-def inferred_wins(draws: DataFrame) -> DataFrame:
-    """Draws whose top prize seems to have fallen, as the next figure is lower, and those at the floor, of which none can tell."""
-    seq = sequence(with_floor(draws))
+def inferred_wins(draws: DataFrame, shown: DataFrame | None = None) -> DataFrame:
+    """Draws whose top prize seems to have fallen, as the next figure is lower, and those at the floor, of which none can tell.
+
+    shown: `with_floor` of the draws, where the caller has it already.
+    """
+    seq = sequence(with_floor(draws) if shown is None else shown)
     d = neighbours(seq, {"prev_jackpot": ("jackpot_cents", 1), "next_jackpot": ("jackpot_cents", -1)}).filter("next_jackpot IS NOT NULL")
     ratio, floor = F.col("next_jackpot") / F.col("jackpot_cents"), F.col("at_floor")
     d = d.withColumn("method", F.when(floor, "at_jackpot_floor").when(ratio < 0.9, "jackpot_drop").when(ratio < 1, "jackpot_drop_small"))
@@ -140,8 +145,9 @@ def confusion(draws: DataFrame, least: float = 0.6) -> DataFrame:
     """The rule against the published wins: draws with a jackpot and a count of wins, less those at the floor."""
     have = draws.filter("jackpot_cents > 0 AND wins IS NOT NULL").select("game", "draw_number", "wins")
     shown = have.groupBy("game").agg(F.count(F.lit(1)).alias("have"), F.avg((F.col("wins") > 0).cast("int")).alias("won_rate"))
-    said = inferred_wins(draws).filter((F.col("verdict") == "win") & (F.col("confidence") >= least)).select("game", "draw_number", F.lit(True).alias("said"))
-    j = have.join(undetermined_draws(draws), ["game", "draw_number"], "left_anti").join(said, ["game", "draw_number"], "left")
+    floors = with_floor(draws)
+    said = inferred_wins(draws, floors).filter((F.col("verdict") == "win") & (F.col("confidence") >= least)).select("game", "draw_number", F.lit(True).alias("said"))
+    j = have.join(floors.filter("at_floor").select("game", "draw_number"), ["game", "draw_number"], "left_anti").join(said, ["game", "draw_number"], "left")
     said, won, lost = F.coalesce("said", F.lit(False)), F.col("wins") > 0, F.col("wins") == 0
     sums = [F.count_if(c).alias(n) for n, c in (("tp", said & won), ("fp", said & lost), ("fn", ~said & won), ("tn", ~said & lost))]
     return j.groupBy("game").agg(F.count(F.lit(1)).alias("scored"), *sums).join(shown, "game")

@@ -9,6 +9,7 @@ from ..functions import parse
 from ..operators import battery as bt
 from ..operators import core as op
 from ..operators import draws as dr
+from ..operators import ranks
 from ..operators import results as rs
 from ..operators import serving as sv
 from ..operators import winners as wn
@@ -163,7 +164,7 @@ _ALL: dict = {
           GROUP BY game""",
     ),
     "pctl_median": (
-        one(lambda x: _rounded(x.groupBy("game").agg(F.percentile("jackpot_cents", 0.5).alias("median"), F.percentile("jackpot_cents", 0.4).alias("p40")), "median", "p40")),
+        one(lambda x: _rounded(ranks.percentile(x, ["game"], "jackpot_cents", 0.5, "median").drop("n").join(ranks.percentile(x, ["game"], "jackpot_cents", 0.4, "p40").drop("n"), "game"), "median", "p40")),
         f"WITH {D1} " + _mean.format("round(quantile_cont(jackpot_cents, 0.5), 6) AS median, round(quantile_cont(jackpot_cents, 0.4), 6) AS p40", "d1"),
     ),
     "merge_sources": (

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .core import supported_range
+from .gazetteer import match_place  # noqa: F401
 from .sequence import sequence
 
 
@@ -110,16 +109,6 @@ def concentration(rows: DataFrame, least: int = 5, top: int = 3) -> DataFrame:
     return n.join(r.groupBy("game").agg(F.max("c").alias("most"), F.count(F.lit(1)).alias("outlets"), F.array_join(text, ", ").alias("top")), "game", "left")
 
 
-def match_place(rows: DataFrame, places: list[str], *fields: str) -> DataFrame:
-    """Adds `place`: the first place named as a whole word in the first field that names any; longer names go first, then in the given order.
-
-    The gazetteer is a list in the plan, each name a pattern that is compiled once.
-    """
-    ordered = sorted(dict.fromkeys(p.upper() for p in places if p.strip()), key=len, reverse=True)
-    found = lambda c: [F.when(F.upper(c).rlike(rf"(?<![A-Z0-9]){re.escape(p)}(?![A-Z0-9])"), F.lit(p)) for p in ordered]
-    return rows.withColumn("place", F.coalesce(*[x for c in fields for x in found(F.col(c))], F.lit(None).cast("string")))
-
-
 def downsample(draws: DataFrame, points: int) -> DataFrame:
     """About `points` draws of each game at an even stride, and the last one."""
     d = sequence(draws).withColumn("i", F.col("nth") - 1).drop("nth")

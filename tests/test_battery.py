@@ -20,6 +20,27 @@ def test_places(spark):
     assert {r.id: r.place for r in got.collect()} == {1: "PORT", 2: "ST. ANN'S", 3: "PORT OF CALL", 4: None}
 
 
+def test_many_places(spark):
+    """The join gives what a search for each name in each field gives, with names inside names, signs and other alphabets."""
+    import random
+    import re
+
+    rng = random.Random(3)
+    parts = ["port", "of", "st.", "ann's", "bay", "new-port", "a1", "é", "x"]
+    names = list(dict.fromkeys(" ".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(60))) + ["ПОРТ", "é", " ", "", "Bay\\E", "bay  of"]
+    word = lambda: rng.choice([*parts, "ports", "порт", "bay  of", "st. ann's,", "-bay-", "BAY\\E"])
+    rows = [(i, *[None if rng.random() < 0.1 else " ".join(word() for _ in range(rng.randint(0, 6))) for _ in "ab"]) for i in range(300)]
+    ordered = sorted(dict.fromkeys(n.upper() for n in names if n.strip()), key=len, reverse=True)
+    want = {}
+    for i, *fields in rows:
+        hits = [n for f in fields if f is not None for n in ordered if re.search(rf"(?<![A-Z0-9]){re.escape(n)}(?![A-Z0-9])", f.upper())]
+        want[i] = hits[0] if hits else None
+    got = bt.match_place(spark.createDataFrame(rows, "id int, a string, b string"), names, "a", "b")
+    assert {r.id: r.place for r in got.collect()} == want and got.columns == ["id", "a", "b", "place"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "NEW-PORT" not in plan  # no pattern for each name
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], DRAWS)
     assert not bt.rate_changepoints(none).collect()

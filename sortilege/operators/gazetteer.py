@@ -55,8 +55,8 @@ def match_place(rows: DataFrame, places: list[str] | DataFrame, *fields: str) ->
     met = one.select(*cols, "field", "u", keys.alias("key")).join(names, "key")
     quoted = F.replace("name", F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
     named = F.regexp_like("u", F.concat(F.lit("(?<![A-Z0-9])\\Q"), quoted, F.lit("\\E(?![A-Z0-9])")))
-    best = met.filter(named).groupBy(*cols).agg(F.min(F.struct("field", "rank")).alias("b"))
+    best = met.filter(named).groupBy(*cols).agg(F.min(F.struct("field", "rank")).alias("hit_"))
     same = F.lit(True)
     for f, c in zip(fields, cols):
         same = same & F.col(f).eqNullSafe(F.col(c))
-    return rows.join(best, same, "left").withColumn("place", F.col("b.rank.name")).select(*rows.columns, "place")
+    return rows.join(best, same, "left").withColumn("place", F.col("hit_.rank.name")).select(*rows.columns, "place")

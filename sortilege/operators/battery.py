@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .core import supported_range
 from .gazetteer import match_place  # noqa: F401
-from .sequence import sequence
+from .sequence import STRETCH, sequence
 
 
 def chi2_counts(counts: DataFrame, keys: list[str], size: Column) -> DataFrame:
@@ -60,10 +60,16 @@ def peaks(seq: DataFrame, top: int) -> DataFrame:
     The sum over a number's 0/1 series peaks at one of its draws or just before
     one, so only these points are made, not a series for each number. Sums stay
     whole numbers (times the draws), so ties are exact: the first draw counts, and of
-    numbers the greatest.
+    numbers the greatest. A number's draws are counted by stretches of the sequence, and within each
+    from the number of those before it.
     """
-    w = Window.partitionBy("game", "number")  # of one number only
-    d = seq.withColumn("k", F.row_number().over(w.orderBy("nth"))).withColumn("all", F.count(F.lit(1)).over(w))
+    x = seq.select("game", "number", "nth", "n", F.floor((F.col("nth") - 1) / STRETCH).alias("stretch"))
+    per = x.groupBy("game", "number", "stretch").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("game", "number")  # one row for each stretch
+    before = F.sum("c").over(w.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
+    per = per.select("game", "number", "stretch", F.coalesce(before, F.lit(0)).alias("before"), F.sum("c").over(w).alias("all"))
+    own = F.row_number().over(Window.partitionBy("game", "number", "stretch").orderBy("nth"))
+    d = x.withColumn("own", own).join(per, ["game", "number", "stretch"]).withColumn("k", F.col("before") + F.col("own")).drop("own", "before", "stretch")
     point = lambda nth, seen: F.struct(nth.alias("at"), seen.cast("long").alias("seen"))
     both = F.explode(F.array(point(F.col("nth"), F.col("k")), point(F.col("nth") - 1, F.col("k") - 1)))
     p = d.select("game", "number", "n", "all", both.alias("p")).select("game", "number", "n", "all", "p.*").filter("at > 0")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.format import verdict
@@ -56,7 +56,7 @@ def matching(text: str | None) -> Column:
     """Draws whose number, date or list of numbers holds the text; % and _ in it stand for any signs."""
     if not text:
         return F.lit(True)
-    like = f"%{text}%"
+    like = "%" + text.replace("\\", "\\\\") + "%"  # a backslash is a sign like others
     return F.col("draw_number").cast("string").ilike(like) | F.col("draw_date").cast("string").ilike(like) | F.col("numbers").cast("string").ilike(like)
 
 
@@ -68,6 +68,24 @@ def page(draws: DataFrame, game: str, number: int = 1, text: str | None = None,
     return newest.offset(per * (max(1, number) - 1)).limit(per), count
 
 
+def deep_page(draws: DataFrame, game: str, number: int = 1, text: str | None = None, per: int = PER_PAGE) -> DataFrame:
+    """The rows of `page`, whatever its number, without a sort of the rows before it.
+
+    Counts of each date tell on which dates the page lies and how many rows stand before these; only their rows are sorted.
+    """
+    hits = draws.filter((F.col("game") == game) & F.col("draw_number").isNotNull() & matching(text))
+    before, after = per * (max(1, number) - 1), per * max(1, number)
+    days = hits.groupBy("draw_date").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.orderBy(F.col("draw_date").desc_nulls_last()))  # one row for each date
+    own = days.withColumn("upto", upto).filter((F.col("upto") > before) & (F.col("upto") - F.col("c") < after))
+    first = own.agg(F.min(F.col("upto") - F.col("c")).alias("skipped"), F.min("draw_date").alias("a"), F.max("draw_date").alias("z"), F.max(F.col("draw_date").isNull().cast("int")).alias("dateless")).first()
+    if first.skipped is None:
+        return hits.limit(0)
+    inside = F.coalesce(F.col("draw_date").between(F.lit(first.a), F.lit(first.z)), F.lit(bool(first.dateless))) if first.a is not None else F.col("draw_date").isNull()
+    newest = hits.filter(inside).orderBy(F.col("draw_date").desc_nulls_last(), F.col("draw_number").desc(), "source" if "source" in draws.columns else "draw_number")
+    return newest.offset(before - first.skipped).limit(per)
+
+
 def api_draws(draws: DataFrame, game: str, limit: int = USUAL_ROWS) -> DataFrame:
     d = draws.filter(F.col("game") == game).orderBy(F.col("draw_date").desc_nulls_last(), F.col("draw_number").desc_nulls_last(), "source")
     return d.limit(max(0, min(limit, MOST_ROWS)))

@@ -14,7 +14,7 @@ from ..operators import results as rs
 from ..operators import serving as sv
 from ..operators import winners as wn
 from ..sources import views as v
-from . import more
+from . import more, stores
 
 D1 = """d1 AS (SELECT event_type AS game, event_id AS draw_number, CAST(ts AS DATE) AS draw_date, CAST(isodow(ts) - 1 AS INT) AS dow, CAST(hour(ts) AS INT) AS hour,
   CAST(json_extract_string(props, '$.k') AS INT) AS number, CAST(round_even(value * 100, 0) AS BIGINT) AS jackpot_cents, CAST(user_id % 10 = 0 AS INT) AS wins FROM events)"""
@@ -442,6 +442,6 @@ _ALL: dict = {
     "report_lines": (lambda s, d: bt.report_lines(_findings(s, d)), None),
     "findings": (_findings, None),
 }
-_ALL |= more.queries(D1, D2)
+_ALL |= more.queries(D1, D2) | stores.queries(D1, D2)
 QUERIES: dict = {k: f for k, (f, _) in _ALL.items()}
 ORACLE_SQL: dict = {k: q for k, (_, q) in _ALL.items() if q}

@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import Scratch
 
-#: Codewords for each half, least and most; rows for each cell that their number aims at; vectors that the codebooks are fitted on.
-CODES, MOST_CODES, CELL_ROWS, SAMPLE_ROWS = 16, 256, 200, 4_000
+#: Codewords for each half, least and most; rows for each cell that their number aims at. The grid grows with the rows up to 840 million
+#: of one length, cells from then on.
+CODES, MOST_CODES, CELL_ROWS = 16, 2_048, 200
+#: Vectors that codebooks are fitted on: at least so many, and so many for each codeword; the driver holds them.
+SAMPLE_ROWS, SAMPLE_EACH = 4_000, 8
 #: Share of partners within reach; rows of a cell that one task holds, stored and asking.
 TARGET, STORED, ASKING = 0.9998, 1_500, 3_000
 #: Vector lengths that get codebooks; vectors of further lengths meet all others of their length and label.
@@ -47,10 +50,11 @@ def unit(vectors: list) -> np.ndarray:
 
 def border_cost(x: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nearest codeword, and for each other one the squared distance to the border with it."""
-    d = ((x[:, None, :] - codes[None]) ** 2).sum(2)
+    own = (codes * codes).sum(1)
+    d = own[None] - 2 * x @ codes.T  # squared distances less the vector's own square
     near = d.argmin(1)
-    gap = np.sqrt(((codes[:, None] - codes[None]) ** 2).sum(2))[near]
-    step = (d - d[np.arange(len(x)), near][:, None]) / (2 * np.where(gap > 0, gap, 1))
+    between = np.sqrt(np.maximum(own[:, None] + own[None] - 2 * codes @ codes.T, 0))[near]
+    step = (d - d[np.arange(len(x)), near][:, None]) / (2 * np.where(between > 0, between, 1))
     return near, step**2
 
 
@@ -83,7 +87,7 @@ def reach_of(x: np.ndarray, books: tuple, cut: int, cosine: float, seed: int = 5
         u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12)
         pairs.append((x, cosine * x + max(0.0, 1 - cosine**2) ** 0.5 * u))
     for at in range(0, len(x), 500):
-        i, j = np.nonzero(x[at : at + 500] @ x.T >= cosine)
+        i, j = np.nonzero(x[at : at + 500] @ x.T >= cosine)  # 500 rows at a time
         own = i + at != j
         pairs.append((x[i[own] + at], x[j[own]]))
     costs = []
@@ -103,7 +107,8 @@ def neighbours(rows: DataFrame, cosine: float = 0.98) -> DataFrame:
     Null labels, and vectors that are null, empty, zero or hold null or
     non-finite components, link with nothing. Vectors of different length never
     link. Equal vectors of a label are searched once and counted as often as they
-    occur. A null vec_id has no class; an empty table gives no rows; other columns
+    occur. Of vectors that repeat a vec_id each has its own links and its own class, named by the smallest
+    vec_id in it. Vectors at just the wanted cosine link. A null vec_id has no class; an empty table gives no rows; other columns
     are ignored, whatever their names.
     """
     spark = rows.sparkSession
@@ -113,14 +118,22 @@ def neighbours(rows: DataFrame, cosine: float = 0.98) -> DataFrame:
     sound = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(~bad & F.exists("v", lambda x: x != 0), F.lit(False))
     v = v.withColumn("ok", sound)
     groups = scratch.save(v.filter("ok").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("times")), "groups")
+    # `rep` names a group in what follows: its smallest id, or a hash of its own where an id has several vectors.
+    twice = groups.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shared = scratch.save(twice.select(F.col("rep").alias("t_rep")), "shared")
+    several = not shared.isEmpty()
+    if several:
+        marked = groups.join(shared, F.col("rep") == F.col("t_rep"), "left")
+        rep = F.when(F.col("t_rep").isNull(), F.col("rep")).otherwise(F.xxhash64("label", "v"))
+        groups = scratch.save(marked.select("label", "v", rep.alias("rep"), "times", F.col("rep").alias("least")), "nodes")
     reps = groups.withColumn("size", F.size("v"))
     edges, counts = [], []
     lengths = reps.groupBy("size").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.col("rows").desc(), "size").limit(LENGTHS).collect()
     for size, rows_ in lengths:
         own = reps.filter(F.col("size") == size)
-        drawn = own.orderBy(F.xxhash64("rep"), "rep").select("v").limit(SAMPLE_ROWS).collect()
-        x, cut = unit([r[0] for r in drawn]), size // 2
         codes = int(min(MOST_CODES, max(CODES, round((rows_ / CELL_ROWS) ** 0.5))))
+        drawn = own.orderBy(F.xxhash64("rep"), "rep").select("v").limit(max(SAMPLE_ROWS, SAMPLE_EACH * codes)).collect()
+        x, cut = unit([r[0] for r in drawn]), size // 2
         books = (kmeans(x[:, :cut], codes) if cut else np.zeros((1, 0))), kmeans(x[:, cut:], codes)
         e, n = _search(own, books, cut, cosine, reach_of(x, books, cut, cosine), scratch, size)
         edges.append(e), counts.append(n)
@@ -135,9 +148,13 @@ def neighbours(rows: DataFrame, cosine: float = 0.98) -> DataFrame:
     for k in range(1, len(edges)):
         e, n = e.unionByName(edges[k]), n.unionByName(counts[k])
     comp = components(e, scratch)
+    if several:  # the smallest id of each class in place of its smallest name
+        named = comp.join(groups.select("rep", "least"), F.col("node") == F.col("rep"))
+        least = named.groupBy(F.col("component").alias("c_")).agg(F.min("least").alias("l_"))
+        comp = comp.join(least, F.col("component") == F.col("c_")).select("node", F.col("l_").alias("component"))
     near = n.groupBy("rep").agg(F.sum("links").alias("links"))
     found = groups.join(near, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
-    found = found.select(F.col("label").alias("g_label"), F.col("v").alias("g_v"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("l"), F.coalesce("component", "rep").alias("c"))
+    found = found.select(F.col("label").alias("g_label"), F.col("v").alias("g_v"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("l"), F.coalesce("component", "least" if several else "rep").alias("c"))
     out = v.join(found, F.col("ok") & (F.col("label") == F.col("g_label")) & (F.col("v") == F.col("g_v")), "left")
     component = F.coalesce("c", "vec_id")
     return out.select("vec_id", F.coalesce("l", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -62,9 +62,13 @@ def bits(p: np.ndarray) -> np.ndarray:
 
 
 class PPM:
-    """Of {language: (ORDER + 1 bytes as one number, occurrences)}."""
+    """Of {language: (ORDER + 1 bytes as one number, occurrences)}.
 
-    def __init__(self, samples: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
+    `least`: contexts of three and four bytes that occur less often are left out, so that the model is small;
+    with 1 it holds every context and code lengths are those of the whole trees.
+    """
+
+    def __init__(self, samples: dict[str, tuple[np.ndarray, np.ndarray]], least: int = LEAST) -> None:
         self.langs = sorted(samples)
         seen = np.unique(np.concatenate([[32], *(k >> 8 * s & 255 for k, _ in samples.values() for s in range(ORDER + 1))]).astype(int))
         self.size = a = len(seen) + 1  # the last stands for all bytes never seen, which no statistic tells apart
@@ -88,7 +92,7 @@ class PPM:
                 context, total = _sums(known // a, often)
                 at = np.searchsorted(context, known // a)
                 kinds = np.bincount(at, minlength=len(context))
-                keep = (total >= LEAST) | (k == 2)
+                keep = (total >= least) | (k == 2)
                 cost, escape = bits(often / (total + kinds)[at]), bits(kinds / (total + kinds))
                 trees.append((known[keep[at]], cost[keep[at]], context[keep], escape[keep]))
             self.models.append((bits(p.reshape(-1)), trees))
@@ -129,10 +133,11 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[i] == wanted, i
 
 
-def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> PPM:
+def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, least: int = LEAST) -> PPM:
     """Fits on about `rows` documents of each language, drawn by a hash of their id, outside the held-out fold.
 
-    Texts of any length and all languages that have one are learnt; counts meet in Spark, so no text reaches the driver.
+    Texts of any length and all languages that have one are learnt; counts meet in Spark, so no text reaches the driver. The driver
+    holds a language's different strings of ORDER + 1 bytes, at most as many as the bytes of its `rows` documents.
     """
     known = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0) & (crc_mod(F.col("doc_id"), 3) != 1)).select("lang", "doc_id", "text")
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
@@ -153,10 +158,10 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> PPM:
     order = np.lexsort((key, lang)) if len(key) else np.zeros(0, int)
     lang, key, n = lang[order], key[order], n[order]
     starts = [i for i in range(len(lang)) if not i or lang[i] != lang[i - 1]]
-    return PPM({lang[i]: (key[i:j], n[i:j]) for i, j in zip(starts, [*starts[1:], len(lang)])})
+    return PPM({lang[i]: (key[i:j], n[i:j]) for i, j in zip(starts, [*starts[1:], len(lang)])}, least)
 
 
-def identify(docs: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, held_out, lang_pred, score.
 
     Texts that are null or hold no letter, or no learnt language: und, score 0. Of
@@ -164,7 +169,7 @@ def identify(docs: DataFrame) -> DataFrame:
     repeat an id are judged each, equal texts alike. An empty table gives no rows;
     other columns are ignored, whatever their names.
     """
-    model = fit(docs)
+    model = fit(docs, least=least)
 
     def run(batches):
         for b in blocks(batches):

@@ -51,6 +51,20 @@ def featured(docs: DataFrame) -> DataFrame:
     return texts_of(docs).mapInArrow(run, "doc_id long, features array<double>")
 
 
+#: Weight of the squared weights in the loss.
+SHRINK = 1e-4
+
+
+def pair_loss(w: np.ndarray, d: np.ndarray) -> float:
+    """Mean logistic loss of feature differences d (better less worse), with the squared weights."""
+    return float(np.logaddexp(0, -(d @ w)).mean() + SHRINK / 2 * w @ w)
+
+
+def pair_gradient(w: np.ndarray, d: np.ndarray) -> np.ndarray:
+    p = 1 / (1 + np.exp(np.clip(d @ w, -40, 40)))
+    return -(d * p[:, None]).mean(0) + SHRINK * w
+
+
 class BradleyTerry:
     def __init__(self, x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, steps: int = 400, seed: int = 7) -> None:
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
@@ -61,8 +75,7 @@ class BradleyTerry:
             d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
             m = v = np.zeros_like(self.w)
             for k in range(1, steps + 1):
-                p = 1 / (1 + np.exp(np.clip(d @ self.w, -40, 40)))
-                g = -(d * p[:, None]).mean(0) + 1e-4 * self.w
+                g = pair_gradient(self.w, d)
                 m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
                 self.w = self.w - 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         s = z @ self.w
@@ -82,7 +95,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, folds: int
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = featured(docs.join(F.broadcast(drawn.select("doc_id")), "doc_id", "left_semi").select("doc_id", "text"))
-    got = found.join(F.broadcast(drawn), "doc_id").limit(2 * rows).collect()
+    # Rows that repeat an id may be more than were drawn: the first by id and features are taken, on every run the same.
+    got = found.join(F.broadcast(drawn), "doc_id").orderBy("doc_id", "features").limit(2 * rows).collect()
     if not got:
         return BradleyTerry(np.zeros((1, len(text_features("")))), np.ones(1))
     got.sort(key=lambda r: (r.doc_id, r.features))

@@ -222,16 +222,18 @@ class CRF:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> CRF:
     """Fits on at most `rows` documents of each label, drawn by a hash of their id; not on the held-out fold.
 
-    Texts of any length are taken, whole, until SAMPLE_CHARS are reached.
+    Texts of any length are taken, whole, in the order of that hash, up to the first of a label with which SAMPLE_CHARS
+    would be passed: none is skipped for its length.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), 3) != 1))
     known = known.groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("y"))
     drawn = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
     drawn = F.broadcast(drawn[0].unionByName(drawn[1]))
     sizes = docs.filter(F.length("text") > 0).join(drawn, "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.sum(F.length("text")).alias("chars"), F.xxhash64("doc_id").alias("h")).collect()
-    used, ids = [0, 0], []
+    used, full, ids = [0, 0], [False, False], []
     for r in sorted(sizes, key=lambda r: (r.h, r.doc_id)):
-        if not used[r.y] or used[r.y] + r.chars <= SAMPLE_CHARS:
+        full[r.y] |= used[r.y] > 0 and used[r.y] + r.chars > SAMPLE_CHARS
+        if not full[r.y]:
             used[r.y] += r.chars
             ids.append((r.doc_id, r.y))
     chosen = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, y int"))

@@ -12,6 +12,8 @@ from .sequence import islands, neighbours, running, sequence, stretches
 
 #: Figures of a draw at or under this many times the floor tell nothing.
 AT_FLOOR = 1.02
+#: Ranges of p-values that are ranked each in one task.
+RANGES = 1024
 
 
 def coverage(draws: DataFrame, *keys: str) -> DataFrame:
@@ -191,12 +193,25 @@ def autocorrelation(draws: DataFrame, lags: tuple[int, ...] = (1,)) -> DataFrame
 
 
 def benjamini_hochberg(results: DataFrame, p: str = "p_value") -> DataFrame:
-    """Adds q_value; rows without p keep none. The table holds a few hundred results, so one window spans it."""
+    """Adds q_value; rows without p keep none.
+
+    The rank of a p is the number of results up to it, and its q the least p * m / rank from it on. Both come from
+    the different p and their counts, in ranges: each range is counted and its least q taken, and what lies in
+    the ranges before or behind is added, so that a table of any size is dealt to many tasks.
+    """
     tested = F.col(p).isNotNull() & ~F.isnan(p)
-    d = results.withColumn("tested", tested).withColumn("rank", F.row_number().over(Window.partitionBy("tested").orderBy(p)))
-    d = d.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("tested")))
-    q = F.min(F.col(p) * F.col("m") / F.col("rank")).over(Window.partitionBy("tested").orderBy(F.col("rank").desc()))
-    return d.withColumn("q_value", F.when(F.col("tested"), F.least(q, F.lit(1.0)))).drop("tested", "rank", "m")
+    kinds = results.filter(tested).groupBy(F.col(p).cast("double").alias("p_")).agg(F.count(F.lit(1)).alias("c_"))
+    kinds = kinds.withColumn("part_", F.floor(F.least(F.greatest("p_", F.lit(0.0)), F.lit(1.0)) * RANGES))
+    parts = kinds.groupBy("part_").agg(F.sum("c_").alias("s_"))
+    order = Window.orderBy("part_")  # at most RANGES + 1 rows
+    parts = parts.select("part_", F.coalesce(F.sum("s_").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below_"), F.sum("s_").over(Window.partitionBy()).alias("m_"))
+    own = Window.partitionBy("part_").orderBy("p_")
+    ranked = kinds.join(F.broadcast(parts), "part_").withColumn("rank_", F.col("below_") + F.sum("c_").over(own)).withColumn("raw_", F.col("p_") * F.col("m_") / F.col("rank_"))
+    least = ranked.groupBy("part_").agg(F.min("raw_").alias("l_"))
+    behind = least.select(F.col("part_").alias("b_part"), F.min("l_").over(Window.orderBy(F.col("part_").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("behind_"))
+    inner = F.min("raw_").over(Window.partitionBy("part_").orderBy(F.col("p_").desc()))
+    q = ranked.withColumn("inner_", inner).join(F.broadcast(behind), F.col("part_") == F.col("b_part")).select(F.col("p_").alias("q_p"), F.least("inner_", "behind_", F.lit(1.0)).alias("q_"))
+    return results.join(q, F.col(p).cast("double") == F.col("q_p"), "left").withColumn("q_value", F.when(tested, F.col("q_"))).select(*results.columns, "q_value")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:

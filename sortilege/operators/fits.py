@@ -13,38 +13,50 @@ from ..functions.tails import kolmogorov_sf
 from .sequence import islands, neighbours, sequence
 
 
-def fit_runs(lengths: np.ndarray, counts: np.ndarray) -> tuple[float, float, int, int]:
-    """(rate, chi2, degrees of freedom, runs) of a geometric law: cells from 1 on are joined until 5 runs are expected, the rest goes to the last."""
-    runs = int(counts.sum())
-    if runs < 10:
-        return math.nan, math.nan, 0, 0
-    rate = runs / float((lengths * counts).sum())
-    seen, due, o, e = 0.0, 0.0, [], []
-    upto = {int(k): float(c) for k, c in zip(lengths, counts)}
-    for k in range(1, int(lengths.max()) + 1):
-        seen, due = seen + upto.get(k, 0.0), due + runs * rate * (1 - rate) ** (k - 1)
-        if due >= 5:
-            o.append(seen), e.append(due)
-            seen = due = 0.0
-    if due > 0 and e:
-        o[-1] += seen
-        e[-1] += due
-    if len(o) < 3:
-        return rate, math.nan, 0, runs
-    seen, due = np.array(o), np.array(e)
-    due *= seen.sum() / due.sum()
-    return rate, float(((seen - due) ** 2 / due).sum()), len(o) - 2, runs
+#: Runs expected in a cell of a histogram at least, and runs of a game that is fitted.
+CELL_RUNS, LEAST_RUNS = 5, 10
 
 
-def geometric_fit(histogram: DataFrame) -> DataFrame:
-    """game, p_hat, chi2, dof, runs of run lengths (game, length, runs); a game's different lengths are few."""
+def cells(runs: int, rate: float, longest: int) -> list[tuple[int, int]]:
+    """Cells (over a, up to b) of run lengths, each as short as CELL_RUNS expected runs allow; the last one reaches to the longest run.
+
+    Under the law, runs * (1 - rate) ** a are longer than a, so the end of a cell follows from its beginning.
+    """
+    left, out = 1 - rate, []
+    if left <= 0:
+        return [(0, longest)]
+    while not out or out[-1][1] < longest:
+        a = out[-1][1] if out else 0
+        rest = left**a - CELL_RUNS / runs
+        b = max(a + 1, math.ceil(math.log(rest) / math.log(left) - 1e-9)) if rest > 0 else longest + 1
+        if b > longest:
+            break
+        out.append((a, b))
+    return [*out[:-1], (out[-1][0], longest)] if out else []
 
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        p, chi2, dof, n = fit_runs(g["length"].to_numpy(), g["runs"].to_numpy())
-        return pd.DataFrame({"game": [g["game"].iloc[0]], "p_hat": [p], "chi2": [None if chi2 != chi2 else chi2], "dof": [dof or None], "runs": [n]})
 
-    got = histogram.groupBy("game").applyInPandas(fit, "game string, p_hat double, chi2 double, dof int, runs long")
-    return got.withColumn("chi2", F.nullif(F.nanvl("chi2", F.lit(-1.0)), F.lit(-1.0)))
+def geometric_fit(histogram: DataFrame) -> DataFrame:
+    """game, p_hat, chi2, dof, runs of run lengths (game, length, runs), for games of LEAST_RUNS runs or more.
+
+    The rate is runs over draws. Cells follow from the law alone, one row for each; runs meet them by length in Spark,
+    and expected runs are scaled to those that the cells hold. Fewer than three cells give no test.
+    """
+    per = histogram.groupBy("game").agg(F.sum("runs").alias("n"), F.sum(F.col("length") * F.col("runs")).alias("draws"), F.max("length").alias("longest"))
+    per = per.filter(F.col("n") >= LEAST_RUNS).withColumn("p_hat", F.col("n") / F.col("draws"))
+
+    def dealt(frames):
+        for f in frames:
+            rows = [(r.game, k, a, b, r.n * ((1 - r.p_hat) ** a - (1 - r.p_hat) ** b)) for r in f.itertuples() for k, (a, b) in enumerate(cells(int(r.n), float(r.p_hat), int(r.longest)))]
+            yield pd.DataFrame(rows, columns=["game", "cell", "over", "upto", "due"])
+
+    due = per.select("game", "n", "p_hat", "longest").mapInPandas(dealt, "game string, cell int, over long, upto long, due double")
+    h = histogram.withColumnRenamed("runs", "c")
+    seen = due.join(h, "game").groupBy("game", "cell").agg(F.max("due").alias("due"), F.sum(F.when((F.col("length") > F.col("over")) & (F.col("length") <= F.col("upto")), F.col("c")).otherwise(0)).alias("o"))
+    sums = seen.groupBy("game").agg(F.count(F.lit(1)).alias("k"), F.sum("due").alias("all_due"), F.sum("o").alias("all_o"), F.sum(F.col("o") * F.col("o") / F.col("due")).alias("s"))
+    # With expected runs scaled by f, the sum of (o - f e)^2 / (f e) is the sum of o^2 / e over f, less all of o.
+    chi2 = F.col("s") * F.col("all_due") / F.col("all_o") - F.col("all_o")
+    tested = F.col("k") >= 3
+    return per.join(sums, "game", "left").select("game", "p_hat", F.when(tested, chi2).alias("chi2"), F.when(tested, F.col("k") - 2).cast("int").alias("dof"), F.col("n").alias("runs"))
 
 
 def runs_test(draws: DataFrame, flag: Column) -> DataFrame:

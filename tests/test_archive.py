@@ -211,15 +211,26 @@ def test_nulls(spark):
 
 
 def test_fits(spark):
-    rng = np.random.default_rng(9)
-    runs = rng.geometric(0.2, 500)
-    lengths, counts = np.unique(runs, return_counts=True)
-    p, chi2, dof, n = fits.fit_runs(lengths, counts)
-    assert n == 500 and math.isclose(p, 1 / runs.mean()) and chi2 > 0 and dof >= 3
-    assert fits.fit_runs(np.array([1]), np.array([9]))[3] == 0 and math.isnan(fits.fit_runs(np.array([1]), np.array([50]))[1])
-    h = spark.createDataFrame([("g", int(a), int(b)) for a, b in zip(lengths, counts)] + [("few", 1, 3)], "game string, length long, runs long")
-    got = {r.game: r for r in fits.geometric_fit(h).collect()}
-    assert got["g"].dof == dof and math.isclose(got["g"].chi2, chi2) and got["few"].chi2 is None
+    """Cells and chi-square against sums of the law's terms, run length by run length."""
+    rng, rows, want = np.random.default_rng(9), [], {}
+    for name, rate, n in (("g", 0.2, 500), ("rare", 0.01, 300), ("often", 0.9, 60), ("small", 0.3, 12), ("one", 1.0, 50)):
+        x = rng.geometric(rate, n)
+        rows += [(name, int(k), int((x == k).sum())) for k in np.unique(x)]
+        p, found, due, have, law = n / x.sum(), [], 0.0, 0, []
+        for k in range(1, x.max() + 1):
+            due, have = due + n * p * (1 - p) ** (k - 1), have + int((x == k).sum())
+            if due >= 5:
+                law.append(due), found.append(have)
+                due, have = 0.0, 0
+        if law:
+            law[-1], found[-1] = law[-1] + due, found[-1] + have
+        e = np.array(law) * sum(found) / sum(law) if law else None
+        want[name] = (p, float(((np.array(found) - e) ** 2 / e).sum()) if len(law) >= 3 else None, len(law) - 2 if len(law) >= 3 else None, n)
+    got = {r.game: r for r in fits.geometric_fit(spark.createDataFrame([*rows, ("few", 1, 3)], "game string, length long, runs long")).collect()}
+    assert set(got) == set(want) and want["g"][2] >= 3 and want["one"][1] is None
+    for name, (p, chi2, dof, n) in want.items():
+        r = got[name]
+        assert math.isclose(r.p_hat, p) and r.runs == n and r.dof == dof and (r.chi2 is None if chi2 is None else math.isclose(r.chi2, chi2, rel_tol=1e-9)), name
 
 
 def test_report(spark):

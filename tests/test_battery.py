@@ -47,3 +47,26 @@ def test_empty(spark):
     assert not op.autocorrelation(none, (1, 2)).collect()
     assert not bt.examples_outside(none, 1, 9).collect()
     assert not bt.bonus_frequency(none, "number").collect()
+
+
+def test_false_discovery_rates(spark):
+    """Against the definition, with ties, ends, missing figures and columns of clashing names."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    ps = [float(x) for x in rng.random(400) ** 3] + [0.0, 1.0, 0.5, 0.5, 0.5, None, float("nan"), 0.01, 0.01]
+    df = spark.createDataFrame([(i, p, 7) for i, p in enumerate(ps)], "id int, p_value double, rank int").repartition(5)
+    known = sorted(p for p in ps if p is not None and not math.isnan(p))
+    m, best, q = len(known), 1.0, {}
+    for k in range(m, 0, -1):
+        best = min(best, known[k - 1] * m / k)
+        q[known[k - 1]] = min(q.get(known[k - 1], 9.0), best)
+    got = op.benjamini_hochberg(df)
+    assert got.columns == ["id", "p_value", "rank", "q_value"]
+    rows = got.collect()
+    assert len(rows) == len(ps)
+    for r in rows:
+        assert r.q_value is None if r.p_value is None or math.isnan(r.p_value) else abs(r.q_value - q[r.p_value]) < 1e-12
+    assert op.benjamini_hochberg(df.limit(0)).count() == 0

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from ..functions.format import Projection
 from ..operators import postings, shapes
+from ..operators import results as rs
 from ..operators import serving as sv
 from ..operators.sequence import sequence
 from ..sources import buckets, paged, payloads, sinks
 from ..sources import views as v
 from ..sources.tables import shared_dir
+from .more import MERGED
 
 PER_PAGE = 250
 
@@ -83,6 +85,15 @@ def _search(s, d):
     return found.select("game", "draw_number", "source", F.get("numbers", F.lit(0)).alias("number"))
 
 
+def _checked(s, d):
+    """Results of the battery's own tests over the merged draws of both sources, through its runner; histories are not split."""
+    x = rs.Slices(v.two_lists(s, d), v.games(s, d), ["a", "b"], zero_games=[])
+    x.__dict__["eras"] = s.createDataFrame([], "game string, era int, label string, pool_min int, pool_max int, first long, last long")
+    found = rs.run(x, ["source_agreement", "money_scale", "number_frequency", "by_dow", "pair_cooccurrence"])
+    six = lambda c: F.round(F.col(c), 6).alias(c)
+    return found.select("game", "test", "n", six("statistic"), "dof", six("effect"), "status")
+
+
 BOX = Projection(-61.6, 10.1, -60.5, 11.2, 12, 28, 590, 478)
 
 
@@ -121,6 +132,22 @@ PT = "pt AS (SELECT c_custkey, c_nationkey, c_custkey * 37 % 101 / 100::DOUBLE -
 def queries(d1: str, d2: str) -> dict:
     numbers = "CASE WHEN source = 'a' AND draw_number % 13 = 0 THEN 0 ELSE number END"
     return {
+        "findings_checked": (
+            _checked,
+            f"""WITH {d2}{MERGED}, f AS (SELECT game, numbers[1] AS x, isodow(draw_date) AS w FROM ld),
+            t AS (SELECT game, count(*) AS n FROM f GROUP BY game), c AS (SELECT game, x, count(*) AS c FROM f GROUP BY ALL),
+            lim AS (SELECT game, min(x) AS lo, max(x) AS hi FROM c WHERE c >= 3 GROUP BY game),
+            g AS (SELECT game, n, hi - lo + 1 AS size, n / (hi - lo + 1) AS e, coalesce(c, 0) AS c FROM (SELECT *, unnest(range(lo, hi + 1)) AS x FROM t JOIN lim USING (game)) LEFT JOIN c USING (game, x)),
+            m AS (SELECT game, w, x, count(*) AS n FROM f GROUP BY ALL), r AS (SELECT game, w, sum(n) AS nr FROM m GROUP BY ALL), k AS (SELECT game, x, sum(n) AS nc FROM m GROUP BY ALL),
+            u AS (SELECT game, (SELECT count(*) FROM r WHERE r.game = t.game) AS kr, (SELECT count(*) FROM k WHERE k.game = t.game) AS kc, n FROM t),
+            h AS (SELECT game, sum((coalesce(m.n, 0) - nr * nc / u.n) ** 2 / (nr * nc / u.n)) AS chi2 FROM r JOIN k USING (game) JOIN u USING (game) LEFT JOIN m USING (game, w, x) GROUP BY game),
+            p AS (SELECT game, jackpot_a / jackpot_b AS q FROM two WHERE jackpot_a > 0 AND jackpot_b > 0)
+            SELECT game, 'number_frequency' AS test, any_value(n) AS n, round(sum((c - e) ** 2 / e), 6) AS statistic, CAST(any_value(size) - 1 AS DOUBLE) AS dof, round(max(abs(c - e) / sqrt(e)), 6) AS effect, 'ok' AS status FROM g GROUP BY game
+            UNION ALL SELECT game, 'number_by_dow', n, round(chi2, 6), CAST((kr - 1) * (kc - 1) AS DOUBLE), round(sqrt(chi2 / (n * (least(kr, kc) - 1))), 6), 'ok' FROM h JOIN u USING (game)
+            UNION ALL SELECT game, 'source_agreement', count(*), CAST(count(*) FILTER (differs) AS DOUBLE), NULL, round(avg(CAST(differs AS INT)), 6), 'ok'
+              FROM (SELECT game, CASE WHEN draw_number % 13 = 0 THEN 0 ELSE number_a END <> number_b AS differs FROM two) GROUP BY game
+            UNION ALL SELECT game, 'money_scale_calibration', count(*), round(quantile_cont(q, 0.5), 6), NULL, round(avg(CAST(abs(q - 1) < 0.02 AS INT)), 6), 'ok' FROM p GROUP BY game HAVING count(*) >= 5""",
+        ),
         "paged_draws": (_paged, f"WITH {d1} SELECT game, draw_number, draw_date, number, hour AS bonus_number, jackpot_cents FROM d1"),
         "windowed_draws": (
             _windowed,

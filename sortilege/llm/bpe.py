@@ -202,7 +202,8 @@ class Blocks:
 def encode(docs: DataFrame, path: str, scanned: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids, ids_sha256, decoded, decoded_sha256, one row per row of docs.
 
-    Null and empty texts have no ids and decode to nothing. Rows that repeat an
+    Null and empty texts have no ids and decode to nothing; one of any length is encoded whole, in the slice
+    that it fills. Rows that repeat an
     id are encoded each; other columns are ignored; an empty table gives no rows.
     Rows are written first, so that both passes deal them alike, unless docs is
     said to be `scanned`, a table as read from its files. If the second pass is

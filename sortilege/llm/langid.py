@@ -162,7 +162,7 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, least: int = LEAST) -> PPM:
 
 
 def identify(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, held_out, lang_pred, score.
+    """doc_id, held_out, lang_pred, score, of whole texts of any length.
 
     Texts that are null or hold no letter, or no learnt language: und, score 0. Of
     languages with equal code lengths the first by code point wins. Rows that

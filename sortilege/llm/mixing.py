@@ -90,7 +90,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     """One row per document: doc_id, source, size, source_size, target, taken.
 
     taken is the document's words times the copies that the mix holds of it.
-    Null text has size 0; null is a source of its own; an empty table gives no
+    Null text has size 0, and texts of any length count whole; null is a source of its own; an empty table gives no
     rows; rows that repeat a doc_id are taken alike; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "mixing")

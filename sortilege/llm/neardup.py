@@ -312,7 +312,8 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents with equal sets (told by a 192-bit digest) share one
-    representative, so thousands of copies meet as one. Null, empty and blank
+    representative, so thousands of copies meet as one. Texts of any length are shingled whole; a similarity
+    of just `percent` links. Null, empty and blank
     texts link with nothing; a null doc_id links with nothing; rows that repeat a
     doc_id are one document, which has the links of all of its texts. An empty
     table gives no rows; other columns are ignored, whatever their names.

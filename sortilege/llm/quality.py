@@ -104,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, folds: int
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row, empty and null texts too.
+    """doc_id, held_out, score, predicted for every row, empty and null texts too, and whole texts of any length.
 
     Rows that repeat an id are scored each; equal texts have equal scores, and a
     score of just THRESHOLD counts as good. A null doc_id is held out or not as

@@ -121,7 +121,7 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Writes and reads back: doc_id, start, n_tokens, ids_crc32.
 
-    Null text is empty (the end id alone); a null doc_id comes first; rows that
+    Null text is empty (the end id alone); texts of any length are written whole; a null doc_id comes first; rows that
     repeat an id stand side by side, in the order of a hash of their text; other
     columns are ignored; an empty table gives no rows.
     """

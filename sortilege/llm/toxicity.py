@@ -248,7 +248,7 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int, spans arra
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, and spans: character offsets of tokens likelier toxic than not.
 
-    Null and empty texts have no tokens and a low score. Rows that repeat an id
+    Null and empty texts have no tokens and a low score; texts of any length are tagged whole. Rows that repeat an id
     are scored each, equal texts alike; a score of just THRESHOLD counts as toxic.
     Without a toxic label every score is 0. An empty table gives no rows; other
     columns are ignored, whatever their names.

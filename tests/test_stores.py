@@ -81,3 +81,27 @@ def test_paths_and_insides(spark):
     s = spark.createDataFrame([("square", [outer, hole]), ("tip", [[[20.0, 0.0], [21.0, 0.0], [20.5, 3.0]]])], "name string, rings array<array<array<double>>>")
     p = spark.createDataFrame([(1, 5.0, 5.0), (2, 1.0, 1.0), (3, 20.5, 1.0), (4, 20.1, 2.0), (5, 5.0, 6.5), (6, 11.0, 5.0), (7, 3.0, 4.0)], "id int, lon double, lat double")
     assert {r.id: r.name for r in shapes.within(p, s).collect()} == {2: "square", 3: "tip", 5: "square", 7: "square"}
+
+
+def test_insides_of_long_rings(spark):
+    """Places in tangled rings of several blocks and ranges, held against every edge; equal shapes count each, points without a place not at all."""
+    import random
+
+    r, old = random.Random(3), (shapes.EDGES, shapes.PLACES)
+    ring = lambda n: [[r.randrange(40) / 4, r.randrange(40) / 4] for _ in range(n)]
+    kinds = [("a", [ring(90), ring(3)]), ("b", [ring(50)]), ("b", [ring(4)]), ("c", [[[0.0, 0.0], [9.0, 0.0], [9.0, 9.0]]]), ("c", [[[0.0, 0.0], [9.0, 0.0], [9.0, 9.0]]]), ("d", [[]])]
+    at = [(i, r.randrange(80) / 8, r.randrange(80) / 8) for i in range(300)] + [(400, None, 1.0), (401, 1.0, None)]
+
+    def odd(rings, x, y):
+        edges = [(g[i], g[i - 1]) for g in rings for i in range(len(g))]
+        return sum((a[1] > y) != (b[1] > y) and x < a[0] + (y - a[1]) / (b[1] - a[1]) * (b[0] - a[0]) for a, b in edges) % 2
+
+    s = spark.createDataFrame(kinds, "name string, rings array<array<array<double>>>")
+    shapes.EDGES, shapes.PLACES = 20, 60
+    try:
+        got = shapes.within(spark.createDataFrame(at, "id int, lon double, lat double"), s)
+        assert "aggregate(" not in got._jdf.queryExecution().toString(), "no point walks a ring"
+        got = sorted((x.id, x.name) for x in got.collect())
+    finally:
+        shapes.EDGES, shapes.PLACES = old
+    assert got == sorted((i, n) for i, x, y in at[:300] for n, g in kinds if odd(g, x, y))

@@ -89,3 +89,21 @@ def test_equal_texts_have_equal_scores(spark):
         for r in got:
             by.setdefault(dict(rows + [(99, rows[0][1])])[r.doc_id], set()).add(round(r.score, 9))
         assert all(len(v) == 1 for v in by.values())
+
+
+def test_every_labelled_row_is_fitted(spark, monkeypatch):
+    """With one block the weights are the least of the loss of all pairs; with many, mean, scale and cut are still those of all rows, repeated ones too."""
+    rows = [(i, "word " * (i % 23 + 1) + ("!!! " * (i % 4) if i % 3 else "fine. " * (i % 7)), int(i % 3 == 0 or i % 11 == 0)) for i in range(260)] + [(500 + i, "same text", int(i > 1)) for i in range(6)]
+    docs, lab = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2], 0) for r in rows], "doc_id long, quality int, toxic int")
+    mine = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    x, y = np.array([quality.text_features(r[1]) for r in mine]), np.array([r[2] for r in mine])
+    for size in (512, 16):
+        monkeypatch.setattr(quality, "BLOCK_ROWS", size)
+        monkeypatch.setattr(quality, "PARTNERS", 3)
+        m = quality.fit(docs, lab)
+        assert np.allclose(m.mean, x.mean(0)) and np.allclose(m.scale, x.std(0) + 1e-6)
+        z = (x - m.mean) / m.scale
+        assert abs(m.cut - np.quantile(z @ m.w, (y == 0).mean())) < 1e-9
+        if size == 512:
+            diff = (z[y == 1][:, None] - z[y == 0]).reshape(-1, z.shape[1])
+            assert np.abs(quality.pair_gradient(m.w, diff)).max() < 1e-6

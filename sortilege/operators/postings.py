@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .serving import matching
 
 KEYS = ["game", "draw_number", "source"]
+#: Postings, and draws, of one task's sort or count.
+TASK_ROWS = 1_000_000
 FIELDS = ("draw_number", "draw_date", "numbers")
 
 
@@ -28,7 +30,12 @@ def build(draws: DataFrame, path: str) -> None:
     texts = F.array(*[F.coalesce(grams(F.col(c).cast("string")), F.array().cast("array<string>")) for c in FIELDS])
     rows = draws.filter("draw_number IS NOT NULL").select(F.explode(F.array_distinct(F.flatten(texts))).alias("gram"), *KEYS)
     # A frequent gram has many postings: the draw's number deals them on.
-    rows.repartitionByRange("gram", "draw_number").sortWithinPartitions("gram").write.mode("overwrite").option("parquet.block.size", 1_000_000).parquet(path)
+    # As many ranges as the rows need, so that no task's sort grows with the table.
+    rows.repartitionByRange(_tasks(rows), "gram", "draw_number").sortWithinPartitions("gram").write.mode("overwrite").option("parquet.block.size", 1_000_000).parquet(path)
+
+
+def _tasks(rows: DataFrame) -> int:
+    return max(1, -(-rows.count() // TASK_ROWS))
 
 
 def usable(text: str) -> bool:
@@ -39,7 +46,9 @@ def usable(text: str) -> bool:
 def candidates(postings: DataFrame, text: str) -> DataFrame:
     """KEYS of the draws that hold all of the text's stretches of three signs."""
     own = sorted({text.lower()[i : i + 3] for i in range(len(text) - 2)})
-    found = postings.filter(F.col("gram").isin(own)).groupBy(*KEYS).agg(F.countDistinct("gram").alias("c"))
+    hit = postings.filter(F.col("gram").isin(own))
+    # A text of common signs hits nearly all draws: the counts are dealt over as many tasks as there are rows for.
+    found = hit.repartition(_tasks(hit), *KEYS).groupBy(*KEYS).agg(F.countDistinct("gram").alias("c"))
     return found.filter(F.col("c") == len(own)).select(*[F.col(k).alias(f"p_{k}") for k in KEYS])
 
 

@@ -105,3 +105,15 @@ def test_insides_of_long_rings(spark):
     finally:
         shapes.EDGES, shapes.PLACES = old
     assert got == sorted((i, n) for i, x, y in at[:300] for n, g in kinds if odd(g, x, y))
+
+
+def test_postings_tasks_are_bounded(spark, tmp_path, monkeypatch):
+    """Files of postings grow in number with the rows, however many shuffle partitions a session has, and a search finds the same."""
+    monkeypatch.setattr(postings, "TASK_ROWS", 500)
+    d = draws(spark)
+    postings.build(d, f"file://{tmp_path}/p")
+    p = spark.read.parquet(f"file://{tmp_path}/p")
+    sizes = [r["count"] for r in p.groupBy(F.col("_metadata.file_path")).count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 2000 and sum(sizes) == p.count()
+    want = d.filter(F.col("draw_number").isNotNull() & sv.matching("024-01-1"))
+    assert sorted(map(str, postings.search(d, p, "024-01-1").collect())) == sorted(map(str, want.collect()))

@@ -8,8 +8,8 @@ window. It may be an http address or a path in any file system that pyarrow open
 folder stands for the one file in it. A page is a JSON array of items; a page shorter
 than per_page, an empty one or an error object ends the listing.
 
-Without windows each page is a partition: the last page is found first, by doubling and halving, with a
-few reads on the driver. With `start` each window is a partition, which walks its own pages, so that no
+Without windows each page is a partition, and in long listings each stretch of pages, so that tasks do not
+grow in number with the pages: the last page is found first, by doubling and halving, with a few reads on the driver. With `start` each window is a partition, which walks its own pages, so that no
 listing grows deep. A page that cannot be read gives one row with `error`
 set, and its neighbours their items: one bad page costs one page.
 """
@@ -35,6 +35,8 @@ PAST_END = "rest_post_invalid_page_number"
 MOST_PAGES = 1 << 30
 #: Pages read at most to tell whether a listing goes on behind one that fails; if all of them fail it ends there.
 LOOK_AHEAD = 4
+#: Partitions of a listing without windows: a longer one has stretches of neighbouring pages.
+MOST_PARTITIONS = 64
 
 
 def fetch(at: str, timeout: float = 60.0) -> bytes:
@@ -106,7 +108,10 @@ class Listing:
 
 @dataclass
 class Page(InputPartition):
+    """A stretch of pages: the first one's number, and how many there are."""
+
     number: int
+    pages: int = 1
 
 
 @dataclass
@@ -126,7 +131,8 @@ class Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         if self.start is None:
             last = self.listing.last(self.first, self.first + self.most - 1)
-            return [Page(n) for n in range(self.first, last + 1)]
+            many = -(-(last + 1 - self.first) // MOST_PARTITIONS)
+            return [Page(n, min(many, last + 1 - n)) for n in range(self.first, last + 1, max(1, many))]
         out, at = [], dt.date.fromisoformat(self.start)
         while at <= self.end:
             out.append(Window(at, at + dt.timedelta(days=self.days)))
@@ -135,7 +141,8 @@ class Reader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if isinstance(partition, Page):
-            yield from self._rows(partition.number, None, *self.listing.page(partition.number))
+            for n in range(partition.number, partition.number + partition.pages):
+                yield from self._rows(n, None, *self.listing.page(n))
             return
         for n in range(self.first, self.first + self.most):
             items, wrong = self.listing.page(n, partition.after, partition.before)

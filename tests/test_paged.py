@@ -7,6 +7,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlparse
 
 import pytest
+from pyspark.sql import functions as F
 
 from sortilege.sources import paged, payloads
 
@@ -104,3 +105,13 @@ def test_written_pages_come_back(spark, tmp_path):
     got = payloads.records(paged.items(rows), "lotto", "w").collect()
     assert sorted((r.draw_number, r.numbers, str(r.draw_date)) for r in got) == [(i, [i], "2026-04-03") for i in range(1, 26)]
     assert sorted({(r.page, r.id) for r in rows.collect()}) == [((i - 1) // 10 + 1, i) for i in range(1, 26)]
+
+
+def test_long_listings_have_few_partitions(spark, tmp_path):
+    """Every page of a long listing is read once, a bad one fails alone within its stretch, and the partitions stay few."""
+    at = listing(tmp_path, 1503, per_page=5)
+    (tmp_path / "50.json").write_text("[{")
+    rows = paged.read(spark, at, per_page=5)
+    assert rows.rdd.getNumPartitions() <= paged.MOST_PARTITIONS
+    assert [(r.page, r.id) for r in paged.items(rows.withColumn("slug", F.col("page").cast("string"))).selectExpr("int(slug) page", "id").orderBy("id").collect()] == [(i // 5 + 1, i) for i in range(1503) if i // 5 != 49]
+    assert [r.page for r in paged.failures(rows).collect()] == [50]

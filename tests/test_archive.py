@@ -277,3 +277,33 @@ def test_failures_stay_alone(spark):
     alone = rs.run(s, ["digit_tests", "pool_calibration"]).collect()
     key = lambda r: (r.game, r.test, r.scope, r.statistic, r.p_value)
     assert {key(r) for r in alone} <= {key(r) for r in got} and all(r.q_value is None for r in got if r.status == "failed")
+
+
+def test_runs_of_stretches(spark):
+    """Segments of a rolling maximum that are dealt into short stretches are those of one pass over the whole game; extremes too."""
+    rng = np.random.default_rng(3)
+    tops = {"a": np.repeat(rng.integers(3, 9, 20), 120), "b": rng.integers(1, 50, 1500)}
+    rows = [(g, i + 1, len(x), int(v)) for g, x in tops.items() for i, v in enumerate(x)]
+    seq = spark.createDataFrame(rows, "game string, nth long, n long, top int")
+    got = dr.numbered_runs(dr.rolling_runs(seq, size=250))
+    seen = {(r.game, r.segment, r.top): (r.roll, r.a, r.z) for r in got.groupBy("game", "segment", "top").agg(F.max("roll").alias("roll"), F.min("a").alias("a"), F.max("z").alias("z")).collect()}
+    want = {}
+    for g, x in tops.items():
+        half = max(60, min(400, len(x) // 12)) // 2
+        roll = [int(x[max(0, i - half) : i + half + 1].max()) for i in range(len(x))]
+        segment = np.cumsum([1, *(np.diff(roll) != 0)])
+        for i, v in enumerate(x.tolist()):
+            a = want.get((g, segment[i], v), (0, i + 1, 0))[1]
+            want[g, segment[i], v] = (roll[i], a, i + 1)
+    assert seen == want and len({k[1] for k in want if k[0] == "a"}) > 5
+
+
+def test_battery_reads_its_rows_once(spark):
+    """The rows of all sources are computed once, and draws that stand alone meet no others; results are those of plain rows."""
+    rows, s = archive(spark)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" in plan(s.raw) and not any("LogicalRDD" in plan(df) for df in (s.rows, s.draws, rs.source_agreement(s)))
+    plain = dr.load_draws(s.raw, s.priority, s.zero_games)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, dr.load_draws(s.rows, s.priority, s.zero_games).collect()))
+    odd = spark.createDataFrame([("g", None, "a"), ("g", None, "a"), ("g", 1, "a"), ("g", 1, "b"), ("g", 2, "b")], "game string, draw_number long, source string")
+    assert sorted((str(r.draw_number), r.rows_) for r in dr.with_rows(odd).collect()) == [("1", 2), ("1", 2), ("2", 1), ("None", 2), ("None", 2)]

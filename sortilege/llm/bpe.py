@@ -132,12 +132,46 @@ def id_type(tok, end: int = 0) -> str:
     return "<u2" if max(end, *tok.get_vocab(with_added_tokens=True).values()) < 65_536 else "<u4"
 
 
+# The sign that stands for each byte in byte-level pieces; bytes of printing signs stand for themselves.
+_PRINTING = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_SIGNS = {b: 256 + n for n, b in enumerate(sorted({*range(256)} - _PRINTING))}
+#: Below it every letter is in NFC, and lower case of a letter does not depend on its neighbours.
+LATIN = "\u0250"
+
+
+def one_piece(word: str) -> str | None:
+    """The one piece of byte-level signs that the rules make of a word of Latin letters; None of another word."""
+    if not word.isalpha():
+        return None
+    if word.isascii():
+        return word.lower()
+    low = word.lower()
+    if max(word) >= LATIN or not low.isalpha():
+        return None
+    return low.encode().decode("latin-1").translate(BYTE_SIGNS)
+
+
 def encode_words(tok, words: list[str], kind: str) -> list[bytes]:
     """Ids of each word as bytes of `kind`.
 
-    Words go to the tokenizer in one text, parted by a special token, which splits
-    a text before any other rule; a word that holds part of one goes alone.
+    Words of Latin letters are one piece each, which goes straight to the vocabulary's model. The others go to the tokenizer
+    in one text, parted by a special token, which splits a text before any other rule; a word that holds part of one goes alone.
     """
+    wide = int(kind[-1])
+    whole = not any(t.content.isalpha() for t in tok.get_added_tokens_decoder().values())
+    pieces = [one_piece(w) if whole else None for w in words]
+    tokenize, found, upto = tok.model.tokenize, [], [0]
+    for p in pieces:
+        if p is not None:
+            found += [t.id for t in tokenize(p)]
+            upto.append(len(found) * wide)
+    data = np.array(found, kind).tobytes()
+    mine = (data[a:z] for a, z in zip(upto, upto[1:]))
+    others = iter(_encode_rest(tok, [w for w, p in zip(words, pieces) if p is None], kind))
+    return [next(others) if p is None else next(mine) for p in pieces]
+
+
+def _encode_rest(tok, words: list[str], kind: str) -> list[bytes]:
     special = next((i, t.content) for i, t in tok.get_added_tokens_decoder().items() if t.special and not t.normalized)
     alone = [i for i, w in enumerate(words) if special[1][:2] in w]
     rest = words if not alone else [w for w in words if special[1][:2] not in w]

@@ -282,3 +282,13 @@ def test_held_out(spark):
     assert sum(r.predicted == r.toxic for r in t) >= 0.95 * len(t) and sum(r.predicted for r in t if r.toxic) >= 0.7 * sum(r.toxic for r in t)
     n = langid.identify(docs).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id")
     assert n.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0] > 0.95
+
+
+def test_words_of_one_piece():
+    """Words of Latin letters go to the vocabulary's model as the very piece that the rules make of them."""
+    tok = bpe._tokenizer(vocabulary())
+    letters = [c for c in map(chr, range(0x41, 0x24F)) if c.isalpha()]
+    rng = np.random.default_rng(4)
+    words = letters + ["".join(rng.choice(letters, rng.integers(2, 12))) for _ in range(3000)] + ["don't", "a1", "İstanbul", "ΣΑΣ", "é", "порт", "x<|y", "..."]
+    assert bpe.encode_words(tok, words, "<u2") == [np.array(tok.encode(w, add_special_tokens=False).ids, "<u2").tobytes() for w in words]
+    assert bpe.one_piece("Año") == "aÃ±o" and bpe.one_piece("İb") is None and bpe.one_piece("a1") is None

@@ -112,8 +112,8 @@ def cut_words(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 @lru_cache(1)
-def _tokenizer(path: str):
-    """One for each Python worker; padding and truncation unused."""
+def _loaded(path: str):
+    """One for each Python worker; padding and truncation unused. Its rules are not looked at: the driver has done so."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -121,6 +121,13 @@ def _tokenizer(path: str):
 
     tok = Tokenizer.from_file(path)
     tok.no_truncation(), tok.no_padding()
+    return tok
+
+
+@lru_cache(1)
+def _tokenizer(path: str):
+    """`_loaded`, if its rules are those of this module. They are read from a copy as text, which takes as much memory again."""
+    tok = _loaded(path)
     kind = json.loads(tok.to_str())
     if [kind["normalizer"], kind["pre_tokenizer"], kind["decoder"]] != WORD_RULES:
         raise ValueError(f"{path} splits or joins words by rules other than those that split_words and parts_of know")
@@ -209,7 +216,7 @@ class Side:
         at = pc.index_in(words, value_set=self.words)
         if at.null_count:
             new = pc.unique(words.filter(pc.is_null(at)))
-            ids = encode_words(_tokenizer(self.path), new.to_pylist(), self.kind)
+            ids = encode_words(_loaded(self.path), new.to_pylist(), self.kind)
             self.words, self.ids = pa.concat_arrays([self.words, new]), pa.concat_arrays([self.ids, pa.array(ids, pa.binary())])
             at = pc.index_in(words, value_set=self.words)
         return self.ids.take(at)
@@ -233,6 +240,29 @@ class Blocks:
             yield self.id, begin, len(texts), False
 
 
+def encoded(batches, path: str, kind: str):
+    """Adds ids to batches (block, word) that are sorted by word, so that equal words are neighbours.
+
+    Many small tasks follow each other in a worker: each gives the vocabulary and all that was taken with it back at its end.
+    """
+    yield from _encoded(batches, path, kind)
+    _loaded.cache_clear()
+    settle()
+
+
+def _encoded(batches, path: str, kind: str):
+    last = None, b""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        coded = b.column(1).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        seen = words[0] == last[0]
+        ids = ([last[1]] if seen else []) + encode_words(_loaded(path), words[seen:], kind)
+        last = words[-1], ids[-1]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()).take(coded.indices)], ["block", "word", "ids"])
+
+
 def encode(docs: DataFrame, path: str, scanned: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids, ids_sha256, decoded, decoded_sha256, one row per row of docs.
 
@@ -269,22 +299,8 @@ def encode(docs: DataFrame, path: str, scanned: bool = False) -> DataFrame:
             w = words.slice(i, ROWS)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), block)), w], ["block", "word"])
 
-    def encoded(batches):
-        tok, last = _tokenizer(path), (None, b"")
-        for b in batches:  # sorted by word, so equal words are neighbours
-            if not b.num_rows:
-                continue
-            coded = b.column(1).dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            seen = words[0] == last[0]
-            ids = ([last[1]] if seen else []) + encode_words(tok, words[seen:], kind)
-            last = words[-1], ids[-1]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()).take(coded.indices)], ["block", "word", "ids"])
-        del tok
-        _tokenizer.cache_clear()  # workers that wait for their next task hold no vocabulary
-
     words = rows.select("text").mapInArrow(distinct, "block long, word string").repartition("word").sortWithinPartitions("word")
-    back = words.mapInArrow(encoded, "block long, word string, ids binary")
+    back = words.mapInArrow(lambda batches: encoded(batches, path, kind), "block long, word string, ids binary")
     # Side files are as many as shuffle partitions, each with whole blocks in order; a block's file is found by its number.
     files, side = int(spark.conf.get("spark.sql.shuffle.partitions")), scratch.path("back")
     file = ((F.shiftright("block", 24) + F.col("block").bitwiseAND((1 << 24) - 1)) % files).cast("int")  # as file_of
@@ -313,6 +329,8 @@ def encode(docs: DataFrame, path: str, scanned: bool = False) -> DataFrame:
                     now = side_of(block, names)
                 yield joined(b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), now)
                 settle()
+        del now
+        settle()
 
     def joined(doc_ids: pa.Array, texts: pa.Array, side: Side) -> pa.RecordBatch:
         """Ids and pieces at the places of the words of each text: ids are taken by the number of the word, pieces by id."""

@@ -1,6 +1,9 @@
 """Extra columns with clashing names, shuffled input, repeated and odd ids; each operator gives what it gives without them."""
 
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -165,3 +168,43 @@ def test_words_split_by_arrow():
     words, counts = bpe.words_in(pa.array(["left", *mixed], pa.string()).slice(1))
     assert words.to_pylist() == [w for t in mixed for w in bpe.split_words(t)] and counts.tolist() == [2, 2, 0]
     assert bpe.words_in(pa.array(["left out", "p q", " r"], pa.string()).slice(1))[0].to_pylist() == ["p", "q", "r"]
+
+
+def test_workers_give_memory_back():
+    """A worker that has encoded words holds little more than before, however many tasks it had, and reads the rules of no vocabulary."""
+    code = """
+import re
+import numpy as np, pyarrow as pa
+from tokenizers import Tokenizer
+from sortilege.llm import bpe
+from sortilege.llm.queries import vocabulary
+from sortilege.llm.textblocks import settle
+held = lambda: sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+bpe._tokenizer = None
+words = pa.array(sorted(f"w{i * 7919 % 100003}" for i in range(20_000)))
+batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(words))), words], ["block", "word"])
+settle()
+before = held()
+for _ in range(6):
+    n = sum(b.num_rows for b in bpe.encoded(iter([batch.slice(0, 9_000), batch.slice(0, 0), batch.slice(9_000)]), vocabulary(), "<u2"))
+assert n == len(words) and bpe._loaded.cache_info().currsize == 0
+print(held() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    assert float(out.stdout) < 15
+
+
+def test_exact_copies_need_no_python_worker(spark, tmp_path, monkeypatch):
+    """The pipeline's second stage makes no rows by the driver's Python: they would keep a second set of workers in each executor."""
+    rows = [(1, "a b"), (2, "a  b"), (3, None), (4, ""), (5, "c")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/rows")
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none")
+
+    def refused(*args, **kwargs):
+        raise AssertionError("rows made by the driver's Python")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", refused)
+    left = exactdup.without_copies(spark.read.parquet(f"{tmp_path}/rows"))
+    assert sorted(r.doc_id for r in left.collect()) == [1, 3, 5]
+    assert exactdup.without_copies(spark.read.parquet(f"{tmp_path}/none")).collect() == []
